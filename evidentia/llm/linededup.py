@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_SPLIT, saved
@@ -13,7 +13,7 @@ TENTHS = 8
 SKETCH_BITS = 18
 #: Documents that can be skipped are known by so many hash buckets.
 FILTER_BITS = 20
-LOW51 = (1 << 51) - 1
+LOW57 = (1 << 57) - 1
 
 
 def _dense(marks: DataFrame, bits: int) -> DataFrame:
@@ -37,7 +37,9 @@ def _bucket(hashed: Column, bits: int) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, WORD_SPLIT), "")
+    """The words of a text; splitting at single spaces is quicker where that is enough."""
+    odd = text.rlike("[\\x09-\\x0D]")
+    return F.array_remove(F.when(odd, F.split(text, WORD_SPLIT)).otherwise(F.split(text, " ")), "")
 
 
 def token_levels(docs: DataFrame, text: str = "text") -> Column:
@@ -46,8 +48,8 @@ def token_levels(docs: DataFrame, text: str = "text") -> Column:
     Subqueries can't stand in a lambda, so the sketch (of fixed size, under
     1 MB) passes through the driver as a constant.
     """
-    tokens = docs.select(F.explode(F.split(F.col(text), WORD_SPLIT)).alias("w")).filter("w <> ''")
-    counts = tokens.groupBy(_bucket(F.xxhash64("w"), SKETCH_BITS).alias("bucket")).count()
+    tokens = docs.select(F.explode(F.split(F.col(text), WORD_SPLIT)).alias("w"))
+    counts = tokens.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).alias("bucket")).count()
     marks = counts.select("bucket", F.least(F.lit(63), F.floor(2 * F.log2("count")) + 1).cast("int").alias("level"))
     return F.split(F.lit(_dense(marks, SKETCH_BITS).select(F.array_join("x", ",")).first()[0]), ",").cast("array<tinyint>")
 
@@ -55,13 +57,13 @@ def token_levels(docs: DataFrame, text: str = "text") -> Column:
 def _tokens(line: Column, levels: Column) -> Column:
     """A line's distinct tokens as numbers that sort by rarity, rarest first.
 
-    The highest bits hold the sketch's level, the next the token's length
-    (longer first: it tells the rare tokens of a bucket apart), the rest are 51
-    bits of its hash. Any total order of tokens gives an exact prefix filter;
-    this one puts rare tokens first.
+    The highest bits hold the sketch's level, the rest 57 bits of the token's
+    hash. Any total order of tokens gives an exact prefix filter; this one puts
+    rare tokens first.
     """
-    hashed = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w).bitwiseAND(F.lit(LOW51)).bitwiseOR(F.shiftleft((63 - F.least(F.length(w), F.lit(63))).cast("long"), 51))))
-    ranked = F.transform(hashed, lambda h: F.shiftleft(F.element_at(levels, (_bucket(h, SKETCH_BITS) + 1).cast("int")).cast("long"), 57).bitwiseOR(h))
+    hashed = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    level = lambda h: F.coalesce(levels[h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int")].cast("long"), F.lit(0).cast("long"))
+    ranked = F.transform(hashed, lambda h: F.shiftleft(level(h), 57).bitwiseOR(h.bitwiseAND(F.lit(LOW57))))
     return F.sort_array(ranked)
 
 
@@ -93,45 +95,75 @@ def line_sets(docs: DataFrame, levels: Column, key: str = "doc_id", text: str =
     return t.select("doc", "line", "n", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), prefix.alias("prefix"), _bitmap(F.col("t")).alias("bits"))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of token sets that pass the prefix, length, positional and bitmap filters.
+def _index(classes: DataFrame) -> DataFrame:
+    return classes.filter("n > 3").select("id", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+
+
+def _similar(x: str, y: str) -> Column:
+    """Length, positional and bitmap filters for two rows of the index.
 
     A bit that only one of two bitmaps has stands for a token that the other set
     lacks, so there are at most as many as the sizes and the needed overlap leave.
     """
-    index = classes.filter("n > 3").select(F.col("k1").alias("k"), "n", "bits", F.posexplode("prefix").alias("pos", "token"))
-    a, b = (index.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("k", "n", "pos", "bits")]) for x in "ab")
-    order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_k") < F.col("b_k")))
-    length = F.col("a_n") * 10 >= F.col("b_n") * TENTHS
+    c = lambda side, name: F.col(f"{side}_{name}")
+    length = (c(x, "n") * 10 >= c(y, "n") * TENTHS) & (c(y, "n") * 10 >= c(x, "n") * TENTHS)
     # shared tokens that a similarity of 0.8 needs: t / (1 + t) of both sizes
-    need = F.ceil((F.col("a_n") + F.col("b_n")) * TENTHS / F.lit(10 + TENTHS))
-    place = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need
-    lacks = lambda x, y: F.bit_count(F.col(f"{x}_bits").bitwiseAND(F.bitwise_not(F.col(f"{y}_bits")))) <= F.col(f"{x}_n") - need
-    return a.join(b, (a["token"] == b["token"]) & order & length & place & lacks("a", "b") & lacks("b", "a")).select(F.col("a_k").alias("a"), F.col("b_k").alias("b")).distinct()
+    need = F.ceil((c(x, "n") + c(y, "n")) * TENTHS / F.lit(10 + TENTHS))
+    place = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) >= need
+    lacks = lambda p, q: F.bit_count(c(p, "bits").bitwiseAND(F.bitwise_not(c(q, "bits")))) <= c(p, "n") - need
+    return length & place & lacks(x, y) & lacks(y, x)
+
+
+def candidates_with_first(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b): b with the first set a under a prefix token they share. As many as prefix tokens at most."""
+    by = Window.partitionBy("token").orderBy("id")
+    first = lambda c: F.first(c).over(by).alias(f"a_{c}")
+    rows = _index(classes).select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "bits")], *map(first, ("id", "n", "pos", "bits")))
+    return rows.filter((F.col("a_id") < F.col("b_id")) & _similar("a", "b")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def candidates(classes: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) for the sets b of open_ and all earlier sets a that pass the filters."""
+    a = _index(classes).select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "bits")])
+    b = _index(open_).select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "bits")])
+    return a.join(b, (a["token"] == b["token"]) & (F.col("a_id") < F.col("b_id")) & _similar("a", "b")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs whose sets have a Jaccard similarity of at least 0.8, by their lines' tokens."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = saved(classes.join(ids, "id", "left_semi").select("id", F.col("first_doc").alias("doc"), F.col("first_line").alias("line")), "line-wanted")
+    found = _few(docs, wanted.select("doc"), key)
+    sets = numbered_lines(found, key, text).join(wanted, ["doc", "line"]).select("id", F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))).alias("t"))
+    sets = saved(sets, "line-tokens")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return saved(both.withColumn("s", shared).filter(F.col("s") * (10 + TENTHS) >= (F.size("x") + F.size("y")) * TENTHS).select("a", "b"), "line-links")
 
 
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, classes, links) of the similarity join over all lines of docs.
+    """(lines, classes, links) of the similarity join of all lines of docs with earlier ones.
 
     lines: doc, line, n, k1, k2 for each line with a word (membership).
-    classes: k1, k2, n, first_doc, first_line, copies, one row for each token set.
-    links: a, b (k1 of two classes), each pair of different sets with a Jaccard
-    similarity of at least 0.8.
+    classes: id, k1, k2, n, first_doc, first_line, copies, one row for each token
+    set; ids follow the order of the sets' first lines.
+    links: a < b, for every set b with an earlier set of Jaccard similarity of at
+    least 0.8 one or more such sets a. Sets are first held against the
+    first of those that share a prefix token; only those that this leaves open
+    are joined with all earlier sets, so a group of near copies isn't spelt out in
+    pairs and no set with an earlier match is missed.
     """
     levels = token_levels(docs, text)
     lines = saved(line_sets(docs, levels, key, text), "lines")
     classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "prefix", "bits")).alias("low"), F.count("*").alias("copies"))
-    classes = saved(classes.select("k1", "k2", "copies", F.col("low.doc").alias("first_doc"), F.col("low.line").alias("first_line"), "low.n", "low.prefix", "low.bits"), "line-classes")
-    pairs = saved(candidates(classes), "line-pairs")
-    keys = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
-    wanted = saved(classes.join(keys, "k1", "left_semi").select("k1", F.col("first_doc").alias("doc"), F.col("first_line").alias("line")), "line-wanted")
-    found = _few(docs, wanted.select("doc"), key)
-    sets = numbered_lines(found, key, text).join(wanted, ["doc", "line"]).select("k1", F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))).alias("t"))
-    sets = saved(sets, "line-tokens")
-    both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("t").alias("x")), "a").join(sets.select(F.col("k1").alias("b"), F.col("t").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = both.withColumn("s", shared).filter(F.col("s") * (10 + TENTHS) >= (F.size("x") + F.size("y")) * TENTHS).select("a", "b").distinct()
-    return lines, classes, saved(links, "line-links")
+    classes = classes.select("k1", "k2", "copies", F.col("low.doc").alias("first_doc"), F.col("low.line").alias("first_line"), "low.n", "low.prefix", "low.bits")
+    # ranges in order, rows in order, so the ids that Spark deals out are in order
+    classes = classes.repartitionByRange("first_doc", "first_line").sortWithinPartitions("first_doc", "first_line")
+    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    near = verified(docs, classes, saved(candidates_with_first(classes), "line-pairs"), key, text)
+    open_ = saved(classes.filter("n > 3").join(near.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", "n", "bits", "prefix"), "line-open")
+    rest = verified(docs, classes, saved(candidates(classes, open_), "line-pairs"), key, text)
+    return lines, classes, near.unionByName(rest)
 
 
 def _few(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -141,26 +173,24 @@ def _few(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, n_lines, n_links, gone for each document with a line that has a word.
+    """doc, n_lines, n_near, gone for each document with a line that has a word.
 
     A line goes if an earlier one (by key, then place) matches it: has an equal
     token set, or one with a Jaccard similarity of at least 0.8, whether that
-    one stays or not. gone lists the places of such lines, n_links counts the
-    other token sets that match its lines.
+    one stays or not. gone lists the places of such lines, n_near counts those
+    that go without an equal earlier one.
     """
     lines, classes, links = matches(docs, key, text)
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    order = classes.select("k1", F.struct("first_doc", "first_line").alias("first"))
-    ends = ends.join(order.select(F.col("k1").alias("b"), F.col("first").alias("other")), "b")
-    linked = ends.groupBy(F.col("a").alias("k1")).agg(F.min("other").alias("earliest"), F.count("*").alias("links"))
-    marked = classes.drop("prefix", "n", "bits").join(linked, "k1", "left").select("k1", "k2", "first_doc", "first_line", F.coalesce(F.col("earliest") < F.struct("first_doc", "first_line"), F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
+    near = links.select(F.col("b").alias("id")).distinct().withColumn("near", F.lit(True))
+    marked = classes.select("id", "k1", "k2", "first_doc", "first_line").join(near, "id", "left").drop("id")
     each = lines.select("doc", "line", "k1", "k2").join(marked, ["k1", "k2"])
-    goes = F.col("near") | ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line")))
-    return each.groupBy("doc").agg(F.count("*").alias("n_lines"), F.sum("links").alias("n_links"), F.sort_array(F.collect_list(F.when(goes, F.col("line")))).alias("gone"))
+    first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))
+    near = first & F.coalesce("near", F.lit(False))
+    return each.groupBy("doc").agg(F.count("*").alias("n_lines"), F.count_if(near).alias("n_near"), F.sort_array(F.collect_list(F.when(near | ~first, F.col("line")))).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the text of every row without its removed lines, and n_lines, n_removed, n_links.
+    """docs with the text of every row without its removed lines, and n_lines, n_removed, n_near (of them without an equal earlier line).
 
     Null texts stay null, texts without a word stay as they are. Rows that
     repeat a key are read as one document each; equal places of such rows are
@@ -169,9 +199,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     import uuid
 
     mark = f"__{uuid.uuid4().hex}"
-    gone = saved(removals(docs, key, text), "line-gone").select(F.col("doc").alias(mark), F.col("n_lines").alias(f"{mark}n"), F.col("n_links").alias(f"{mark}k"), F.col("gone").alias(f"{mark}g"))
+    gone = saved(removals(docs, key, text), "line-gone").select(F.col("doc").alias(mark), F.col("n_lines").alias(f"{mark}n"), F.col("n_near").alias(f"{mark}k"), F.col("gone").alias(f"{mark}g"))
     joined = docs.join(gone, F.col(key).eqNullSafe(F.col(mark)), "left")
     g = F.coalesce(F.col(f"{mark}g"), F.array().cast("array<int>"))
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(g, i)), "\n")
     columns = [F.when(F.size(g) == 0, F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce(f"{mark}n", F.lit(0)).alias("n_lines"), F.size(g).cast("long").alias("n_removed"), F.coalesce(f"{mark}k", F.lit(0)).alias("n_links"))
+    return joined.select(*columns, F.coalesce(f"{mark}n", F.lit(0)).alias("n_lines"), F.size(g).cast("long").alias("n_removed"), F.coalesce(f"{mark}k", F.lit(0)).alias("n_near"))

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as str.strip() sees it, as a regex class.
 WS = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -39,13 +40,13 @@ def drop_code_fence(c: Column) -> Column:
     return F.when(fenced, strip(inner)).otherwise(t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized(s: pd.Series) -> pd.Series:
     """NFKC, white space collapsed; Spark has no NFKC of its own."""
     return s.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_key(s: pd.Series) -> pd.Series:
     """Key for equal texts: normalised and case-folded."""
     return s.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()).casefold(), na_action="ignore")

@@ -106,7 +106,9 @@ def linked_in_cells(cells: DataFrame, link: Link, label: str, cap: int = 2048) -
                     )
 
         def passed(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            yield from t.append_column("other", pa.nulls(len(t), pa.int64())).combine_chunks().to_batches()
+            # built anew, so that all batches of the stream have nullable fields alike
+            for b in t.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64())], names=[*b.schema.names, "other"])
 
         last, held = None, 0
         for batch in batches:

@@ -137,7 +137,7 @@ def in_ranges(docs: DataFrame, key: str, text: str, ranges: int) -> DataFrame:
     heads = ids.withColumn("bucket", bucket).filter("k is not null").groupBy("bucket").agg(F.max("k").alias("k")).collect()
     heads = sorted((r["bucket"], r["k"]) for r in heads)
     if not heads:
-        return rows.withColumn("extra", F.lit(0))
+        return rows.select("bucket", "k", "t", F.lit(0).alias("extra"))
     # the row at the head of a range also ends the range before; the first range's head ends the last
     back = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}
     first = F.col("k").isin(list(back))

@@ -15,7 +15,7 @@ ROUNDS = 40
 #: Steps looked at in one pass when the rounding is placed.
 STEPS = 64
 PASSES = 3
-PHASES = 3
+PHASES = 4
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def _shifts(rows: DataFrame) -> list[tuple]:
     """(source, [(limit, shift)]): each source's shifts, found by passes of distributed sums.
 
     A pass tries STEPS shifts at once in the open bracket and keeps the one
-    below the target; PHASES phases shift ever smaller documents (at most half
+    below the target; PHASES phases shift ever smaller documents (at most
     as large as what is still missing).
     """
     spark = rows.sparkSession
@@ -150,7 +150,7 @@ def _shifts(rows: DataFrame) -> list[tuple]:
                 v["low"], v["high"], v["got"] = v["low"] + k * width, v["low"] + (k + 1) * width, got[k]
         for v in state.values():
             v["steps"].append((v["limit"], v["low"]))
-            v["limit"], v["low"], v["high"] = max(0.0, (v["target"] - v["got"]) / 2), 0.0, 1.0
+            v["limit"], v["low"], v["high"] = max(0.0, v["target"] - v["got"]), 0.0, 1.0
     return [(k, v["steps"]) for k, v in state.items()]
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, linked_in_cells, saved
 from .linededup import _few
 
 SHINGLE = 5
@@ -135,9 +135,8 @@ def _bands(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, "band int, value long, h long").distinct()
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) of paragraphs with a Jaccard similarity of shingles of at least 0.8."""
-    ids = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """h, s: the shingles of the paragraphs whose hashes are in ids (h)."""
     wanted = saved(classes.join(ids, "h", "left_semi").select("h", "doc"), "sub-wanted")
     of = wanted.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("h").alias("hs"))  # at most a document's paragraphs
     rows = _few(docs.select(key, text), wanted.select("doc"), key).join(of, F.col(key) == F.col("__doc")).select(text, "hs")
@@ -158,20 +157,44 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, t
                         sets.append(np.unique(sh[i : i + n - SHINGLE + 1]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["h", "s"])
 
-    sets = saved(rows.mapInArrow(run, "h long, s array<long>").dropDuplicates(["h"]), "sub-sets")
+    return saved(rows.mapInArrow(run, "h long, s array<long>").dropDuplicates(["h"]), "sub-sets")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) of paragraphs with a Jaccard similarity of shingles of at least 0.8."""
+    ids = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    sets = _sets(docs, classes, ids, key, text)
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
     both = both.withColumn("n", F.size(F.array_intersect("x", "y")))
     return saved(both.filter(F.col("n") * (10 + TENTHS) >= (F.size("x") + F.size("y")) * TENTHS).select("a", "b"), "sub-links")
 
 
+def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Pairs of shingle sets with a Jaccard similarity of at least 0.8."""
+    x, y = a.flatten().to_numpy(zero_copy_only=False), b.flatten().to_numpy(zero_copy_only=False)
+    kinds, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    n, m = (np.asarray(v.value_lengths().to_numpy(zero_copy_only=False), np.int64) for v in (a, b))
+    rows, cols = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+    shared = np.zeros((len(n), len(m)), np.float32)
+    for s in range(0, len(kinds), 4096):  # the incidence of so many shingles at a time
+        p, q = np.zeros((len(n), 4096), np.float32), np.zeros((len(m), 4096), np.float32)
+        i, j = at[: len(x)] - s, at[len(x) :] - s
+        ok, ko = (i >= 0) & (i < 4096), (j >= 0) & (j < 4096)
+        p[rows[ok], i[ok]] = 1
+        q[cols[ko], j[ko]] = 1
+        shared += p @ q.T
+    return shared * (10 + TENTHS) >= (n[:, None] + m[None, :]) * TENTHS
+
+
 def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, start, size, component, keeper, first for every paragraph that repeats exactly or nearly.
 
     component is the smallest paragraph hash reachable; keeper is the smallest
     key in the component, and first marks the one paragraph that stays (the first of the
     smallest key). Paragraphs of the same hash are one node. In each bucket all
-    are held against the smallest; only those that fail meet the whole bucket, so
-    components are those of all colliding pairs without spelling them out.
+    are held against the smallest; buckets in which some fail are compared
+    throughout, block by block, so components are those of all colliding pairs
+    without spelling them out.
     """
     parts = saved(_paragraphs(docs, key, text), "sub-parts")
     classes = saved(parts.groupBy("h").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "sub-classes")
@@ -180,10 +203,11 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     bands = saved(bands.join(by, ["band", "value"]), "sub-bands")
     star = saved(bands.filter("h <> lead").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), "sub-star")
     near = _verified(docs, classes, star, key, text)
-    open_ = bands.filter("h <> lead").join(near.select(F.col("a").alias("lead"), F.col("b").alias("h")), ["lead", "h"], "left_anti").select("band", "value", F.col("h").alias("b"))
-    rest = bands.select("band", "value", F.col("h").alias("a")).join(open_, ["band", "value"]).filter("a <> b")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    far = _verified(docs, classes, saved(rest, "sub-rest"), key, text)
+    open_ = bands.filter("h <> lead").join(near.select(F.col("a").alias("lead"), F.col("b").alias("h")), ["lead", "h"], "left_anti").select("band", "value").distinct()
+    cells = saved(bands.join(open_, ["band", "value"]).select("band", "value", "h"), "sub-open")
+    sets = _sets(docs, classes, cells.select("h").distinct(), key, text)
+    cells = cells.join(sets, "h").select(F.col("band").cast("long").alias("cell_a"), F.col("value").alias("cell_b"), F.col("h").alias("id"), F.col("s").alias("load"))
+    far = linked_in_cells(cells, alike, "sub")
     roots = components(near.unionByName(far), "sub")
     named = classes.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("component"), "doc", "copies")
     groups = named.groupBy("component").agg(F.min("doc").alias("keeper"), F.sum("copies").alias("n")).filter("n > 1").drop("n")

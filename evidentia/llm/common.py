@@ -161,15 +161,48 @@ def linked_in_cells(cells: DataFrame, link: Link, label: str, cap: int = 2048) -
     return saved(edges.unionByName(rest), f"{label}-edges")
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's edges as stars around the smallest node of each of their trees."""
+    parent: dict[int, int] = {}
+    for batch in batches:
+        ids, place = np.unique(np.concatenate([batch["a"].to_numpy(), batch["b"].to_numpy()]), return_inverse=True)
+        ids = ids.tolist()
+        for i, j in place.reshape(2, -1).T.tolist():
+            a, b = ids[i], ids[j]
+            while parent.setdefault(a, a) != a:
+                parent[a] = parent[parent[a]]
+                a = parent[a]
+            while parent.setdefault(b, b) != b:
+                parent[b] = parent[parent[b]]
+                b = parent[b]
+            parent[max(a, b)] = min(a, b)
+    nodes, roots = [], []
+    for a in parent:
+        b = a
+        while parent[b] != b:
+            b = parent[b]
+        if a != b:
+            nodes.append(a)
+            roots.append(b)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"])
+
+
+#: Edges are dealt into parts of about so many before the first star step.
+PART = 200_000
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """node, root for each node of edges (a, b): root is the smallest node reachable.
 
-    Alternates the large-star and small-star steps until nothing changes. Each
+    Edges are first dealt into parts of about PART, whatever their nodes, and each
+    part becomes a forest of stars; this shortens chains and needs memory of fixed size.
+    Then large-star and small-star steps alternate until nothing changes. Each
     step is a partial minimum and a join, so a node with a third of all edges
     is neither collected nor met in one task; each round's edges are a table
     in the shared folder. Loops and repeated edges don't matter.
     """
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-star")
+    now = saved(now.repartition(-(-now.count() // PART) or 1).mapInArrow(_stars, "a long, b long").distinct(), f"{label}-star")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -74,6 +74,16 @@ def test_large_cells_lose_nothing(spark):
 
 
 
+@pytest.mark.parametrize("part", [200_000, 40])
+def test_components_of_chains(spark, monkeypatch, part):
+    monkeypatch.setattr(common, "PART", part)
+    ids = np.random.default_rng(2).permutation(np.arange(-300, 300) * 10**15).tolist()
+    chains = [ids[:250], ids[250:400], ids[400:]]
+    edges = spark.createDataFrame([e for c in chains for e in zip(c, c[1:])] + [(ids[0], ids[0])], "a long, b long")
+    got = {r["node"]: r["root"] for r in common.components(edges, "t").collect()}
+    assert got == {i: min(c) for c in chains for i in c}
+
+
 def test_lines_equal_brute_force(odd):
     # a line goes if any earlier one matches, so removed ones count as earlier too
     rows = [(r["doc_id"], r["text"]) for r in odd.orderBy("doc_id").collect()]

@@ -14,6 +14,7 @@ SKETCH_BITS = 18
 #: Documents that can be skipped are known by so many hash buckets.
 FILTER_BITS = 20
 LOW57 = (1 << 57) - 1
+WORD_CHAR = "[^\\x20\\x09-\\x0D]"
 
 
 def _dense(marks: DataFrame, bits: int) -> DataFrame:
@@ -88,8 +89,9 @@ def line_sets(docs: DataFrame, levels: Column, key: str = "doc_id", text: str =
     matching sets must share one (as 32-bit numbers, only to find candidates).
     Lines of up to three tokens match equal sets only and need no prefix.
     """
-    t = numbered_lines(docs, key, text).select("doc", "line", _tokens(F.col("words"), levels).alias("t"))
-    t = t.withColumn("n", F.size("t")).filter("n > 0")
+    # not a filter by n, which the optimizer would push down with all of t in it
+    t = numbered_lines(docs, key, text).filter(F.col("words").rlike(WORD_CHAR)).select("doc", "line", _tokens(F.col("words"), levels).alias("t"))
+    t = t.withColumn("n", F.size("t"))
     length = F.when(F.col("n") <= 3, F.lit(0)).otherwise(F.col("n") - _needed(F.col("n")) + 1).cast("int")
     prefix = F.transform(F.slice("t", F.lit(1), length), lambda x: F.hash(x))
     return t.select("doc", "line", "n", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), prefix.alias("prefix"), _bitmap(F.col("t")).alias("bits"))

@@ -13,7 +13,6 @@ TENTHS = 8
 SKETCH_BITS = 18
 #: Documents that can be skipped are known by so many hash buckets.
 FILTER_BITS = 20
-LOW57 = (1 << 57) - 1
 WORD_CHAR = "[^\\x20\\x09-\\x0D]"
 
 
@@ -39,32 +38,34 @@ def _bucket(hashed: Column, bits: int) -> Column:
 
 def _words(text: Column) -> Column:
     """The words of a text; splitting at single spaces is quicker where that is enough."""
-    odd = text.rlike("[\\x09-\\x0D]")
-    return F.array_remove(F.when(odd, F.split(text, WORD_SPLIT)).otherwise(F.split(text, " ")), "")
+    odd = text.rlike("[\\x09-\\x0D]") | text.contains("  ") | text.startswith(" ") | text.endswith(" ") | (text == "")
+    return F.when(odd, F.array_remove(F.split(text, WORD_SPLIT), "")).otherwise(F.split(text, " "))
 
 
 def token_levels(docs: DataFrame, text: str = "text") -> Column:
     """A sketch of how often each token occurs: twice the binary logarithm of its bucket's count.
 
-    Subqueries can't stand in a lambda, so the sketch (of fixed size, under
-    1 MB) passes through the driver as a constant.
+    A token's bucket is the first SKETCH_BITS bits of its hash. The sketch holds
+    what turns the hash's first seven bits into the level by exclusive or.
+    Subqueries can't stand in a lambda, so the sketch (of fixed size, at most
+    20 bytes a bucket) passes through the driver as a constant.
     """
-    tokens = docs.select(F.explode(F.split(F.col(text), WORD_SPLIT)).alias("w"))
-    counts = tokens.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).alias("bucket")).count()
+    tokens = docs.select(F.explode(_words(F.replace(F.col(text), F.lit("\n"), F.lit(" ")))).alias("w"))
+    counts = tokens.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - SKETCH_BITS).alias("bucket")).count()
     marks = counts.select("bucket", F.least(F.lit(63), F.floor(2 * F.log2("count")) + 1).cast("int").alias("level"))
-    return F.split(F.lit(_dense(marks, SKETCH_BITS).select(F.array_join("x", ",")).first()[0]), ",").cast("array<tinyint>")
+    turn = F.transform("x", lambda x, i: F.shiftleft(x.cast("long").bitwiseXOR(F.shiftright(i, SKETCH_BITS - 7).cast("long")), 57))
+    return F.split(F.lit(_dense(marks, SKETCH_BITS).select(F.array_join(turn, ",")).first()[0]), ",").cast("array<bigint>")
 
 
 def _tokens(line: Column, levels: Column) -> Column:
     """A line's distinct tokens as numbers that sort by rarity, rarest first.
 
-    The highest bits hold the sketch's level, the rest 57 bits of the token's
+    The seven highest bits hold the sketch's level, the rest are the token's
     hash. Any total order of tokens gives an exact prefix filter; this one puts
     rare tokens first.
     """
     hashed = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    level = lambda h: F.coalesce(levels[h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int")].cast("long"), F.lit(0).cast("long"))
-    ranked = F.transform(hashed, lambda h: F.shiftleft(level(h), 57).bitwiseOR(h.bitwiseAND(F.lit(LOW57))))
+    ranked = F.transform(hashed, lambda h: h.bitwiseXOR(levels[F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")]))
     return F.sort_array(ranked)
 
 

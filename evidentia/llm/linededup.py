@@ -119,7 +119,7 @@ def _similar(x: str, y: str) -> Column:
 
 def candidates_with_first(classes: DataFrame) -> DataFrame:
     """Pairs (a, b): b with the first set a under a prefix token they share. As many as prefix tokens at most."""
-    by = Window.partitionBy("token").orderBy("id")
+    by = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = lambda c: F.first(c).over(by).alias(f"a_{c}")
     rows = _index(classes).select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "bits")], *map(first, ("id", "n", "pos", "bits")))
     return rows.filter((F.col("a_id") < F.col("b_id")) & _similar("a", "b")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()

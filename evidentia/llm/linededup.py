@@ -148,7 +148,7 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     """(lines, classes, links) of the similarity join of all lines of docs with earlier ones.
 
     lines: doc, line, n, k1, k2 for each line with a word (membership).
-    classes: id, k1, k2, n, first_doc, first_line, copies, one row for each token
+    classes: id, k1, k2, n, first_doc, first_line, one row for each token
     set; ids follow the order of the sets' first lines.
     links: a < b, for every set b with an earlier set of Jaccard similarity of at
     least 0.8 one or more such sets a. Sets are first held against the
@@ -158,8 +158,9 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     """
     levels = token_levels(docs, text)
     lines = saved(line_sets(docs, levels, key, text), "lines")
-    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "prefix", "bits")).alias("low"), F.count("*").alias("copies"))
-    classes = classes.select("k1", "k2", "copies", F.col("low.doc").alias("first_doc"), F.col("low.line").alias("first_line"), "low.n", "low.prefix", "low.bits")
+    # the row numbers' limit holds before the shuffle too, so a set with a third of all lines sends one row a task
+    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc", "line"))
+    classes = lines.withColumn("nth", first).filter("nth = 1").select("k1", "k2", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "n", "prefix", "bits")
     # ranges in order, rows in order, so the ids that Spark deals out are in order
     classes = classes.repartitionByRange("first_doc", "first_line").sortWithinPartitions("first_doc", "first_line")
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")

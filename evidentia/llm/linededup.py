@@ -11,7 +11,7 @@ from .common import WORD_SPLIT, saved
 TENTHS = 8
 #: Token counts are kept for so many hash buckets, whatever the vocabulary.
 SKETCH_BITS = 18
-#: Documents that can be skipped are known by so many hash buckets.
+#: Rows that can be skipped are known by so many hash buckets.
 FILTER_BITS = 20
 WORD_CHAR = "[^\\x20\\x09-\\x0D]"
 
@@ -136,8 +136,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, te
     """The pairs whose sets have a Jaccard similarity of at least 0.8, by their lines' tokens."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = saved(classes.join(ids, "id", "left_semi").select("id", F.col("first_doc").alias("doc"), F.col("first_line").alias("line")), "line-wanted")
-    found = _few(docs, wanted.select("doc"), key)
-    sets = numbered_lines(found, key, text).join(wanted, ["doc", "line"]).select("id", F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))).alias("t"))
+    sets = _few(numbered_lines(docs, key, text), wanted, ["doc", "line"], ["doc", "line"]).join(wanted, ["doc", "line"]).select("id", F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))).alias("t"))
     sets = saved(sets, "line-tokens")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -170,10 +169,11 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     return lines, classes, near.unionByName(rest)
 
 
-def _few(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of docs whose key may be among ids: a filter of fixed size, before any shuffle."""
-    marks = ids.select(_bucket(F.xxhash64("doc"), FILTER_BITS).alias("bucket"), F.lit(1).alias("level"))
-    return docs.filter(F.element_at(_dense(marks, FILTER_BITS).scalar(), (_bucket(F.xxhash64(F.col(key)), FILTER_BITS) + 1).cast("int")) == 1)
+def _few(rows: DataFrame, wanted: DataFrame, here: list[str], there: list[str]) -> DataFrame:
+    """The rows whose columns here may be among wanted's columns there: a filter of fixed size, before any shuffle."""
+    place = lambda names: _bucket(F.xxhash64(*names), FILTER_BITS)
+    marks = wanted.select(place(there).alias("bucket"), F.lit(1).alias("level"))
+    return rows.filter(F.element_at(_dense(marks, FILTER_BITS).scalar(), (place(here) + 1).cast("int")) == 1)
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

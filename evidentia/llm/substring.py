@@ -139,7 +139,7 @@ def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str, text: s
     """h, s: the shingles of the paragraphs whose hashes are in ids (h)."""
     wanted = saved(classes.join(ids, "h", "left_semi").select("h", "doc"), "sub-wanted")
     of = wanted.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("h").alias("hs"))  # at most a document's paragraphs
-    rows = _few(docs.select(key, text), wanted.select("doc"), key).join(of, F.col(key) == F.col("__doc")).select(text, "hs")
+    rows = _few(docs.select(key, text), wanted, [key], ["doc"]).join(of, F.col(key) == F.col("__doc")).select(text, "hs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cutter()

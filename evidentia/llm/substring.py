@@ -1,4 +1,4 @@
-"""Substring dedup: MinHash bands over paragraphs, exact verification, components."""
+"""Substring dedup: MinHash bands over paragraphs, exact verification, components; and every run of 50 words that repeats."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, linked_in_cells, saved
@@ -22,6 +22,10 @@ BANDS, ROWS = 5, 2
 REACH = 8
 #: Documents that share fewer words with a keeper than this are left alone.
 MIN_WORDS = 16
+#: A run of so many words that repeats exactly is found wherever it starts.
+RUN = 50
+#: Runs meet by the smallest hash among their grams of so many words.
+GRAM = 26
 KEEP_WORDS = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,8 +41,8 @@ class Cutter:
         self.number: dict[bytes, int] = {}
         self.hash = np.zeros(0, np.uint64)
 
-    def cut(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """text, start (in words), size, hash of each paragraph, and all words' hashes and the paragraphs' places in them."""
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, line and text of every word."""
         if len(self.number) > KEEP_WORDS:
             self.__init__()
         number, codes, line_of, text_of = self.number, [], [], []
@@ -54,7 +58,11 @@ class Cutter:
                     lines += 1
         new = list(number)[len(self.hash) :]
         self.hash = np.concatenate([self.hash, np.array([xxhash.xxh64_intdigest(w, 5) for w in new], np.uint64)])
-        h, line, text = self.hash[np.array(codes, np.int64)], np.array(line_of, np.int64), np.array(text_of, np.int64)
+        return self.hash[np.array(codes, np.int64)], np.array(line_of, np.int64), np.array(text_of, np.int64)
+
+    def cut(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """text, start (in words), size, hash of each paragraph, and all words' hashes and the paragraphs' places in them."""
+        h, line, text = self.read(texts)
         n = len(h)
         if not n:
             e = np.zeros(0, np.int64)
@@ -95,6 +103,82 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of ordered pairs."""
+    out = (a ^ (b * MIX + (b >> np.uint64(29)))) * np.uint64(0xA24BAED4963EE407)
+    return out ^ (out >> np.uint64(32))
+
+
+def windows(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For words' hashes and texts: place, hash and mark of each run of RUN words in a text, and the places of all marked grams.
+
+    The mark is the smallest hash of the run's grams, so equal runs have equal
+    marks, and neighbouring runs mostly share theirs.
+    """
+    e = np.zeros(0, np.int64)
+    if len(h) < RUN:
+        return e, np.zeros(0, np.uint64), np.zeros(0, np.uint64), e
+    n = len(h) - RUN + 1
+    g = [h]
+    for k in range(5):  # g[k]: runs of 2 ** k words
+        g.append(_joined(g[k][: -(1 << k)], g[k][1 << k :]) if len(g[k]) > 1 << k else g[k][:0])
+    whole = _joined(g[5][:n], g[5][RUN - 32 :][:n])
+    gram = _joined(g[4][: len(h) - GRAM + 1], g[4][GRAM - 16 :])
+    span = RUN - GRAM + 1  # grams in a run
+    mark = np.lib.stride_tricks.sliding_window_view(gram, span).min(axis=1)
+    ok = text[:n] == text[RUN - 1 :]
+    # a gram is marked if it is the smallest of any run it lies in, that is, of the run with the largest mark
+    padded = np.concatenate([np.zeros(span - 1, np.uint64), np.where(ok, mark, np.uint64(0)), np.zeros(span - 1, np.uint64)])
+    marked = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(padded, span).max(axis=1) == gram)
+    at = np.flatnonzero(ok)
+    return at, whole[at], mark[at], np.stack([marked, gram[marked].view(np.int64)])
+
+
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, start, size, keeper, first for every run of RUN words that stands in docs more than once, across lines too.
+
+    keeper is the smallest key with the run, and first marks its first place there.
+    Only runs whose mark is that of two or more grams are spelled out, which
+    loses none: equal runs have equal marks.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Cutter()
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                h, _, of = c.read(part.column(1).to_pylist())
+                *_, marked = windows(h, of)
+                if marked.size:
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[marked[0]])), pa.array(marked[1])], names=["doc", "mark"])
+
+    found = saved(docs.select(key, text).mapInArrow(marks, f"doc {kind}, mark long"), "run-marks")
+    twice = found.groupBy("mark").count().filter("count > 1").select("mark")
+    wanted = saved(found.join(twice, "mark", "left_semi").distinct(), "run-wanted")
+    of = wanted.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("mark").alias("marks"))  # at most a document's words
+    rows = _few(docs.select(key, text), wanted, [key], ["doc"]).join(of, F.col(key) == F.col("__doc")).select(key, text, "marks")
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Cutter()
+        for b in batches:
+            for s in range(0, b.num_rows, 64):
+                part = b.slice(s, 64)
+                h, _, of = c.read(part.column(1).to_pylist())
+                at, whole, mark, _ = windows(h, of)
+                if not len(at):
+                    continue
+                lists = part.column(2)
+                use = np.isin(mark.view(np.int64), lists.flatten().to_numpy(zero_copy_only=False))
+                at, whole = at[use], whole[use]
+                begin = np.searchsorted(of, np.arange(part.num_rows))  # each text's first word
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[at])), pa.array(at - begin[of[at]]), pa.array(whole.view(np.int64))], names=["doc", "start", "h"])
+
+    runs = saved(rows.mapInArrow(spelled, f"doc {kind}, start long, h long"), "run-rows")
+    heads = runs.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("head"), F.count("*").alias("n")).filter("n > 1").select("h", "head")
+    return runs.join(heads, "h").select("doc", "start", F.lit(RUN).cast("long").alias("size"), F.col("head.doc").alias("keeper"), ((F.col("doc") == F.col("head.doc")) & (F.col("start") == F.col("head.start"))).alias("first"))
+
+
 def _paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, start, size, h of every paragraph of at least five words."""
 
@@ -218,12 +302,24 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, keeper, n_paragraphs, n_words, n_removed_words for each pair of documents that share paragraphs.
+    """key, keeper, n_paragraphs, n_words, n_removed_words for each pair of documents that share paragraphs or runs of RUN words.
 
-    keeper is the document with the smallest key in a paragraph's component; a
-    document that keeps the paragraph itself has a row with keeper = key. Null
-    keys and texts have none, nor have pairs that share fewer than MIN_WORDS words.
+    keeper is the document with the smallest key in a paragraph's component, or
+    with a run; a document that keeps the passage itself has a row with keeper = key.
+    n_paragraphs counts paragraphs only (0 where runs alone are shared), n_words each word
+    once. Words of the first place of a run don't count as removed by runs that overlap
+    it. Null keys and texts have none, nor have pairs that share fewer than MIN_WORDS words.
     """
-    rows = repeated_paragraphs(docs.filter(F.col(key).isNotNull()), key, text)
-    out = rows.groupBy(F.col("doc").alias(key), F.col("keeper").alias("keeper_doc_id")).agg(F.count("*").alias("n_paragraphs"), F.sum("size").alias("n_words"), F.sum(F.when(F.col("first"), 0).otherwise(F.col("size"))).alias("n_removed_words"))
+    docs = docs.filter(F.col(key).isNotNull())
+    # kinds: 0 a paragraph's first place, 1 another one, 2 a run's first place, 3 another one
+    spans = [x.select("doc", "keeper", "start", (F.col("start") + F.col("size")).alias("end"), F.when(F.col("first"), k).otherwise(k + 1).alias("kind")) for k, x in ((0, repeated_paragraphs(docs, key, text)), (2, repeated_runs(docs, key, text)))]
+    before = Window.partitionBy("doc", "keeper").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    unions = {"u0": (0, 1, 2, 3), "u1": (1, 2, 3), "u2": (1, 2), "u3": (1,)}
+    end = {u: F.when(F.col("kind").isin(*k), F.col("end")) for u, k in unions.items()}
+    # words of a span behind the end of all earlier ones of the union; null outside it
+    new = [F.greatest(F.lit(0), end[u] - F.greatest("start", F.coalesce(F.max(end[u]).over(before), "start"))).alias(u) for u in unions]
+    new = [F.when(end[u].isNotNull(), x).otherwise(0).alias(u) for u, x in zip(unions, new)]
+    out = spans[0].unionByName(spans[1]).select("doc", "keeper", "kind", *new).groupBy(F.col("doc").alias(key), F.col("keeper").alias("keeper_doc_id"))
+    # removed: other places of paragraphs, and of runs but for the words of runs' first places
+    out = out.agg(F.count_if(F.col("kind") < 2).alias("n_paragraphs"), F.sum("u0").alias("n_words"), (F.sum("u1") - F.sum("u2") + F.sum("u3")).alias("n_removed_words"))
     return out.filter(F.col("n_words") >= MIN_WORDS)

@@ -209,6 +209,30 @@ def test_repeated_passages(spark):
     assert next(r for r in got if r["doc_id"] == 1)["n_removed_words"] == 0
 
 
+def test_runs_that_start_mid_line(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join("w%d" % x for x in rng.integers(0, 10**9, n))
+    rows = []
+    for i in range(120):
+        p = text(51 + i % 10)
+        rows += [(2 * i, f"{text(20 + i % 7)} {p} {text(30)}"), (2 * i + 1, f"{text(33)} {p.replace(' ', chr(10), i % 3)} {text(21 + i % 5)}")]
+    rows += [(1000, "z " * 51), (1001, text(400)), (1002, text(49))]
+    at: dict = {}  # brute force: every run of 50 words and its places
+    for k, t in rows:
+        w = t.split()
+        for j in range(len(w) - 49):
+            at.setdefault(" ".join(w[j : j + 50]), []).append((k, j))
+    want: dict = {}
+    for places in at.values():
+        for k, j in places if len(places) > 1 else []:
+            want.setdefault((k, places[0][0]), set()).update(range(j, j + 50))
+    got = {(r["doc_id"], r["keeper_doc_id"]): r for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(want) and len(want) == 241
+    assert all(got[k]["n_words"] >= len(v) for k, v in want.items())
+    assert all(got[k]["n_removed_words"] == (0 if k[0] == k[1] else got[k]["n_words"]) for k in want if k[0] != 1000)
+    assert (got[1000, 1000]["n_words"], got[1000, 1000]["n_removed_words"]) == (51, 1)
+
+
 def test_empty_tables(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert linededup.deduplicated(empty).count() == 0

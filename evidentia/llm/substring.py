@@ -20,8 +20,6 @@ TENTHS = 8
 BANDS, ROWS = 5, 2
 #: A word that is smallest by hash among so many on either side starts a paragraph inside a long line.
 REACH = 8
-#: Documents that share fewer words with a keeper than this are left alone.
-MIN_WORDS = 16
 #: A run of so many words that repeats exactly is found wherever it starts.
 RUN = 50
 #: Runs meet by the smallest hash among their grams of so many words.
@@ -180,7 +178,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def _paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, start, size, h of every paragraph of at least five words."""
+    """key, start, size, h of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cutter()
@@ -188,14 +186,13 @@ def _paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
                 t, start, size, h, *_ = c.cut(part.column(1).to_pylist())
-                use = size >= SHINGLE
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t[use])), pa.array(start[use]), pa.array(size[use]), pa.array(h[use].view(np.int64))], names=["doc", "start", "size", "h"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(start), pa.array(size), pa.array(h.view(np.int64))], names=["doc", "start", "size", "h"])
 
     return docs.select(key, text).mapInArrow(run, f"doc {docs.schema[key].dataType.simpleString()}, start long, size long, h long")
 
 
 def _bands(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """band, value, h: the MinHash bands of every paragraph."""
+    """band, value, h: the MinHash bands of every paragraph that has a shingle; shorter ones meet by their hash alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cutter()
@@ -308,7 +305,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     with a run; a document that keeps the passage itself has a row with keeper = key.
     n_paragraphs counts paragraphs only (0 where runs alone are shared), n_words each word
     once. Words of the first place of a run don't count as removed by runs that overlap
-    it. Null keys and texts have none, nor have pairs that share fewer than MIN_WORDS words.
+    it. A pair has a row however few words it shares. Null keys and texts have none.
     """
     docs = docs.filter(F.col(key).isNotNull())
     # kinds: 0 a paragraph's first place, 1 another one, 2 a run's first place, 3 another one
@@ -321,5 +318,4 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     new = [F.when(end[u].isNotNull(), x).otherwise(0).alias(u) for u, x in zip(unions, new)]
     out = spans[0].unionByName(spans[1]).select("doc", "keeper", "kind", *new).groupBy(F.col("doc").alias(key), F.col("keeper").alias("keeper_doc_id"))
     # removed: other places of paragraphs, and of runs but for the words of runs' first places
-    out = out.agg(F.count_if(F.col("kind") < 2).alias("n_paragraphs"), F.sum("u0").alias("n_words"), (F.sum("u1") - F.sum("u2") + F.sum("u3")).alias("n_removed_words"))
-    return out.filter(F.col("n_words") >= MIN_WORDS)
+    return out.agg(F.count_if(F.col("kind") < 2).alias("n_paragraphs"), F.sum("u0").alias("n_words"), (F.sum("u1") - F.sum("u2") + F.sum("u3")).alias("n_removed_words"))

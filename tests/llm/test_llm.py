@@ -233,6 +233,17 @@ def test_runs_that_start_mid_line(spark):
     assert (got[1000, 1000]["n_words"], got[1000, 1000]["n_removed_words"]) == (51, 1)
 
 
+def test_short_repeats_have_rows(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join("w%d" % x for x in rng.integers(0, 10**9, n))
+    verse = [text(4) for _ in range(9)]
+    a, b, c = text(5), text(12), text(15)
+    rows = [(1, "\n".join(verse)), (2, text(9) + "\n" + "\n".join(verse)), (3, a + "\n" + text(7)), (4, b), (5, c), (6, text(8)), (7, "\n".join([a, b, c, text(6)]))]
+    got = {(r["doc_id"], r["keeper_doc_id"]): (r["n_paragraphs"], r["n_words"], r["n_removed_words"]) for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {(1, 1): (9, 36, 0), (3, 3): (1, 5, 0), (4, 4): (1, 12, 0), (5, 5): (1, 15, 0)}
+    assert got == kept | {(2, 1): (9, 36, 36), (7, 3): (1, 5, 5), (7, 4): (1, 12, 12), (7, 5): (1, 15, 15)}
+
+
 def test_empty_tables(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert linededup.deduplicated(empty).count() == 0

@@ -49,10 +49,12 @@ OTHERS = [
 ]
 #: A paragraph without any of these can't be a notice; the rest aren't looked at further.
 ANCHOR = r"(?i)licen[sc]|permission|redistribut|rights reserved|\bgpl\b|\bgnu\b|creative commons|\bcc by"
-#: Calibrated probability below which a paragraph is unknown, and containment that confirms a family.
+#: Probability (the regression's own; no calibration is fitted) below which a paragraph is unknown, and containment that confirms a likely family.
 MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.5
 EPOCHS = 300
+#: Windows of so many words are scored inside a line; the longest holds any template.
+SIZES = (5, 8, 12, 24)
 
 
 def _grams(text: str) -> list[str]:
@@ -83,8 +85,22 @@ def train() -> dict[str, dict[str, float]]:
     return out
 
 
-def _sql_grams(line: Column) -> Column:
-    words = F.filter(F.transform(F.regexp_extract_all(F.lower(F.replace(line, F.lit(","), F.lit(" "))), F.lit("[a-z0-9.]+"), 0), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
+def _sql_words(line: Column) -> Column:
+    return F.filter(F.transform(F.regexp_extract_all(F.lower(F.replace(line, F.lit(","), F.lit(" "))), F.lit("[a-z0-9.]+"), 0), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
+
+
+def _starts(words: Column, known: list[str]) -> Column:
+    """(start, size) of the whole line, and of the windows of each of SIZES in it that begin with a known word.
+
+    A notice that any template's words begin is the start of such a window.
+    """
+    n = F.size(words)
+    first = F.filter(F.transform(words, lambda w, i: F.when(w.isin(known), i)), lambda i: i.isNotNull())
+    inside = F.flatten(F.transform(first, lambda i: F.array(*[F.struct(i.alias("start"), F.least(F.lit(k), n - i).alias("size")) for k in SIZES])))
+    return F.array_distinct(F.concat(F.array(F.struct(F.lit(0).alias("start"), n.alias("size"))), inside))
+
+
+def _sql_grams(words: Column) -> Column:
     pairs = F.when(F.size(words) > 1, F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(words[i], F.lit(" "), w))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(words, pairs))
 
@@ -92,27 +108,33 @@ def _sql_grams(line: Column) -> Column:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, line, family, probability, overlap, confirmed for each paragraph that may be a notice.
 
-    Paragraphs are lines. family is the likeliest one, or `unknown` where its
-    probability stays under 0.5; confirmed says that at least half of the words
-    and word pairs of one of the family's templates stand in the paragraph. Null and empty
+    Paragraphs are lines, scored whole and by windows of fixed sizes, of which the
+    best counts, so words around a notice don't dilute it. family is the likeliest one, or
+    `unknown` where its probability stays under 0.5 and no window holds a whole
+    template; confirmed says that a window holds at least half of the words
+    and word pairs of one of the family's templates. Null and empty
     texts, and paragraphs without an anchor word, give no row. The weights (a
     few hundred) and templates are constants of fixed size.
     """
     lines = docs.filter(F.col(text).rlike(ANCHOR)).select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("line", "words"))
-    lines = lines.filter(F.col("words").rlike(ANCHOR)).select(key, "line", "words", _sql_grams(F.col("words")).alias("g"))
+    # lines are told apart by a number of their own: keys may be null or repeat
+    lines = lines.filter(F.col("words").rlike(ANCHOR)).select(F.monotonically_increasing_id().alias("row"), key, "line", _sql_words(F.col("words")).alias("words"))
     weights = train()
+    lines = lines.withColumn("at", F.explode(_starts(F.col("words"), sorted({w for g in (g for x in weights.values() for g in x) for w in g.split()}))))
+    lines = lines.select("row", "at", key, "line", _sql_grams(F.slice("words", F.col("at.start") + 1, F.col("at.size"))).alias("g"))
     grams = sorted({g for w in weights.values() for g in w if g})
     spark = docs.sparkSession
     families = sorted(weights)
     table = F.broadcast(spark.createDataFrame([(g, [float(weights[f].get(g, 0.0)) for f in families]) for g in grams], "gram string, w array<double>"))
-    # each gram of a paragraph once; sums by paragraph are partial before the shuffle
-    each = lines.select(key, "line", F.size("g").alias("n"), F.explode("g").alias("gram")).join(table, "gram", "left")
+    # each gram of a window once; sums by window are partial before the shuffle
+    each = lines.select("row", "at", key, "line", F.size("g").alias("n"), F.explode("g").alias("gram")).join(table, "gram", "left")
     sums = [F.sum(F.coalesce(F.col("w")[i], F.lit(0.0))).alias(f"s{i}") for i in range(len(families))]
     hits = [F.count_if(F.col("gram").isin(_grams(t))).alias(f"t{i}_{j}") for i, f in enumerate(families) for j, t in enumerate(TEMPLATES[f])]
-    per = each.groupBy(key, "line", "n").agg(*sums, *hits)
+    per = each.groupBy("row", "at", key, "line", "n").agg(*sums, *hits)
     p = lambda i: 1 / (1 + F.exp(-(F.lit(weights[families[i]][""]) + F.col(f"s{i}") / F.sqrt("n"))))
     over = lambda i: F.greatest(F.lit(0.0), *[F.col(f"t{i}_{j}") / len(_grams(t)) for j, t in enumerate(TEMPLATES[families[i]])])
-    best = F.array_max(F.array(*[F.struct(p(i).alias("p"), over(i).alias("o"), F.lit(f).alias("f")) for i, f in enumerate(families)]))
-    out = per.select(key, "line", best.alias("b"))
-    sure = F.col("b.p") >= MIN_PROBABILITY
-    return out.select(key, "line", F.when(sure, F.col("b.f")).otherwise("unknown").alias("family"), F.round("b.p", 6).alias("probability"), F.round("b.o", 6).alias("overlap"), (sure & (F.col("b.o") >= MIN_OVERLAP)).alias("confirmed"))
+    # the likeliest window of each family and its best containment in any window; containment of a whole template settles the family
+    best = per.groupBy("row", key, "line").agg(*[F.max(p(i)).alias(f"p{i}") for i in range(len(families))], *[F.max(over(i)).alias(f"o{i}") for i in range(len(families))])
+    one = lambda i: F.struct(((F.col(f"p{i}") >= MIN_PROBABILITY) | (F.col(f"o{i}") == 1)).alias("sure"), F.col(f"p{i}").alias("p"), F.col(f"o{i}").alias("o"), F.lit(families[i]).alias("f"))
+    out = best.select(key, "line", F.array_max(F.array(*map(one, range(len(families))))).alias("b"))
+    return out.select(key, "line", F.when(F.col("b.sure"), F.col("b.f")).otherwise("unknown").alias("family"), F.round("b.p", 6).alias("probability"), F.round("b.o", 6).alias("overlap"), (F.col("b.sure") & (F.col("b.o") >= MIN_OVERLAP)).alias("confirmed"))

@@ -197,6 +197,21 @@ def test_licences(spark):
     assert got[(1, 1)] == ("mit", True) and got[(4, 0)] == ("apache-2.0", True) and not got[(2, 0)][1]
 
 
+def test_licenses_inside_longer_lines(spark):
+    other = lambda n: " ".join("wort%d" % i for i in range(n))
+    short = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts if re.search(licenses.ANCHOR, t)]
+    rows = [(100 * k + n // 10, f"{other(n)} {t} {other(n // 2)}") for k, (_, t) in enumerate(short) for n in (0, 20, 40, 200)]
+    got = {r["doc_id"]: (r["family"], r["confirmed"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (short[i // 100][0], True) for i, _ in rows} == got
+    assert licenses.scan(spark.createDataFrame([(1, "the license plate was taken from the road " + other(60))], "doc_id long, text string")).filter("confirmed").count() == 0
+
+
+def test_licenses_of_repeated_and_null_keys(spark):
+    rows = [(k, t) for k in (1, None) for t in ("Released under the MIT License.", "Licensed under the GPL.", "Licensed under the GPL.")]
+    got = sorted((r["doc_id"] or 0, r["family"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(k, f) for k in (0, 1) for f in ("gpl", "gpl", "mit")]
+
+
 def test_repeated_passages(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The word rule shared by the operators: runs of anything but space and \t-\r.
@@ -21,21 +22,54 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir.
 
-    Only where that setting is absent (a local session, as in tests) a
-    temporary folder is made and kept in the setting.
+    Only in a local session without that setting (as in tests) a temporary
+    folder is made and kept in it; on a cluster its absence is an error, since
+    executors couldn't see a folder of the driver.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again; this cuts lineage."""
+def saved(df: DataFrame, label: str, **options: object) -> DataFrame:
+    """Write df to the shared folder and read it again; this cuts lineage. options are the writer's."""
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more, and let Spark delete the shuffle files of ended steps.
+
+    Spark's cleaner deletes shuffle files once the driver has collected the
+    objects that stand for them; without a collection they stay for as long as
+    the driver's heap isn't full.
+    """
+    jvm = spark._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores behind it as it takes to clash with none of taken."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,38 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, saved
+from .common import WORD_SPLIT, column, dropped, free_name, saved
 
 #: Similarity from which two lines match, in tenths.
 TENTHS = 8
 #: Token counts are kept for so many hash buckets, whatever the vocabulary.
 SKETCH_BITS = 18
-#: Rows that can be skipped are known by so many hash buckets.
-FILTER_BITS = 20
+#: Rows that can be skipped are known by a bit for each of 2**k hash buckets; k lies between these, by how many rows are wanted.
+FILTER_BITS = (12, 24)
 WORD_CHAR = "[^\\x20\\x09-\\x0D]"
 
 
-def _dense(marks: DataFrame, bits: int) -> DataFrame:
-    """One row, one column: an array of 2**bits small numbers from marks (bucket long, level int).
+def _dense(marks: DataFrame, buckets: int, kind: str) -> DataFrame:
+    """One row, one column x: an array of numbers for the buckets 0 to buckets - 1, from marks (bucket, level), zero where there is none.
 
-    Its size is fixed by bits; the array is built from 1024 parts, so that no
-    task meets more than 2**bits / 1024 numbers or 1024 parts.
+    Its size is fixed by buckets; the array is built from 256 parts, so that no
+    task meets more than buckets / 256 numbers or 256 parts.
     """
-    spark = marks.sparkSession
-    part = 1 << max(0, bits - 10)
-    zero = spark.range(1 << bits).select(F.col("id").alias("bucket"), F.lit(0).alias("level"))
-    full = marks.select("bucket", "level").unionByName(zero).groupBy("bucket").agg(F.max("level").cast("tinyint").alias("level"))
+    part = max(1, buckets >> 8)
+    zero = marks.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast(kind).alias("level"))
+    full = marks.select(F.col("bucket").cast("long").alias("bucket"), F.col("level").cast(kind).alias("level")).unionByName(zero).groupBy("bucket").agg(F.bit_or("level").alias("level"))
     parts = full.groupBy(F.floor(F.col("bucket") / part).alias("part")).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).alias("x"))
     parts = parts.select("part", F.transform("x", lambda s: s["level"]).alias("x"))
-    whole = parts.agg(F.sort_array(F.collect_list(F.struct("part", "x"))).alias("x")).select(F.flatten(F.transform("x", lambda s: s["x"])).alias("x"))
-    return saved(whole, "line-sketch")
-
-
-def _bucket(hashed: Column, bits: int) -> Column:
-    return F.pmod(hashed, F.lit(1 << bits))
+    return parts.agg(F.sort_array(F.collect_list(F.struct("part", "x"))).alias("x")).select(F.flatten(F.transform("x", lambda s: s["x"])).alias("x"))
 
 
 def _words(text: Column) -> Column:
@@ -42,6 +38,11 @@ def _words(text: Column) -> Column:
     return F.when(odd, F.array_remove(F.split(text, WORD_SPLIT), "")).otherwise(F.split(text, " "))
 
 
+def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, h, line, words: each line by its document's key, its text's hash and its place."""
+    return docs.select(column(key).alias("doc"), F.xxhash64(column(text)).alias("h"), F.posexplode(F.split(column(text), "\n")).alias("line", "words"))
+
+
 def token_levels(docs: DataFrame, text: str = "text") -> Column:
     """A sketch of how often each token occurs: twice the binary logarithm of its bucket's count.
 
@@ -50,23 +51,27 @@ def token_levels(docs: DataFrame, text: str = "text") -> Column:
     Subqueries can't stand in a lambda, so the sketch (of fixed size, at most
     20 bytes a bucket) passes through the driver as a constant.
     """
-    tokens = docs.select(F.explode(_words(F.replace(F.col(text), F.lit("\n"), F.lit(" ")))).alias("w"))
+    words = F.when(column(text).rlike("[\\x09\\x0B-\\x0D]"), F.split(column(text), WORD_SPLIT)).otherwise(F.split(F.replace(column(text), F.lit("\n"), F.lit(" ")), " "))
+    tokens = docs.select(F.explode(words).alias("w")).filter("w <> ''")
     counts = tokens.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - SKETCH_BITS).alias("bucket")).count()
-    marks = counts.select("bucket", F.least(F.lit(63), F.floor(2 * F.log2("count")) + 1).cast("int").alias("level"))
+    marks = counts.select("bucket", F.least(F.lit(63), F.floor(2 * F.log2("count")) + 1).alias("level"))
     turn = F.transform("x", lambda x, i: F.shiftleft(x.cast("long").bitwiseXOR(F.shiftright(i, SKETCH_BITS - 7).cast("long")), 57))
-    return F.split(F.lit(_dense(marks, SKETCH_BITS).select(F.array_join(turn, ",")).first()[0]), ",").cast("array<bigint>")
+    return F.split(F.lit(_dense(marks, 1 << SKETCH_BITS, "int").select(F.array_join(turn, ",")).first()[0]), ",").cast("array<bigint>")
+
 
+def _hashes(line: Column) -> Column:
+    """The hashes of a line's distinct tokens."""
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
-def _tokens(line: Column, levels: Column) -> Column:
-    """A line's distinct tokens as numbers that sort by rarity, rarest first.
+
+def _by_rarity(hashes: Column, levels: Column) -> Column:
+    """The tokens as numbers that sort by rarity, rarest first.
 
     The seven highest bits hold the sketch's level, the rest are the token's
     hash. Any total order of tokens gives an exact prefix filter; this one puts
     rare tokens first.
     """
-    hashed = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    ranked = F.transform(hashed, lambda h: h.bitwiseXOR(levels[F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")]))
-    return F.sort_array(ranked)
+    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(levels[F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")])))
 
 
 def _bitmap(tokens: Column) -> Column:
@@ -74,32 +79,27 @@ def _bitmap(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _needed(n: Column) -> Column:
-    """The overlap that two lines of n tokens need at least: ceil(0.8 n)."""
-    return F.ceil(n * TENTHS / F.lit(10))
-
-
-def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "words"))
+def _prefix(n: Column) -> Column:
+    """How many of the rarest tokens of a set of n hold one of any set with a similarity of 0.8: n - ceil(0.8 n) + 1. Sets of up to three tokens match equal sets only."""
+    return F.when(n <= 3, F.lit(0)).otherwise(n - F.ceil(n * TENTHS / F.lit(10)) + 1).cast("int")
 
 
-def line_sets(docs: DataFrame, levels: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, line, n, k1, k2, prefix for each line with a word.
+def token_classes(docs: DataFrame, levels: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, n, bits, prefix, doc, h, line: one row for each token set, with its first line; ids follow the order of these lines.
 
-    (k1, k2) identify the token set; prefix holds the tokens among which two
-    matching sets must share one (as 32-bit numbers, only to find candidates).
-    Lines of up to three tokens match equal sets only and need no prefix.
+    prefix holds the tokens among which two matching sets must share one (as
+    32-bit numbers, only to find candidates).
     """
     # not a filter by n, which the optimizer would push down with all of t in it
-    t = numbered_lines(docs, key, text).filter(F.col("words").rlike(WORD_CHAR)).select("doc", "line", _tokens(F.col("words"), levels).alias("t"))
-    t = t.withColumn("n", F.size("t"))
-    length = F.when(F.col("n") <= 3, F.lit(0)).otherwise(F.col("n") - _needed(F.col("n")) + 1).cast("int")
-    prefix = F.transform(F.slice("t", F.lit(1), length), lambda x: F.hash(x))
-    return t.select("doc", "line", "n", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), prefix.alias("prefix"), _bitmap(F.col("t")).alias("bits"))
-
-
-def _index(classes: DataFrame) -> DataFrame:
-    return classes.filter("n > 3").select("id", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+    lines = numbered_lines(docs, key, text).filter(F.col("words").rlike(WORD_CHAR))
+    rows = lines.select("doc", "h", "line", _by_rarity(_hashes(F.col("words")), levels).alias("t")).withColumn("n", F.size("t"))
+    prefix = F.transform(F.slice("t", F.lit(1), _prefix(F.col("n"))), lambda x: F.hash(x))
+    rows = rows.select("doc", "h", "line", "n", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), _bitmap(F.col("t")).alias("bits"), prefix.alias("prefix"))
+    # the row numbers' limit holds before the shuffle too, so a set with a third of all lines sends one row a task
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc", "h", "line"))
+    first = rows.withColumn("nth", nth).filter("nth = 1").drop("nth", "k1", "k2")
+    # ranges in order, rows in order, so the ids that Spark deals out are in order
+    return first.repartitionByRange("doc", "h", "line").sortWithinPartitions("doc", "h", "line").withColumn("id", F.monotonically_increasing_id())
 
 
 def _similar(x: str, y: str) -> Column:
@@ -118,94 +118,129 @@ def _similar(x: str, y: str) -> Column:
 
 
 def candidates_with_first(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b): b with the first set a under a prefix token they share. As many as prefix tokens at most."""
+    """Pairs (a, b): b with the first set a under a token they share among the rarest. As many as such tokens at most.
+
+    Only the part of the prefix is looked at in which two sets of one size must
+    meet: this round thins out groups of copies and needn't find all pairs.
+    """
+    short = (F.col("n") - F.ceil(F.col("n") * (2 * TENTHS) / F.lit(10 + TENTHS)) + 1).cast("int")
+    index = classes.filter("n > 3").select("id", "n", "bits", F.posexplode(F.slice("prefix", F.lit(1), short)).alias("pos", "token"))
     by = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = lambda c: F.first(c).over(by).alias(f"a_{c}")
-    rows = _index(classes).select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "bits")], *map(first, ("id", "n", "pos", "bits")))
+    own = ("id", "n", "pos", "bits")
+    rows = index.withColumn("a", F.first(F.struct(*own)).over(by))
+    rows = rows.select(*[F.col(c).alias(f"b_{c}") for c in own], *[F.col(f"a.{c}").alias(f"a_{c}") for c in own])
     return rows.filter((F.col("a_id") < F.col("b_id")) & _similar("a", "b")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
-def candidates(classes: DataFrame, open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) for the sets b of open_ and all earlier sets a that pass the filters."""
-    a = _index(classes).select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "bits")])
-    b = _index(open_).select("token", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "bits")])
-    return a.join(b, (a["token"] == b["token"]) & (F.col("a_id") < F.col("b_id")) & _similar("a", "b")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+def candidates(classes: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs (a, b) for the sets b that have no pair in near yet, and all earlier sets a that pass the filters.
 
+    Both sides are the same rows, shuffled once (a reused exchange). For this,
+    whether a set is open stands in its id's last bit and is asked for in a
+    condition on both sides, which the optimizer can't move to one of them.
+    """
+    done = near.select(F.col("b").alias("id")).distinct().withColumn("done", F.lit(True))
+    number = (F.col("id") * 2 + F.when(F.col("done"), 0).otherwise(1)).alias("code")
+    index = classes.filter("n > 3").join(done, "id", "left").select(number, "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+    a, b = (index.select([F.col(c).alias(f"{side}_{c}") for c in ("token", "code", "n", "pos", "bits")]) for side in "ab")
+    later = F.when(F.col("a_code") < F.col("b_code"), F.col("b_code") % 2 == 1).otherwise(False)
+    found = a.join(b, (F.col("a_token") == F.col("b_token")) & later & _similar("a", "b"))
+    return found.select(F.shiftright("a_code", 1).alias("a"), F.shiftright("b_code", 1).alias("b")).distinct()
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of at least 0.8, by their lines' tokens."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = saved(classes.join(ids, "id", "left_semi").select("id", F.col("first_doc").alias("doc"), F.col("first_line").alias("line")), "line-wanted")
-    sets = _few(numbered_lines(docs, key, text), wanted, ["doc", "line"], ["doc", "line"]).join(wanted, ["doc", "line"]).select("id", F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))).alias("t"))
-    sets = saved(sets, "line-tokens")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return saved(both.withColumn("s", shared).filter(F.col("s") * (10 + TENTHS) >= (F.size("x") + F.size("y")) * TENTHS).select("a", "b"), "line-links")
 
+def few(rows: DataFrame, wanted: DataFrame, here: list[str], there: list[str]) -> DataFrame:
+    """The rows whose columns here may be among wanted's columns there: a filter of bounded size, before any shuffle.
+
+    A bit for each hash bucket, about eight for each wanted row within
+    FILTER_BITS; beyond that it lets more rows through, and what follows stays exact.
+    """
+    low, high = FILTER_BITS
+    bits = min(high, max(low, (8 * wanted.count()).bit_length()))
+    place = lambda names: F.pmod(F.xxhash64(*map(F.col, names)), F.lit(1 << bits))
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    marks = wanted.select(place(there).alias("at")).groupBy(F.shiftright("at", 6).alias("bucket")).agg(F.bit_or(one(F.col("at"))).alias("level"))
+    words = _dense(marks, 1 << (bits - 6), "long").scalar()
+    return rows.filter(words[F.shiftright(place(here), 6).cast("int")].bitwiseAND(one(place(here))) != 0)
 
-def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, classes, links) of the similarity join of all lines of docs with earlier ones.
 
-    lines: doc, line, n, k1, k2 for each line with a word (membership).
-    classes: id, k1, k2, n, first_doc, first_line, one row for each token
-    set; ids follow the order of the sets' first lines.
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pairs whose sets have a Jaccard similarity of at least 0.8, by the tokens of their first lines."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    place = ["doc", "h", "line"]
+    wanted = saved(classes.join(ids, "id", "left_semi").select("id", *place), "line-wanted")
+    at = wanted.select("id", *[F.col(c).alias(f"at_{c}") for c in place])
+    rows = few(numbered_lines(docs, key, text), wanted, place, place)
+    same = F.col("doc").eqNullSafe(F.col("at_doc")) & (F.col("h") == F.col("at_h")) & (F.col("line") == F.col("at_line"))
+    # rows equal in key and text hold equal lines
+    lines = saved(rows.join(at, same).select("id", "words").dropDuplicates(["id"]), "line-words")
+    tokens = lambda side, name: lines.select(F.col("id").alias(side), _hashes(F.col("words")).alias(name))
+    both = pairs.join(tokens("a", "x"), "a").join(tokens("b", "y"), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("s"), (F.size("x") + F.size("y")).alias("n"))
+    out = saved(shared.filter(F.col("s") * (10 + TENTHS) >= F.col("n") * TENTHS).select("a", "b"), "line-links")
+    dropped(docs.sparkSession, wanted, lines, pairs)
+    return out
+
+
+def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(classes, links) of the similarity join of all lines of docs with earlier ones.
+
+    classes: one row for each token set, see token_classes.
     links: a < b, for every set b with an earlier set of Jaccard similarity of at
     least 0.8 one or more such sets a. Sets are first held against the
-    first of those that share a prefix token; only those that this leaves open
-    are joined with all earlier sets, so a group of near copies isn't spelt out in
-    pairs and no set with an earlier match is missed.
+    first of those that share one of their rarest tokens; only those that this
+    leaves open are joined with all earlier sets, so a group of near copies isn't
+    spelt out in pairs and no set with an earlier match is missed.
     """
-    levels = token_levels(docs, text)
-    lines = saved(line_sets(docs, levels, key, text), "lines")
-    # the row numbers' limit holds before the shuffle too, so a set with a third of all lines sends one row a task
-    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc", "line"))
-    classes = lines.withColumn("nth", first).filter("nth = 1").select("k1", "k2", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "n", "prefix", "bits")
-    # ranges in order, rows in order, so the ids that Spark deals out are in order
-    classes = classes.repartitionByRange("first_doc", "first_line").sortWithinPartitions("first_doc", "first_line")
-    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    classes = saved(token_classes(docs, token_levels(docs, text), key, text), "line-classes")
+    dropped(docs.sparkSession)
     near = verified(docs, classes, saved(candidates_with_first(classes), "line-pairs"), key, text)
-    open_ = saved(classes.filter("n > 3").join(near.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", "n", "bits", "prefix"), "line-open")
-    rest = verified(docs, classes, saved(candidates(classes, open_), "line-pairs"), key, text)
-    return lines, classes, near.unionByName(rest)
+    rest = verified(docs, classes, saved(candidates(classes, near), "line-pairs"), key, text)
+    return classes, near.unionByName(rest)
 
 
-def _few(rows: DataFrame, wanted: DataFrame, here: list[str], there: list[str]) -> DataFrame:
-    """The rows whose columns here may be among wanted's columns there: a filter of fixed size, before any shuffle."""
-    place = lambda names: _bucket(F.xxhash64(*names), FILTER_BITS)
-    marks = wanted.select(place(there).alias("bucket"), F.lit(1).alias("level"))
-    return rows.filter(F.element_at(_dense(marks, FILTER_BITS).scalar(), (place(here) + 1).cast("int")) == 1)
+def firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, h, stay, near for each document that holds the first line of a token set; a document is a key and a text (by its hash h).
 
-
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, n_lines, n_near, gone for each document with a line that has a word.
-
-    A line goes if an earlier one (by key, then place) matches it: has an equal
-    token set, or one with a Jaccard similarity of at least 0.8, whether that
-    one stays or not. gone lists the places of such lines, n_near counts those
-    that go without an equal earlier one.
+    A line goes if an earlier one (by key, null first, then text's hash, then
+    place) matches it: has an equal token set, or one with a Jaccard similarity of at
+    least 0.8, whether that one stays or not. So of the lines with a word just
+    those in stay remain: first lines of their set without an earlier similar
+    set. near lists the places of first lines that go.
     """
-    lines, classes, links = matches(docs, key, text)
+    classes, links = matches(docs, key, text)
     near = links.select(F.col("b").alias("id")).distinct().withColumn("near", F.lit(True))
-    marked = classes.select("id", "k1", "k2", "first_doc", "first_line").join(near, "id", "left").drop("id")
-    each = lines.select("doc", "line", "k1", "k2").join(marked, ["k1", "k2"])
-    first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))
-    near = first & F.coalesce("near", F.lit(False))
-    return each.groupBy("doc").agg(F.count("*").alias("n_lines"), F.count_if(near).alias("n_near"), F.sort_array(F.collect_list(F.when(near | ~first, F.col("line")))).alias("gone"))
+    marked = classes.select("id", "doc", "h", "line").join(near, "id", "left")
+    out = saved(marked.groupBy("doc", "h").agg(F.collect_list(F.when(F.col("near").isNull(), F.col("line"))).alias("stay"), F.collect_list(F.when(F.col("near"), F.col("line"))).alias("near")), "line-firsts")
+    dropped(docs.sparkSession, classes)
+    return out
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text of every row without its removed lines, and n_lines, n_removed, n_near (of them without an equal earlier line).
 
     Null texts stay null, texts without a word stay as they are. Rows that
-    repeat a key are read as one document each; equal places of such rows are
-    the same line to the order, and both go if one goes.
+    repeat a key with other texts, and rows with a null key, are documents of
+    their own. Rows equal in key and text are one document that is given more than
+    once: all get the same result. A count whose name docs already has gets an
+    underscore behind it.
     """
-    import uuid
-
     mark = f"__{uuid.uuid4().hex}"
-    gone = saved(removals(docs, key, text), "line-gone").select(F.col("doc").alias(mark), F.col("n_lines").alias(f"{mark}n"), F.col("n_near").alias(f"{mark}k"), F.col("gone").alias(f"{mark}g"))
-    joined = docs.join(gone, F.col(key).eqNullSafe(F.col(mark)), "left")
-    g = F.coalesce(F.col(f"{mark}g"), F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(g, i)), "\n")
-    columns = [F.when(F.size(g) == 0, F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce(f"{mark}n", F.lit(0)).alias("n_lines"), F.size(g).cast("long").alias("n_removed"), F.coalesce(f"{mark}k", F.lit(0)).alias("n_near"))
+    first = firsts(docs, key, text)
+    first = first.select(*[F.col(c).alias(f"{mark}{c}") for c in first.columns])
+    same = column(key).eqNullSafe(F.col(f"{mark}doc")) & (F.xxhash64(column(text)) == F.col(f"{mark}h"))
+    joined = docs.join(first, same, "left")
+    none = F.array().cast("array<int>")
+    lines = F.split(column(text), "\n")
+    gone = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD_CHAR) & ~F.array_contains(F.coalesce(F.col(f"{mark}stay"), none), i), i)), lambda i: i.isNotNull())
+    joined = joined.withColumns({f"{mark}gone": F.coalesce(gone, none), f"{mark}n": F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(WORD_CHAR))), F.lit(0))})
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(f"{mark}gone"), i)), "\n")
+    columns = [F.when(F.size(f"{mark}gone") == 0, column(text)).otherwise(kept).alias(text) if c == text else column(c) for c in docs.columns]
+    counts = {"n_lines": F.col(f"{mark}n"), "n_removed": F.size(f"{mark}gone"), "n_near": F.coalesce(F.size(f"{mark}near"), F.lit(0))}
+    return joined.select(*columns, *[x.cast("long").alias(free_name(name, docs.columns)) for name, x in counts.items()])
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without their removed lines and without the rows all of whose lines with a word are removed, with docs' columns."""
+    out = deduplicated(docs, key, text)
+    *columns, n_lines, n_removed, _ = out.columns
+    return out.filter((column(n_lines) == 0) | (column(n_removed) < column(n_lines))).select(*map(column, columns))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, linked_in_cells, saved
-from .linededup import _few
+from .linededup import few
 
 SHINGLE = 5
 #: Jaccard similarity of shingle sets, in tenths.
@@ -155,7 +155,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     twice = found.groupBy("mark").count().filter("count > 1").select("mark")
     wanted = saved(found.join(twice, "mark", "left_semi").distinct(), "run-wanted")
     of = wanted.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("mark").alias("marks"))  # at most a document's words
-    rows = _few(docs.select(key, text), wanted, [key], ["doc"]).join(of, F.col(key) == F.col("__doc")).select(key, text, "marks")
+    rows = few(docs.select(key, text), wanted, [key], ["doc"]).join(of, F.col(key) == F.col("__doc")).select(key, text, "marks")
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cutter()
@@ -220,7 +220,7 @@ def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str, text: s
     """h, s: the shingles of the paragraphs whose hashes are in ids (h)."""
     wanted = saved(classes.join(ids, "h", "left_semi").select("h", "doc"), "sub-wanted")
     of = wanted.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("h").alias("hs"))  # at most a document's paragraphs
-    rows = _few(docs.select(key, text), wanted, [key], ["doc"]).join(of, F.col(key) == F.col("__doc")).select(text, "hs")
+    rows = few(docs.select(key, text), wanted, [key], ["doc"]).join(of, F.col(key) == F.col("__doc")).select(text, "hs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cutter()

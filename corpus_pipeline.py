@@ -20,8 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; those of which nothing is left go."""
-    out = linededup.deduplicated(docs)
-    return out.filter("n_lines = 0 or n_removed < n_lines").select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+    return linededup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,19 +8,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, saved
+
 LETTERS = regex.compile(r"\p{L}+")
 ORDER = 4
 DISCOUNT = 0.75
-#: Training reads about so many documents of each language (a sample by hash), of the most common languages.
+#: Training reads about so many documents of each language (a sample by hash), whatever their number.
 PER_LANG = 1500
-MAX_LANGS = 128
-#: A text is rejected beyond the worst calibration text's cross-entropy plus so many bits.
-MARGIN_BITS = 1.0
+#: Of the sample, one document in so many calibrates confidence and rejection and is not counted.
+FOLDS = 5
+#: Share of the calibration texts of learned languages that may be rejected at most.
+LOST = 0.001
+#: Confidence is sharpened by one of these.
+SHARPNESS = [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
 UNKNOWN = "und"
-KEEP_WORDS = 400_000
+#: Numbers kept of words a task has met: one for each language and word.
+KEEP = 1_600_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,90 +60,94 @@ def _grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return out, word, ~first
 
 
-class Model:
-    """Sorted gram hashes by order, with each language's discounted probability and back-off weight."""
-
-    def __init__(self, counts: dict[str, Counter]) -> None:
-        self.langs = sorted(counts)
-        tables: list[dict] = []
-        for lang in self.langs:
-            words = list(counts[lang])
-            weight = np.array([counts[lang][w] for w in words], np.float64)
-            grams, word, real = _grams(words)
-            w = weight[word] if len(words) else np.empty(0)
-            tables.append(self._one(grams, w, real))
+def _rows(words: list[str], weight: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """For each order the distinct grams of words with: the gram before their last letter, the gram without their first letter, whether they begin their word, weight."""
+    grams, word, real = _grams(words)
+    first = np.concatenate([[0], np.cumsum(np.bincount(word))[:-1]])[word] if len(word) else word
+    depth = np.arange(len(word)) - first
+    none = np.zeros(len(word), np.uint64)
+    out = []
+    for k in range(ORDER):
+        use = real & (grams[k] != 0)
+        before = np.concatenate([none[:1], grams[k - 1][:-1]]) if k and len(word) else none
+        shorter = grams[k - 1] if k else none
+        keys, at, inverse = np.unique(grams[k][use], return_index=True, return_inverse=True)
+        out.append((keys, before[use][at], shorter[use][at], (depth == k)[use][at], np.bincount(inverse, weight[word][use], len(keys))))
+    return out
+
+
+class Tables:
+    """One language: by order the sorted gram hashes, their discounted probability and their back-off weight."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, ...]]) -> None:
         self.keys, self.prob, self.back = [], [], []
+        contexts: list[tuple[np.ndarray, np.ndarray]] = []
+        shares: list[np.ndarray] = []
+        for k, (keys, before, _, begins, n) in enumerate(rows):
+            count = n.astype(float)
+            if k < ORDER - 1:
+                # Below the highest order: how many letters precede the gram; one that begins its word has none before it and keeps its own count.
+                longer = np.bincount(np.searchsorted(keys, rows[k + 1][2]), minlength=len(keys)).astype(float)
+                count = np.where(begins, count, np.maximum(longer, 1.0))
+            ctx, ci = np.unique(before, return_inverse=True)
+            total = np.bincount(ci, count, len(ctx))
+            d = np.minimum(DISCOUNT, count)
+            shares.append((count - d) / total[ci])
+            contexts.append((ctx, np.bincount(ci, d, len(ctx)) / total))
+        # Weight of the uniform distribution below the single letters.
+        self.floor = max(float(contexts[0][1][0]) if len(contexts[0][1]) else 1.0, 1e-6) / 4096.0
         for k in range(ORDER):
-            keys = np.unique(np.concatenate([np.empty(0, np.uint64), *(t[k][0] for t in tables), *(t[k][2] for t in tables)]))
-            prob = np.zeros((len(keys) + 1, len(self.langs)), np.float64)
-            back = np.ones((len(keys) + 1, len(self.langs)), np.float64)
-            for j, t in enumerate(tables):
-                prob[np.searchsorted(keys, t[k][0]), j] = t[k][1]
-                back[np.searchsorted(keys, t[k][2]), j] = t[k][3]
+            ctx, weight = contexts[k + 1] if k + 1 < ORDER else (np.empty(0, np.uint64), np.empty(0))
+            keys = np.union1d(rows[k][0], ctx)
+            prob, back = np.zeros(len(keys) + 1), np.ones(len(keys) + 1)
+            prob[np.searchsorted(keys, rows[k][0])] = shares[k]
+            back[np.searchsorted(keys, ctx)] = weight
             self.keys.append(keys)
             self.prob.append(prob)
             self.back.append(back)
-        # Weight of the uniform distribution below the single letters.
-        self.floor = np.array([t[ORDER] for t in tables]) / 4096.0
-        self.bound, self.scale = np.inf, 1.0
-
-    @staticmethod
-    def _one(grams: list[np.ndarray], w: np.ndarray, real: np.ndarray) -> list:
-        """For each order: grams, their discounted share, contexts, their back-off weight; then the floor's weight."""
-        out: list = []
-        rest = 1.0
-        for k in range(ORDER):
-            use = real & (grams[k] != 0)
-            g = grams[k][use]
-            context = np.concatenate([[np.uint64(0)], grams[k - 1][:-1]])[use] if k else np.zeros(use.sum(), np.uint64)
-            keys, at, inverse = np.unique(g, return_index=True, return_inverse=True)
-            if k == ORDER - 1:
-                count = np.bincount(inverse, w[use], len(keys))
-            else:
-                # Below the highest order: how many letters precede the gram.
-                longer = grams[k + 1]
-                ok = use & (longer != 0)
-                pairs, where = np.unique(longer[ok], return_index=True)
-                count = np.bincount(np.searchsorted(keys, grams[k][ok][where]), minlength=len(keys)).astype(float)
-                count = np.maximum(count, 1.0)  # a gram at the start of a word has nothing before it
-            before = context[at]
-            ctx, ci = np.unique(before, return_inverse=True)
-            total = np.bincount(ci, count, len(ctx))
-            kinds = np.bincount(ci, minlength=len(ctx))
-            d = np.minimum(DISCOUNT, count)
-            share = (count - d) / total[ci]
-            weight = np.bincount(ci, d, len(ctx)) / total
-            del kinds
-            if k:
-                out[k - 1][2:] = [ctx, weight]
-            else:
-                rest = float(weight[0]) if len(weight) else 1.0
-            out.append([keys, share, np.empty(0, np.uint64), np.empty(0)])
-        out.append(max(rest, 1e-6))
-        return out
 
-    def bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word its bits under each language, and its number of predicted letters."""
-        n = len(self.langs)
-        if not words:
-            return np.zeros((0, n)), np.zeros(0)
-        grams, word, real = _grams(words)
-        p = np.tile(self.floor, (len(word), 1))
-        last = np.full(len(word), len(self.keys[0]))
+    def probabilities(self, grams: list[np.ndarray]) -> np.ndarray:
+        p, last = np.full(len(grams[0]), self.floor), np.zeros(0, np.int64)
         for k in range(ORDER):
             keys = self.keys[k]
             at = np.searchsorted(keys, grams[k])
-            at = np.where(keys[np.minimum(at, len(keys) - 1)] == grams[k], at, len(keys)) if len(keys) else np.zeros(len(word), int)
+            at = np.where(keys[np.minimum(at, len(keys) - 1)] == grams[k], at, len(keys)) if len(keys) else np.zeros(len(p), np.int64)
             if k:
                 context = np.concatenate([[len(self.keys[k - 1])], last[:-1]])
-                has = grams[k] != 0
-                p = np.where(has[:, None], self.prob[k][at] + self.back[k - 1][context] * p, p)
+                p = np.where(grams[k] != 0, self.prob[k][at] + self.back[k - 1][context] * p, p)
             else:
                 p = p + self.prob[0][at]
             last = at
-        cost = np.where(real[:, None], -np.log2(np.maximum(p, 1e-12)), 0.0)
+        return p
+
+
+class Model:
+    """The languages' tables, the sharpness of the confidence, and when a text is rejected.
+
+    A text of n letters is rejected if its cross-entropy under the best language
+    is over bound + spread / sqrt(n): short texts scatter more.
+    """
+
+    def __init__(self, grams: dict[str, list[tuple[np.ndarray, ...]]]) -> None:
+        self.langs = sorted(grams)
+        self.tables = [Tables(grams[x]) for x in self.langs]
+        self.bound, self.spread, self.scale = np.inf, 0.0, 1.0
+
+    @classmethod
+    def of_words(cls, counts: dict[str, Counter]) -> Model:
+        return cls({k: _rows(list(c), np.array(list(c.values()), float)) for k, c in counts.items()})
+
+    def bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its bits under each language, and its number of predicted letters."""
+        if not words:
+            return np.zeros((0, len(self.langs))), np.zeros(0)
+        grams, word, real = _grams(words)
         starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        return np.add.reduceat(cost, starts, axis=0), np.add.reduceat(real.astype(float), starts)
+        cost = [np.add.reduceat(np.where(real, -np.log2(np.maximum(t.probabilities(grams), 1e-12)), 0.0), starts) for t in self.tables]
+        return np.stack(cost, axis=1), np.add.reduceat(real.astype(float), starts)
+
+    def rejects(self, low: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        return (letters == 0) | (low > self.bound + self.spread / np.sqrt(np.maximum(letters, 1)))
 
 
 class Scorer:
@@ -153,7 +164,7 @@ class Scorer:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a letter under each language for each text, and its letters (0: none)."""
-        if len(self.number) > KEEP_WORDS:
+        if len(self.number) * len(self.m.langs) > KEEP:
             self._fresh()
         number = self.number
         rows = []
@@ -191,43 +202,107 @@ class Scorer:
         score = 1.0 / np.exp(-m.scale * np.minimum(letters, 200)[:, None] * (x - low[:, None])).sum(axis=1)
         none = letters == 0
         names = [UNKNOWN if no else m.langs[b] for b, no in zip(best.tolist(), none.tolist())]
-        return names, np.where(none, 0.0, score), np.where(none, 0.0, low), none | (low > m.bound)
+        return names, np.where(none, 0.0, score), np.where(none, 0.0, low), m.rejects(low, letters)
+
+
+def _noise(text: str) -> str:
+    """The text with all its letters in another order, by a seed that is its hash: letters of a language, but no words of one."""
+    chars = np.array(list(text.lower()))
+    at = np.array([i for m in LETTERS.finditer("".join(chars)) for i in range(m.start(), m.end())], np.int64) if len(chars) else np.zeros(0, np.int64)
+    at = at[at < len(chars)]
+    chars[at] = np.random.default_rng(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).permutation(chars[at])
+    return "".join(chars)
+
+
+def _checked(rows: DataFrame, model: Model) -> np.ndarray:
+    """A row for each calibration text: letters, bits under the best language, under the best other one, of its letters in another order, and the loss for each sharpness."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, scorer = shared.value, Scorer(shared.value)
+        for b in batches:
+            for s in range(0, b.num_rows, 64):
+                langs, texts = (c.to_pylist() for c in b.slice(s, 64).columns)
+                x, letters = scorer.entropies(texts)
+                noise = scorer.entropies([_noise(t) for t in texts])[0].min(axis=1)
+                truth = np.array([m.langs.index(k) for k in langs])
+                other = x.copy()
+                other[np.arange(len(x)), truth] = np.inf
+                gap = -(x - x.min(axis=1)[:, None]) * np.minimum(letters, 200)[:, None]
+                loss = [np.log(np.exp(c * gap).sum(axis=1)) - c * gap[np.arange(len(x)), truth] for c in SHARPNESS]
+                out = np.stack([letters, x.min(axis=1), other.min(axis=1), noise, *loss], axis=1)[letters > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.list_(pa.float64()))], names=["x"])
+
+    found = rows.select("l", "t").mapInArrow(run, "x array<double>").toArrow()
+    return np.array(found["x"].to_pylist(), float).reshape(-1, 4 + len(SHARPNESS))
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Model:
     """Fit the models on about per_lang documents of each language that aren't held out.
 
-    The sample is drawn by a hash of the key; four fifths of it are counted,
-    the rest calibrates the confidence and the bound for rejection.
+    The sample is drawn by a hash of key and text, and equal texts of a language
+    count once. One in FOLDS calibrates; a language of which nothing else is
+    drawn is learned from all of its sample. Words and then grams are counted in
+    tasks; the driver gets a row for each gram of a language, of which a
+    language has a bounded number (letters to the power ORDER), and eleven numbers for
+    each calibration text. Null texts and languages aren't learned from.
+
+    Rejection is calibrated on texts of no learned language: each calibration
+    text under the best of the other languages, and with its letters in
+    another order. The bound lies halfway between these and the texts of learned
+    languages where they part, and loses at most LOST of the latter where not.
     """
     known = docs.filter(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    top = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
-    if not top:
-        return Model({})
-    place = F.pmod(F.xxhash64(F.lit("language sample"), "k"), F.lit(1_000_000))
-    drawn = F.lit(False)
-    for r in top:
-        drawn = drawn | ((F.col("l") == r["l"]) & (place < int(1_000_000 * min(1.0, per_lang / r["count"]))))
-    rows = known.filter(drawn).limit(2 * per_lang * len(top)).collect()
-    counts: dict[str, Counter] = {r["l"]: Counter() for r in top}
-    check: list[tuple[str, str]] = []
-    for r in rows:
-        if hash(r["k"]) % 5 == 4 if isinstance(r["k"], int) else len(r["t"]) % 5 == 4:
-            check.append((r["l"], r["t"]))
-        else:
-            counts[r["l"]].update(LETTERS.findall(r["t"].lower()))
-    model = Model({k: c for k, c in counts.items() if c})
-    if check and model.langs:
-        x, letters = Scorer(model).entropies([t for _, t in check])
-        truth = np.array([model.langs.index(k) if k in model.langs else -1 for k, _ in check])
-        ok = (letters > 0) & (truth >= 0)
-        if ok.any():
-            x, n, truth = x[ok], np.minimum(letters[ok], 200), truth[ok]
-            model.bound = float(x.min(axis=1).max() + MARGIN_BITS)
-            gap = -(x - x.min(axis=1)[:, None]) * n[:, None]
-            grid = [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
-            loss = [np.mean(np.log(np.exp(s * gap).sum(axis=1)) - s * gap[np.arange(len(truth)), truth]) for s in grid]
-            model.scale = grid[int(np.argmin(loss))]
+    place = F.pmod(F.xxhash64(F.lit("language sample"), "k", "t"), F.lit(1_000_000))
+    # a row for each language, joined by its own name
+    per = known.groupBy("l").agg(F.count("*").alias("n")).select("l", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n")).alias("share"))
+    drawn = known.withColumn("place", place).join(per, "l").filter(F.col("place") < F.col("share") * 1_000_000)
+    drawn = saved(drawn.select("l", "t", (F.pmod(F.xxhash64(F.lit("language fold"), "t"), F.lit(FOLDS)) == 0).alias("check")).dropDuplicates(["l", "t"]), "language-sample")
+    only = [r["l"] for r in drawn.groupBy("l").agg(F.min("check").alias("all")).filter("all").collect()]
+    learned = drawn.filter(~F.col("check") | F.col("l").isin(only))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: dict[str, Counter] = {}
+            for k, t in zip(*(c.to_pylist() for c in b.columns)):
+                counts.setdefault(k, Counter()).update(LETTERS.findall(t.lower()))
+            for k, c in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["l", "w", "n"])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, counts = np.array(b.column(0).to_pylist(), object), b.column(2).to_numpy()
+            for k in np.unique(langs.astype(str)):
+                own = np.flatnonzero(langs == k)
+                for order, (g, before, shorter, begins, n) in enumerate(_rows(b.column(1).take(pa.array(own)).to_pylist(), counts[own])):
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(np.full(len(g), order, np.int32)), *(pa.array(x.view(np.int64)) for x in (g, before, shorter)), pa.array(begins), pa.array(n.astype(np.int64))], names=["l", "k", "g", "before", "shorter", "begins", "n"])
+
+    counted = learned.select("l", "t").mapInArrow(words, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    rows = counted.mapInArrow(grams, "l string, k int, g long, before long, shorter long, begins boolean, n long")
+    table = rows.groupBy("l", "k", "g").agg(F.min("before").alias("before"), F.min("shorter").alias("shorter"), F.max("begins").alias("begins"), F.sum("n").alias("n")).toArrow()
+    langs, order = table["l"].to_numpy(), table["k"].to_numpy()
+    g, before, shorter = (table[c].to_numpy().view(np.uint64) for c in ("g", "before", "shorter"))
+    begins, n = table["begins"].to_numpy(), table["n"].to_numpy()
+    found: dict[str, list] = {}
+    for k in sorted(set(langs.tolist())):
+        found[k] = []
+        for o in range(ORDER):
+            own = np.flatnonzero((langs == k) & (order == o))
+            own = own[np.argsort(g[own])]
+            found[k].append((g[own], before[own], shorter[own], begins[own].astype(bool), n[own]))
+    model = Model(found)
+    checks = drawn.filter(F.col("check") & F.col("l").isin(model.langs)) if model.langs else None
+    x = _checked(checks, model) if checks is not None else np.zeros((0, 4))
+    if len(x):
+        letters, low, unknown = x[:, 0], x[:, 1], np.concatenate([x[:, 2], x[:, 3]])
+        model.scale = SHARPNESS[int(np.argmin(x[:, 4:].mean(axis=0)))]
+        root = np.sqrt(letters)
+        model.spread = float(np.quantile(np.maximum(low - np.median(low), 0) * root, 1 - LOST))
+        least = low - model.spread / root
+        unknown = (unknown - model.spread / np.concatenate([root, root]))[np.isfinite(unknown)]
+        known_top, unknown_low = np.quantile(least, 1 - LOST), np.quantile(unknown, 0.02) if len(unknown) else np.inf
+        model.bound = float((known_top + unknown_low) / 2 if known_top < unknown_low < np.inf else known_top)
+    dropped(docs.sparkSession, drawn)
     return model
 
 

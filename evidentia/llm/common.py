@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: The word rule shared by the operators: runs of anything but space and \t-\r.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 WORD_RUN = "[^\\x20\\x09-\\x0D]+"
+#: Rows that can be skipped are known by a bit for each of 2**k hash buckets; k lies between these, by how many rows are wanted.
+FILTER_BITS = (12, 24)
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -76,6 +78,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def dense(marks: DataFrame, buckets: int, kind: str) -> DataFrame:
+    """One row, one column x: an array of numbers for the buckets 0 to buckets - 1, from marks (bucket, level), zero where there is none.
+
+    Its size is fixed by buckets; the array is built from 256 parts, so that no
+    task meets more than buckets / 256 numbers or 256 parts.
+    """
+    part = max(1, buckets >> 8)
+    zero = marks.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast(kind).alias("level"))
+    full = marks.select(F.col("bucket").cast("long").alias("bucket"), F.col("level").cast(kind).alias("level")).unionByName(zero).groupBy("bucket").agg(F.bit_or("level").alias("level"))
+    parts = full.groupBy(F.floor(F.col("bucket") / part).alias("part")).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).alias("x"))
+    parts = parts.select("part", F.transform("x", lambda s: s["level"]).alias("x"))
+    return parts.agg(F.sort_array(F.collect_list(F.struct("part", "x"))).alias("x")).select(F.flatten(F.transform("x", lambda s: s["x"])).alias("x"))
+
+
+def marked(rows: DataFrame, wanted: DataFrame, here: list[str], there: list[str], name: str) -> DataFrame:
+    """rows with a boolean column name: whether its columns here may be among wanted's columns there. A filter of bounded size, before any shuffle.
+
+    A bit for each hash bucket, about eight for each wanted row within
+    FILTER_BITS; beyond that it lets more rows through, and what follows stays exact.
+    """
+    low, high = FILTER_BITS
+    bits = min(high, max(low, (8 * wanted.count()).bit_length()))
+    place = lambda names: F.pmod(F.xxhash64(*map(column, names)), F.lit(1 << bits))
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    marks = wanted.select(place(there).alias("at")).groupBy(F.shiftright("at", 6).alias("bucket")).agg(F.bit_or(one(F.col("at"))).alias("level"))
+    words = dense(marks, 1 << (bits - 6), "long").scalar()
+    return rows.withColumn(name, words[F.shiftright(place(here), 6).cast("int")].bitwiseAND(one(place(here))) != 0)
+
+
+def few(rows: DataFrame, wanted: DataFrame, here: list[str], there: list[str]) -> DataFrame:
+    """The rows whose columns here may be among wanted's columns there, see marked."""
+    name = f"__{uuid.uuid4().hex}"
+    return marked(rows, wanted, here, there, name).filter(column(name)).drop(name)
+
+
 def forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray, parent: dict) -> list[tuple]:
     """Edges of (left, right) positions in ids that join two trees of parent."""
     out = []

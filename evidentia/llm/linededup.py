@@ -7,31 +7,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, column, dropped, free_name, saved
+from .common import WORD_SPLIT, column, dense, dropped, few, free_name, saved
 
 #: Similarity from which two lines match, in tenths.
 TENTHS = 8
 #: Token counts are kept for so many hash buckets, whatever the vocabulary.
 SKETCH_BITS = 18
-#: Rows that can be skipped are known by a bit for each of 2**k hash buckets; k lies between these, by how many rows are wanted.
-FILTER_BITS = (12, 24)
 WORD_CHAR = "[^\\x20\\x09-\\x0D]"
 
 
-def _dense(marks: DataFrame, buckets: int, kind: str) -> DataFrame:
-    """One row, one column x: an array of numbers for the buckets 0 to buckets - 1, from marks (bucket, level), zero where there is none.
-
-    Its size is fixed by buckets; the array is built from 256 parts, so that no
-    task meets more than buckets / 256 numbers or 256 parts.
-    """
-    part = max(1, buckets >> 8)
-    zero = marks.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast(kind).alias("level"))
-    full = marks.select(F.col("bucket").cast("long").alias("bucket"), F.col("level").cast(kind).alias("level")).unionByName(zero).groupBy("bucket").agg(F.bit_or("level").alias("level"))
-    parts = full.groupBy(F.floor(F.col("bucket") / part).alias("part")).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).alias("x"))
-    parts = parts.select("part", F.transform("x", lambda s: s["level"]).alias("x"))
-    return parts.agg(F.sort_array(F.collect_list(F.struct("part", "x"))).alias("x")).select(F.flatten(F.transform("x", lambda s: s["x"])).alias("x"))
-
-
 def _words(text: Column) -> Column:
     """The words of a text; splitting at single spaces is quicker where that is enough."""
     odd = text.rlike("[\\x09-\\x0D]") | text.contains("  ") | text.startswith(" ") | text.endswith(" ") | (text == "")
@@ -56,7 +40,7 @@ def token_levels(docs: DataFrame, text: str = "text") -> Column:
     counts = tokens.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - SKETCH_BITS).alias("bucket")).count()
     marks = counts.select("bucket", F.least(F.lit(63), F.floor(2 * F.log2("count")) + 1).alias("level"))
     turn = F.transform("x", lambda x, i: F.shiftleft(x.cast("long").bitwiseXOR(F.shiftright(i, SKETCH_BITS - 7).cast("long")), 57))
-    return F.split(F.lit(_dense(marks, 1 << SKETCH_BITS, "int").select(F.array_join(turn, ",")).first()[0]), ",").cast("array<bigint>")
+    return F.split(F.lit(dense(marks, 1 << SKETCH_BITS, "int").select(F.array_join(turn, ",")).first()[0]), ",").cast("array<bigint>")
 
 
 def _hashes(line: Column) -> Column:
@@ -148,21 +132,6 @@ def candidates(classes: DataFrame, near: DataFrame) -> DataFrame:
     return found.select(F.shiftright("a_code", 1).alias("a"), F.shiftright("b_code", 1).alias("b")).distinct()
 
 
-def few(rows: DataFrame, wanted: DataFrame, here: list[str], there: list[str]) -> DataFrame:
-    """The rows whose columns here may be among wanted's columns there: a filter of bounded size, before any shuffle.
-
-    A bit for each hash bucket, about eight for each wanted row within
-    FILTER_BITS; beyond that it lets more rows through, and what follows stays exact.
-    """
-    low, high = FILTER_BITS
-    bits = min(high, max(low, (8 * wanted.count()).bit_length()))
-    place = lambda names: F.pmod(F.xxhash64(*map(F.col, names)), F.lit(1 << bits))
-    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    marks = wanted.select(place(there).alias("at")).groupBy(F.shiftright("at", 6).alias("bucket")).agg(F.bit_or(one(F.col("at"))).alias("level"))
-    words = _dense(marks, 1 << (bits - 6), "long").scalar()
-    return rows.filter(words[F.shiftright(place(here), 6).cast("int")].bitwiseAND(one(place(here))) != 0)
-
-
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of at least 0.8, by the tokens of their first lines."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -173,11 +142,20 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str = "
     same = F.col("doc").eqNullSafe(F.col("at_doc")) & (F.col("h") == F.col("at_h")) & (F.col("line") == F.col("at_line"))
     # rows equal in key and text hold equal lines
     lines = saved(rows.join(at, same).select("id", "words").dropDuplicates(["id"]), "line-words")
-    tokens = lambda side, name: lines.select(F.col("id").alias(side), _hashes(F.col("words")).alias(name))
-    both = pairs.join(tokens("a", "x"), "a").join(tokens("b", "y"), "b")
+    dropped(docs.sparkSession, wanted)
+    # 16 bits of each token tell most pairs apart: what one side has of them and the other lacks, it lacks of tokens too
+    short = lines.select("id", _hashes(F.col("words")).alias("t")).select("id", F.size("t").alias("n"), F.array_distinct(F.transform("t", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("smallint"))).alias("s"))
+    both = pairs.join(short.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("s").alias("x")), "a").join(short.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("s").alias("y")), "b")
+    both = both.withColumns({"shared": F.size(F.array_intersect("x", "y")), "need": F.ceil((F.col("a_n") + F.col("b_n")) * TENTHS / F.lit(10 + TENTHS))})
+    lacks = lambda side, s: F.size(s) - F.col("shared") <= F.col(f"{side}_n") - F.col("need")
+    likely = saved(both.filter(lacks("a", "x") & lacks("b", "y")).select("a", "b"), "line-likely")
+    dropped(docs.sparkSession, pairs)
+    ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    tokens = lines.join(ids, "id", "left_semi").select("id", _hashes(F.col("words")).alias("t"))
+    both = likely.join(tokens.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(tokens.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("s"), (F.size("x") + F.size("y")).alias("n"))
     out = saved(shared.filter(F.col("s") * (10 + TENTHS) >= F.col("n") * TENTHS).select("a", "b"), "line-links")
-    dropped(docs.sparkSession, wanted, lines, pairs)
+    dropped(docs.sparkSession, lines, likely)
     return out
 
 
@@ -193,8 +171,12 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     """
     classes = saved(token_classes(docs, token_levels(docs, text), key, text), "line-classes")
     dropped(docs.sparkSession)
-    near = verified(docs, classes, saved(candidates_with_first(classes), "line-pairs"), key, text)
-    rest = verified(docs, classes, saved(candidates(classes, near), "line-pairs"), key, text)
+    pairs = saved(candidates_with_first(classes), "line-pairs")
+    dropped(docs.sparkSession)
+    near = verified(docs, classes, pairs, key, text)
+    pairs = saved(candidates(classes, near), "line-pairs")
+    dropped(docs.sparkSession)
+    rest = verified(docs, classes, pairs, key, text)
     return classes, near.unionByName(rest)
 
 

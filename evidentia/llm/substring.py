@@ -10,8 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, linked_in_cells, saved
-from .linededup import few
+from .common import components, few, linked_in_cells, saved
 
 SHINGLE = 5
 #: Jaccard similarity of shingle sets, in tenths.

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .common import components, linked_in_cells, saved
+from .common import column, components, linked_in_cells, marked, saved
 
 SHINGLE = 3
 SEED = 42
@@ -58,18 +60,23 @@ def simhash_texts(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; maps, which can't be hashed, as JSON."""
+    return F.xxhash64(*[F.to_json(column(f.name)) if isinstance(f.dataType, MapType) else column(f.name) for f in docs.schema])
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fp (the 64 bits as a long) for each row of docs; null texts have no words."""
+    """key, row (a hash of all its columns), fp (the 64 bits as a long) for each row of docs; null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
-                fp = simhash_texts(part.column(1).to_pylist()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=[key, "fp"])
+                fp = simhash_texts(part.column(2).to_pylist()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], names=["key", "row", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return docs.select(column(key), row_hash(docs), column(text)).mapInArrow(run, f"key {kind}, row long, fp long")
 
 
 def group_masks() -> list[int]:
@@ -120,32 +127,58 @@ def near(a: pa.Array, b: pa.Array) -> np.ndarray:
     return close
 
 
+def _named(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, row, fp of each row; fp, root of each fingerprint), both saved: root is the smallest fingerprint reachable."""
+    fps = saved(fingerprints(docs, key, text), "simhash-fp")
+    nodes = saved(fps.select("fp").distinct(), "simhash-nodes")
+    edges = linked_in_cells(grid_cells(nodes), near, "simhash")
+    roots = components(edges, "simhash")
+    named = saved(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-named")
+    return fps, named
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fingerprint, component_id for every row of docs.
 
     Rows whose fingerprints differ in at most 3 bits are linked; component_id
     is the smallest key reachable. Equal fingerprints are one node, so groups
     of copies cost nothing. Null, empty and wordless texts have fingerprint
-    zero. Rows with a null key keep a row but take part only by fingerprint;
-    repeated keys each keep their row. An empty table gives an empty result.
+    zero. Rows with a null key keep a row but take part only by fingerprint
+    (component_id is null where no row of the group has a key); rows that repeat
+    a key each keep theirs. An empty table gives an empty result.
     """
-    fps = saved(fingerprints(docs, key, text), "simhash-fp")
-    nodes = saved(fps.groupBy("fp").agg(F.min(key).alias("low")), "simhash-nodes")
-    edges = linked_in_cells(grid_cells(nodes), near, "simhash")
-    roots = components(edges, "simhash")
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = saved(named, "simhash-named")
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    fps, named = _named(docs, key, text)
+    lows = fps.groupBy("fp").agg(F.min("key").alias("low")).join(named, "fp")
+    lowest = lows.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = named.join(lowest, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return fps.join(of_fp, "fp").select(key, hexed, "component_id")
+    return fps.join(of_fp, "fp").select(F.col("key").alias(key), hexed, "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that come first (smallest key) in their group, with docs' columns.
+    """One row of each group of linked rows, with docs' columns.
 
-    Of rows that repeat a key the one with the smallest hash of its text stays.
+    It is the first by key (null last), and among rows of that key by a hash of
+    all columns, so rows that repeat a key, or have none, are told apart by what
+    else is in them. Of rows equal in every column one stays.
     """
-    found = near_duplicates(docs, key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = docs.join(found.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    return kept.dropDuplicates([key])
+    fps, named = _named(docs, key, text)
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "row")
+    # per fingerprint first, then per group: both with partial minima
+    first = fps.groupBy("fp").agg(F.min(order).alias("first")).join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    first = saved(first.select(F.col("first.key").alias("key"), F.col("first.row").alias("row")), "simhash-first")
+    mark = f"__{uuid.uuid4().hex}"
+    at = first.select(F.col("key").alias(f"{mark}k"), F.col("row").alias(f"{mark}r"))
+    same = column(key).eqNullSafe(F.col(f"{mark}k")) & (F.col(mark) == F.col(f"{mark}r"))
+    rows = docs.withColumn(mark, row_hash(docs))
+    # rows equal in every column: thinned out before they are shuffled by what they share
+    copies = fps.groupBy("key", "row").agg(F.count("*").alias("n")).filter("n > 1")
+    copies = saved(copies.select("row").join(first, "row", "left_semi").distinct(), "simhash-copies")
+    if copies.isEmpty():
+        kept = rows.join(at, same, "left_semi")
+    else:
+        maybe = f"{mark}m"
+        flagged = marked(rows, copies, [mark], ["row"], maybe)
+        once = flagged.filter(column(maybe)).dropDuplicates([mark])
+        kept = flagged.filter(~column(maybe)).unionByName(once).join(at, same, "left_semi")
+    return kept.select(*map(column, docs.columns))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_RUN, saved
+from .common import WORD_RUN, column, dropped, saved
 
 #: A document is taken at most so many times.
 CAP = 3
 #: Weights of the sources in order of name, repeating.
 WEIGHTS = (1, 2, 3)
-ROUNDS = 40
+#: Newton steps end at a relative distance of so much from the target, or where doubles lie no closer.
+NEAR = 1e-7
 #: Steps looked at in one pass when the rounding is placed.
 STEPS = 64
 PASSES = 3
@@ -50,7 +51,7 @@ def _rate(size: Column, mean: Column, tilt: Column) -> Column:
 
 
 def _state(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of one row a source; sent to every task only while it is small."""
+    """A table of one row a source; sent to every task only while it is small (both plans give the same rows)."""
     t = spark.createDataFrame(rows, schema)
     return F.broadcast(t) if len(rows) <= 100_000 else t
 
@@ -62,24 +63,26 @@ def tilts(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     bound CAP is concave in the tilt; its gradient and curvature are sums over
     documents, gathered by source and size. Each Newton step is one such
     distributed sum, of which the driver gets two numbers a source, and stays
-    inside a bracket that every step narrows.
+    inside a bracket that every step narrows. Sums are of decimals, so they
+    don't depend on the order of tasks.
     """
+    exact = lambda x: F.sum(x.cast("decimal(30,6)")).cast("double")
     spark = sizes.sparkSession
     cells = saved(sizes.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("docs")), "mix-cells")
     state = {}
     for r in goals.filter("source_size > 0").collect():
         full = r["target"] >= CAP * r["source_size"] * (1 - 1e-12)
         state[r["source"]] = {"mean": r["source_size"] / r["n"], "target": r["target"], "tilt": 1.0e9 if full else 0.0, "low": -1024.0, "high": 1.0e6, "done": full}
-    for _ in range(ROUNDS):
+    while True:
         todo = [(k, v["mean"], v["tilt"]) for k, v in state.items() if not v["done"]]
         if not todo:
             break
         at = cells.join(_state(spark, todo, "s string, mean double, tilt double"), F.col("source").eqNullSafe(F.col("s")))
         r, n = _rate(F.col("size"), F.col("mean"), F.col("tilt")), F.col("docs") * F.col("size")
-        sums = at.groupBy("s").agg(F.sum(n * r).alias("got"), F.sum(F.when(r < CAP, n * r * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
+        sums = at.groupBy("s").agg(exact(n * r).alias("got"), exact(F.when(r < CAP, n * r * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
         for x in sums.collect():
             v = state[x["s"]]
-            if abs(x["got"] - v["target"]) <= 1e-7 * v["target"] + 1e-6:
+            if abs(x["got"] - v["target"]) <= NEAR * v["target"] + 1e-3 or v["high"] - v["low"] <= 1e-13 * max(1.0, abs(v["tilt"])):
                 v["done"] = True
                 continue
             v["low" if x["got"] < v["target"] else "high"] = v["tilt"]
@@ -94,32 +97,56 @@ def _copies(rate: Column, shift: Column, u: Column) -> Column:
     return F.least(F.lit(CAP), F.greatest(F.lit(0), F.floor(rate + u + shift))).cast("long")
 
 
+def _sized(docs: DataFrame, text: str) -> Column:
+    """The number of words; null texts have none."""
+    return F.coalesce(F.regexp_count(column(text), F.lit(WORD_RUN)), F.lit(0)).cast("long")
+
+
+def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """s, source_size, target, mean, tilt, steps for each source: all that a row's copies depend on besides its own key, size and source."""
+    spark = docs.sparkSession
+    sizes = saved(docs.select(column(key).alias("key"), column(source).alias("source"), _sized(docs, text).alias("size")), "mix-sizes")
+    goals = saved(targets(sizes), "mix-goals")
+    tilt = tilts(sizes, goals)
+    of = goals.join(tilt.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "mean", "tilt")
+    rows = saved(_rated(sizes.filter("size > 0"), of, "source", "key", "size").select("source", "size", "target", "rate", "u"), "mix-rows")
+    steps = _state(spark, _shifts(rows), "source string, steps array<struct<limit:double,shift:double>>")
+    out = saved(of.join(steps, F.col("s").eqNullSafe(F.col("source")), "left").drop("source"), "mix-plan")
+    dropped(spark, sizes, goals, rows)
+    return out
+
+
+def _rated(rows: DataFrame, of: DataFrame, source: str, key: str, size: str) -> DataFrame:
+    """rows with the columns of its source's row of `of`, rate and u. Sent to every task only while it is small."""
+    of = F.broadcast(of) if of.count() <= 100_000 else of
+    u = F.pmod(F.xxhash64(F.lit("mix"), column(key), column(size)), F.lit(1 << 40)) / float(1 << 40)
+    at = rows.join(of, column(source).eqNullSafe(F.col("s")))
+    return at.withColumns({"rate": F.coalesce(_rate(column(size), F.col("mean"), F.col("tilt")), F.lit(0.0)), "u": u})
+
+
+def _taken(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """docs as one struct row each, with size, source_size, target, rate, copies."""
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("doc"), column(key).alias("key"), column(source).alias("source"), _sized(docs, text).alias("size"))
+    done = _rated(rows, plan(docs, key, text, source), "source", "key", "size")
+    copies = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(_copies(F.col("rate"), _moved(F.col("size"), F.col("steps")), F.col("u")))
+    return done.withColumn("copies", copies)
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """key, size, source_size, target, rate, copies, taken for every row of docs.
 
     rate is the document's exponentially tilted rate; copies is its rounding:
-    floor(rate + u + shift), u being a hash of the key and shift the source's
-    own, placed so that the words taken meet the target. What one document's
-    step leaves open is closed by a further shift among the source's smaller
-    documents. Nothing depends on the order or the partition of rows, so
+    floor(rate + u + shift), u being a hash of the key and size and shift the
+    source's own, placed so that the words taken meet the target. What one
+    document's step leaves open is closed by a further shift among the source's
+    smaller documents. Nothing depends on the order or the partition of rows, so
     reruns agree. Null texts have size 0; null is a source of its own, the last.
+    Rows that repeat a key, or have none, each have their own copies by their
+    size; rows equal in key, size and source have equal copies. An empty table
+    gives an empty result.
     """
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_RUN)), F.lit(0)).cast("long")
-    sizes = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"))
-    sizes = saved(sizes, "mix-sizes")
-    goals = saved(targets(sizes), "mix-goals")
-    tilt = tilts(sizes, goals)
-    of = goals.join(tilt.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    # one row a source: its size is checked before it is sent to every task
-    of = F.broadcast(of.withColumnRenamed("source", "s")) if of.count() <= 100_000 else of.withColumnRenamed("source", "s")
-    rows = sizes.join(of, F.col("source").eqNullSafe(F.col("s"))).drop("s", "n")
-    u = F.pmod(F.xxhash64(F.lit("mix"), "key", "size"), F.lit(1 << 40)) / float(1 << 40)
-    rate = F.coalesce(_rate(F.col("size"), F.col("mean"), F.col("tilt")), F.lit(0.0))
-    rows = saved(rows.withColumn("rate", rate).withColumn("u", u), "mix-rows")
-    few = _state(docs.sparkSession, _shifts(rows.filter("size > 0")), "s string, steps array<struct<limit:double,shift:double>>")
-    done = rows.join(few, F.col("source").eqNullSafe(F.col("s")), "left")
-    copies = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(_copies(F.col("rate"), _moved(F.col("size"), F.col("steps")), F.col("u")))
-    return done.withColumn("copies", copies).select(F.col("key").alias(key), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    done = _taken(docs.select(column(key), column(text), column(source)), key, text, source)
+    return done.select(F.col("key").alias(key), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _moved(size: Column, steps: Column) -> Column:
@@ -155,10 +182,6 @@ def _shifts(rows: DataFrame) -> list[tuple]:
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs with each row repeated as often as the mix takes it, with docs' columns."""
-    import uuid
-
-    mark = f"__{uuid.uuid4().hex}"
-    took = mix(docs, key, text, source).select(F.col(key).alias(mark), "copies").groupBy(mark).agg(F.max("copies").alias(f"{mark}n"))
-    rows = docs.join(took, F.col(key).eqNullSafe(F.col(mark))).filter(F.col(f"{mark}n") > 0)
-    return rows.withColumn(f"{mark}i", F.explode(F.sequence(F.lit(1), F.col(f"{mark}n").cast("int")))).select(*docs.columns)
+    """docs with each row repeated as often as the mix takes it (see mix), with docs' columns. Rows don't move: a row's copies follow from itself and its source's row."""
+    done = _taken(docs, key, text, source).filter("copies > 0")
+    return done.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

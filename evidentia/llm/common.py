@@ -229,7 +229,9 @@ def linked_in_cells(cells: DataFrame, link: Link, label: str, cap: int = 2048) -
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     rest = dealt.groupBy("cell_a", "cell_b", "row", "col").applyInArrow(block, "a long, b long")
-    return saved(edges.unionByName(rest), f"{label}-edges")
+    out = saved(edges.unionByName(rest), f"{label}-edges")
+    dropped(cells.sparkSession, first)
+    return out
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +274,10 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     is neither collected nor met in one task; each round's edges are a table
     in the shared folder. Loops and repeated edges don't matter.
     """
-    now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-star")
-    now = saved(now.repartition(-(-now.count() // PART) or 1).mapInArrow(_stars, "a long, b long").distinct(), f"{label}-star")
+    spark = edges.sparkSession
+    given = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-star")
+    now = saved(given.repartition(-(-given.count() // PART) or 1).mapInArrow(_stars, "a long, b long").distinct(), f"{label}-star")
+    dropped(spark, given)
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -282,7 +286,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         large = saved(large.filter("a <> b").distinct(), f"{label}-large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = saved(small.distinct(), f"{label}-star")
+        last, now = now, saved(small.distinct(), f"{label}-star")
+        dropped(spark, last, large)
         new = _state(now)
         if new == state:
             break

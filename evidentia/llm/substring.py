@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, few, linked_in_cells, saved
+from .common import column, components, dropped, few, linked_in_cells, marked, saved
 
 SHINGLE = 5
 #: Jaccard similarity of shingle sets, in tenths.
@@ -57,13 +57,13 @@ class Cutter:
         self.hash = np.concatenate([self.hash, np.array([xxhash.xxh64_intdigest(w, 5) for w in new], np.uint64)])
         return self.hash[np.array(codes, np.int64)], np.array(line_of, np.int64), np.array(text_of, np.int64)
 
-    def cut(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """text, start (in words), size, hash of each paragraph, and all words' hashes and the paragraphs' places in them."""
-        h, line, text = self.read(texts)
+    @staticmethod
+    def cut(h: np.ndarray, line: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For what read() gives: text, start (in words), size, hash of each paragraph, and the paragraphs' places among all words."""
         n = len(h)
         if not n:
             e = np.zeros(0, np.int64)
-            return e, e, e, np.zeros(0, np.uint64), h, e
+            return e, e, e, np.zeros(0, np.uint64), e
         low = np.ones(n, bool)
         for d in range(1, REACH + 1):
             if d >= n:
@@ -86,7 +86,7 @@ class Cutter:
         whole = np.add.reduceat(mixed * MIX, at)
         first = np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1])
         word_of = np.arange(n) - first[np.searchsorted(first, at, side="right") - 1][np.cumsum(start) - 1]
-        return text[at], word_of[at], size, whole, h, at
+        return text[at], word_of[at], size, whole, at
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -131,104 +131,115 @@ def windows(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return at, whole[at], mark[at], np.stack([marked, gram[marked].view(np.int64)])
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, start, size, keeper, first for every run of RUN words that stands in docs more than once, across lines too.
+def bands(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The MinHash bands of paragraphs that have a shingle, a row each; a band's number is mixed into its value."""
+    sh = shingles(words)
+    n = size - SHINGLE + 1
+    ends = np.cumsum(n)
+    flat = sh[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    low = []
+    for k in range(BANDS * ROWS):
+        x = (flat ^ np.uint64(0xA24BAED4963EE407 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * MIX
+        low.append(np.minimum.reduceat(x ^ (x >> np.uint64(29)), ends - n) if len(ends) else np.zeros(0, np.uint64))
+    return np.stack([((low[ROWS * k] * MIX) ^ low[ROWS * k + 1]) * MIX + np.uint64(k) for k in range(BANDS)])
 
-    keeper is the smallest key with the run, and first marks its first place there.
-    Only runs whose mark is that of two or more grams are spelled out, which
-    loses none: equal runs have equal marks.
+
+VALUES = [f"v{k}" for k in range(BANDS)]
+
+
+def parts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, th, start, size, h, v0, ... of each paragraph, and doc, th, h of each text's marks of runs (size is null there). One pass over the texts.
+
+    A document is its key and its text's hash th. Paragraphs without a shingle
+    have no band values; they meet by their hash h alone.
     """
+    names = ["doc", "th", "start", "size", "h", *VALUES]
     kind = docs.schema[key].dataType.simpleString()
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cutter()
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                h, _, of = c.read(part.column(1).to_pylist())
-                *_, marked = windows(h, of)
+                words, line, of = c.read(part.column(2).to_pylist())
+                if not len(words):
+                    continue
+                t, start, size, h, at = c.cut(words, line, of)
+                use = size >= SHINGLE
+                values = np.zeros((BANDS, len(h)), np.int64)
+                values[:, use] = bands(words, at[use], size[use]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), part.column(1).take(pa.array(t)), pa.array(start), pa.array(size), pa.array(h.view(np.int64)), *(pa.array(v, mask=~use) for v in values)], names=names)
+                *_, marked = windows(words, of)
                 if marked.size:
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[marked[0]])), pa.array(marked[1])], names=["doc", "mark"])
+                    t, n = of[marked[0]], marked.shape[1]
+                    none = pa.nulls(n, pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), part.column(1).take(pa.array(t)), none, none, pa.array(marked[1]), *[none] * BANDS], names=names)
 
-    found = saved(docs.select(key, text).mapInArrow(marks, f"doc {kind}, mark long"), "run-marks")
-    twice = found.groupBy("mark").count().filter("count > 1").select("mark")
-    wanted = saved(found.join(twice, "mark", "left_semi").distinct(), "run-wanted")
-    of = wanted.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("mark").alias("marks"))  # at most a document's words
-    rows = few(docs.select(key, text), wanted, [key], ["doc"]).join(of, F.col(key) == F.col("__doc")).select(key, text, "marks")
+    rows = docs.select(column(key).alias("doc"), F.xxhash64(column(text)).alias("th"), column(text))
+    return rows.mapInArrow(run, f"doc {kind}, th long, start long, size long, h long, {', '.join(f'{v} long' for v in VALUES)}")
 
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Cutter()
-        for b in batches:
-            for s in range(0, b.num_rows, 64):
-                part = b.slice(s, 64)
-                h, _, of = c.read(part.column(1).to_pylist())
-                at, whole, mark, _ = windows(h, of)
-                if not len(at):
-                    continue
-                lists = part.column(2)
-                use = np.isin(mark.view(np.int64), lists.flatten().to_numpy(zero_copy_only=False))
-                at, whole = at[use], whole[use]
-                begin = np.searchsorted(of, np.arange(part.num_rows))  # each text's first word
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[at])), pa.array(at - begin[of[at]]), pa.array(whole.view(np.int64))], names=["doc", "start", "h"])
 
-    runs = saved(rows.mapInArrow(spelled, f"doc {kind}, start long, h long"), "run-rows")
-    heads = runs.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("head"), F.count("*").alias("n")).filter("n > 1").select("h", "head")
-    return runs.join(heads, "h").select("doc", "start", F.lit(RUN).cast("long").alias("size"), F.col("head.doc").alias("keeper"), ((F.col("doc") == F.col("head.doc")) & (F.col("start") == F.col("head.start"))).alias("first"))
+def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, th, t, hs: the documents of wanted (doc, th, h) with their text and the list of their h (at most a document's words)."""
+    of = wanted.groupBy(F.col("doc").alias("of"), F.col("th").alias("oh")).agg(F.collect_set("h").alias("hs"))
+    rows = few(docs.select(column(key).alias("doc"), F.xxhash64(column(text)).alias("th"), column(text).alias("t")), wanted, ["doc", "th"], ["doc", "th"])
+    return rows.join(of, F.col("doc").eqNullSafe(F.col("of")) & (F.col("th") == F.col("oh"))).select("doc", "th", "t", "hs")
 
 
-def _paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, start, size, h of every paragraph."""
+def _place() -> Column:
+    """The order of places: by key, null last, then text's hash."""
+    return F.struct(F.col("doc").isNull().alias("none"), "doc", "th", "start")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Cutter()
-        for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
-                t, start, size, h, *_ = c.cut(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(start), pa.array(size), pa.array(h.view(np.int64))], names=["doc", "start", "size", "h"])
 
-    return docs.select(key, text).mapInArrow(run, f"doc {docs.schema[key].dataType.simpleString()}, start long, size long, h long")
+def repeated_runs(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, th, start, size, keeper, first for every run of RUN words that stands in docs more than once, across lines too.
 
+    found are the parts of docs. keeper is the first key with the run, and first
+    marks its first place there. Only runs whose mark is that of two or more grams
+    are spelled out, which loses none: equal runs have equal marks.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    marks = found.filter("size is null").select("doc", "th", "h")
+    twice = saved(marks.groupBy("h").count().filter("count > 1").select("h"), "run-twice")
+    wanted = saved(few(marks, twice, ["h"], ["h"]).join(twice, "h", "left_semi").distinct(), "run-wanted")
+    dropped(docs.sparkSession, twice)
 
-def _bands(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """band, value, h: the MinHash bands of every paragraph that has a shingle; shorter ones meet by their hash alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cutter()
         for b in batches:
-            for s in range(0, b.num_rows, 256):
-                _, _, size, h, words, at = c.cut(b.slice(s, 256).column(1).to_pylist())
-                use = size >= SHINGLE
-                if not use.any():
+            for s in range(0, b.num_rows, 64):
+                part = b.slice(s, 64)
+                h, _, of = c.read(part.column(2).to_pylist())
+                at, whole, mark, _ = windows(h, of)
+                if not len(at):
                     continue
-                sh, at, size, h = shingles(words), at[use], size[use], h[use]
-                n = size - SHINGLE + 1
-                ends = np.cumsum(n)
-                flat = sh[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]))]
-                low = []
-                for k in range(BANDS * ROWS):
-                    x = (flat ^ np.uint64(0xA24BAED4963EE407 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * MIX
-                    low.append(np.minimum.reduceat(x ^ (x >> np.uint64(29)), ends - n))
-                value = [(low[ROWS * k] * MIX) ^ low[ROWS * k + 1] for k in range(BANDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(BANDS, dtype=np.int32), len(h))), pa.array(np.concatenate(value).view(np.int64)), pa.array(np.tile(h.view(np.int64), BANDS))], names=["band", "value", "h"])
+                use = np.isin(mark.view(np.int64), part.column(3).flatten().to_numpy(zero_copy_only=False))
+                at, whole = at[use], whole[use]
+                begin = np.searchsorted(of, np.arange(part.num_rows))  # each text's first word
+                t = pa.array(of[at])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(t), part.column(1).take(t), pa.array(at - begin[of[at]]), pa.array(whole.view(np.int64))], names=["doc", "th", "start", "h"])
 
-    return docs.select(key, text).mapInArrow(run, "band int, value long, h long").distinct()
+    # rows equal in key and text are one document
+    runs = saved(_texts_of(docs, wanted, key, text).mapInArrow(spelled, f"doc {kind}, th long, start long, h long").distinct(), "run-rows")
+    heads = saved(runs.groupBy("h").agg(F.min(_place()).alias("head"), F.count("*").alias("n")).filter("n > 1").select("h", "head"), "run-heads")
+    dropped(docs.sparkSession, wanted)
+    each = few(runs, heads, ["h"], ["h"]).join(heads, "h")
+    return each.select("doc", "th", "start", F.lit(RUN).cast("long").alias("size"), F.col("head.doc").alias("keeper"), _place().eqNullSafe(F.col("head")).alias("first"))
 
 
 def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     """h, s: the shingles of the paragraphs whose hashes are in ids (h)."""
-    wanted = saved(classes.join(ids, "h", "left_semi").select("h", "doc"), "sub-wanted")
-    of = wanted.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("h").alias("hs"))  # at most a document's paragraphs
-    rows = few(docs.select(key, text), wanted, [key], ["doc"]).join(of, F.col(key) == F.col("__doc")).select(text, "hs")
+    wanted = saved(few(classes, ids, ["h"], ["h"]).join(ids, "h", "left_semi").select("h", F.col("at.doc").alias("doc"), F.col("at.th").alias("th")), "sub-wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cutter()
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                t, _, size, h, words, at = c.cut(part.column(0).to_pylist())
+                words, line, of = c.read(part.column(2).to_pylist())
+                t, _, size, h, at = c.cut(words, line, of)
                 sh = shingles(words)
-                want = [set(x) for x in part.column(1).to_pylist()]
+                want = [set(x) for x in part.column(3).to_pylist()]
                 hs, sets = [], []
                 for k, i, n, x in zip(t.tolist(), at.tolist(), size.tolist(), h.view(np.int64).tolist()):
                     if x in want[k]:
@@ -237,7 +248,9 @@ def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str, text: s
                         sets.append(np.unique(sh[i : i + n - SHINGLE + 1]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["h", "s"])
 
-    return saved(rows.mapInArrow(run, "h long, s array<long>").dropDuplicates(["h"]), "sub-sets")
+    out = saved(_texts_of(docs, wanted, key, text).mapInArrow(run, "h long, s array<long>").dropDuplicates(["h"]), "sub-sets")
+    dropped(docs.sparkSession, wanted)
+    return out
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
@@ -246,7 +259,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, t
     sets = _sets(docs, classes, ids, key, text)
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
     both = both.withColumn("n", F.size(F.array_intersect("x", "y")))
-    return saved(both.filter(F.col("n") * (10 + TENTHS) >= (F.size("x") + F.size("y")) * TENTHS).select("a", "b"), "sub-links")
+    out = saved(both.filter(F.col("n") * (10 + TENTHS) >= (F.size("x") + F.size("y")) * TENTHS).select("a", "b"), "sub-links")
+    dropped(docs.sparkSession, sets)
+    return out
 
 
 def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -266,55 +281,74 @@ def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
     return shared * (10 + TENTHS) >= (n[:, None] + m[None, :]) * TENTHS
 
 
-def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, start, size, component, keeper, first for every paragraph that repeats exactly or nearly.
+def repeated_paragraphs(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, th, start, size, component, keeper, first for every paragraph that repeats exactly or nearly.
 
-    component is the smallest paragraph hash reachable; keeper is the smallest
-    key in the component, and first marks the one paragraph that stays (the first of the
-    smallest key). Paragraphs of the same hash are one node. In each bucket all
-    are held against the smallest; buckets in which some fail are compared
-    throughout, block by block, so components are those of all colliding pairs
-    without spelling them out.
+    found are the parts of docs. component is the smallest paragraph hash
+    reachable; keeper is the first key in the component, and first marks the one
+    paragraph that stays (the first of the first document). Paragraphs of the
+    same hash are one node. Band values are shuffled once, with each value's
+    smallest and largest paragraph; what follows reads only values that two
+    different paragraphs share. In each such bucket all are held against the
+    smallest; buckets in which some fail are compared throughout, block by block, so
+    components are those of all colliding pairs without spelling them out.
     """
-    parts = saved(_paragraphs(docs, key, text), "sub-parts")
-    classes = saved(parts.groupBy("h").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "sub-classes")
-    bands = _bands(docs, key, text)
-    by = bands.groupBy("band", "value").agg(F.min("h").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    bands = saved(bands.join(by, ["band", "value"]), "sub-bands")
-    star = saved(bands.filter("h <> lead").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), "sub-star")
+    spark = docs.sparkSession
+    # rows equal in key and text are one document
+    own = found.filter("size is not null").select("doc", "th", "start", "size", "h")
+    classes = saved(own.groupBy("h").agg(F.min(_place()).alias("at"), F.max(_place()).alias("end")), "sub-classes")
+    dropped(spark)
+    values = found.filter(f"{VALUES[0]} is not null").select("h", F.explode(F.array(*VALUES)).alias("value"))
+    by = values.groupBy("value").agg(F.min("h").alias("lead"), F.max("h").alias("last")).filter("lead <> last").select("value", "lead")
+    by = saved(by, "sub-values")
+    dropped(spark)
+    met = saved(few(values, by, ["value"], ["value"]).join(by, "value").distinct(), "sub-bands")
+    star = saved(met.filter("h <> lead").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), "sub-star")
+    dropped(spark, by)
     near = _verified(docs, classes, star, key, text)
-    open_ = bands.filter("h <> lead").join(near.select(F.col("a").alias("lead"), F.col("b").alias("h")), ["lead", "h"], "left_anti").select("band", "value").distinct()
-    cells = saved(bands.join(open_, ["band", "value"]).select("band", "value", "h"), "sub-open")
+    open_ = met.filter("h <> lead").join(near.select(F.col("a").alias("lead"), F.col("b").alias("h")), ["lead", "h"], "left_anti").select("value").distinct()
+    cells = saved(met.join(open_, "value").select("value", "h"), "sub-open")
+    dropped(spark, met, star)
     sets = _sets(docs, classes, cells.select("h").distinct(), key, text)
-    cells = cells.join(sets, "h").select(F.col("band").cast("long").alias("cell_a"), F.col("value").alias("cell_b"), F.col("h").alias("id"), F.col("s").alias("load"))
-    far = linked_in_cells(cells, alike, "sub")
-    roots = components(near.unionByName(far), "sub")
-    named = classes.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("component"), "doc", "copies")
-    groups = named.groupBy("component").agg(F.min("doc").alias("keeper"), F.sum("copies").alias("n")).filter("n > 1").drop("n")
+    loads = cells.join(sets, "h").select(F.lit(0).cast("long").alias("cell_a"), F.col("value").alias("cell_b"), F.col("h").alias("id"), F.col("s").alias("load"))
+    far = linked_in_cells(loads, alike, "sub")
+    dropped(spark, cells, sets)
+    roots = saved(components(near.unionByName(far), "sub").select(F.col("node").alias("h"), "root"), "sub-roots")
+    again = ~F.col("at").eqNullSafe(F.col("end"))
+    mark = "linked"
+    flagged = marked(classes, roots, ["h"], ["h"], mark).filter(F.col(mark) | again)
+    named = flagged.join(roots, "h", "left").select("h", F.coalesce("root", "h").alias("component"), F.col("root").isNotNull().alias("linked"), again.alias("again"), "at")
+    # a component of one paragraph without another place is none
+    groups = named.groupBy("component").agg(F.min("at").alias("head"), F.count("*").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("component", "head")
     named = saved(named.select("h", "component").join(groups, "component"), "sub-named")
-    rows = saved(parts.join(named, "h"), "sub-rows")
-    first = rows.filter("doc = keeper").groupBy("component").agg(F.min("start").alias("at"))
-    return rows.join(first, "component").select("doc", "start", "size", "component", "keeper", ((F.col("doc") == F.col("keeper")) & (F.col("start") == F.col("at"))).alias("first"))
+    dropped(spark, classes, roots)
+    rows = few(own, named, ["h"], ["h"]).join(named, "h").distinct()
+    return rows.select("doc", "th", "start", "size", "component", F.col("head.doc").alias("keeper"), _place().eqNullSafe(F.col("head")).alias("first"))
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, keeper, n_paragraphs, n_words, n_removed_words for each pair of documents that share paragraphs or runs of RUN words.
 
-    keeper is the document with the smallest key in a paragraph's component, or
-    with a run; a document that keeps the passage itself has a row with keeper = key.
-    n_paragraphs counts paragraphs only (0 where runs alone are shared), n_words each word
-    once. Words of the first place of a run don't count as removed by runs that overlap
-    it. A pair has a row however few words it shares. Null keys and texts have none.
+    keeper is the document that comes first (by key, null last, then text's
+    hash) in a paragraph's component, or with a run; a document that keeps the passage
+    itself has a row with keeper = key. n_paragraphs counts paragraphs only (0 where
+    runs alone are shared), n_words each word once. Words of the first place of a
+    run don't count as removed by runs that overlap it. A pair has a row however
+    few words it shares. Rows that repeat a key with other texts are documents of
+    their own, summed up under their key; rows equal in key and text are one
+    document that is given more than once. Null keys are a key like any other; null,
+    empty and wordless texts share nothing; an empty table gives an empty result.
     """
-    docs = docs.filter(F.col(key).isNotNull())
+    found = saved(parts(docs, key, text), "sub-parts")
     # kinds: 0 a paragraph's first place, 1 another one, 2 a run's first place, 3 another one
-    spans = [x.select("doc", "keeper", "start", (F.col("start") + F.col("size")).alias("end"), F.when(F.col("first"), k).otherwise(k + 1).alias("kind")) for k, x in ((0, repeated_paragraphs(docs, key, text)), (2, repeated_runs(docs, key, text)))]
-    before = Window.partitionBy("doc", "keeper").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = ((0, repeated_paragraphs(docs, found, key, text)), (2, repeated_runs(docs, found, key, text)))
+    spans = [x.select("doc", "th", "keeper", "start", (F.col("start") + F.col("size")).alias("end"), F.when(F.col("first"), k).otherwise(k + 1).alias("kind")) for k, x in kinds]
+    before = Window.partitionBy("doc", "th", "keeper").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     unions = {"u0": (0, 1, 2, 3), "u1": (1, 2, 3), "u2": (1, 2), "u3": (1,)}
     end = {u: F.when(F.col("kind").isin(*k), F.col("end")) for u, k in unions.items()}
     # words of a span behind the end of all earlier ones of the union; null outside it
     new = [F.greatest(F.lit(0), end[u] - F.greatest("start", F.coalesce(F.max(end[u]).over(before), "start"))).alias(u) for u in unions]
     new = [F.when(end[u].isNotNull(), x).otherwise(0).alias(u) for u, x in zip(unions, new)]
-    out = spans[0].unionByName(spans[1]).select("doc", "keeper", "kind", *new).groupBy(F.col("doc").alias(key), F.col("keeper").alias("keeper_doc_id"))
+    out = spans[0].unionByName(spans[1]).select("doc", "keeper", "kind", *new).groupBy(F.col("doc").alias(key), F.col("keeper").alias(f"keeper_{key}"))
     # removed: other places of paragraphs, and of runs but for the words of runs' first places
     return out.agg(F.count_if(F.col("kind") < 2).alias("n_paragraphs"), F.sum("u0").alias("n_words"), (F.sum("u1") - F.sum("u2") + F.sum("u3")).alias("n_removed_words"))

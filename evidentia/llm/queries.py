@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, licenses, linededup, merkle, mixing, quality, simhash, substring, tokencounts
-from .common import documents, scratch_dir
+from .common import documents, saved, scratch_dir
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +36,23 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents, as a ledger comes to them: every document is counted once and its counts are kept.
+
+    Half of the documents (by hash) come in a first batch, of these a part with a
+    count that a later batch revises; the rest comes in a second batch together with
+    documents that a third one deletes again. A batch that comes twice counts once.
+    """
     docs = documents(spark, sf_dir)
     ledger = tokencounts.Ledger(spark, f"{scratch_dir(spark)}/token-counts-{uuid.uuid4().hex}")
-    ledger.commit("words", inserted=tokencounts.counts(docs, "words-1"))
-    ledger.commit("bpe", inserted=tokencounts.counts(docs, "word_bpe_49k-1"))
+    docs = docs.withColumn("share", F.pmod(F.xxhash64(F.lit("batch"), "doc_id"), F.lit(8)))
+    both = [tokencounts.counts(docs, v, also=("share",)) for v in ("words-1", "word_bpe_49k-1")]
+    counted = saved(both[0].unionByName(both[1]), "token-rows")
+    part = lambda low, high: counted.filter(F.col("share").between(low, high)).drop("share")
+    first = part(0, 1).withColumn("tokens", F.col("tokens") + 7)
+    ledger.commit("1", inserted=first.unionByName(part(2, 3)))
+    ledger.commit("2", inserted=part(4, 7).unionByName(part(6, 6)))
+    ledger.commit("3", deleted=part(6, 6), revised=part(0, 1).withColumn("old_tokens", F.col("tokens") + 7))
+    ledger.commit("2", inserted=part(4, 7))
     return ledger.totals()
 
 

@@ -27,20 +27,19 @@ def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(column(key).alias("doc"), F.xxhash64(column(text)).alias("h"), F.posexplode(F.split(column(text), "\n")).alias("line", "words"))
 
 
-def token_levels(docs: DataFrame, text: str = "text") -> Column:
-    """A sketch of how often each token occurs: twice the binary logarithm of its bucket's count.
+def token_levels(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A sketch of how often each token occurs, one row, one column x: twice the binary logarithm of its bucket's count.
 
     A token's bucket is the first SKETCH_BITS bits of its hash. The sketch holds
-    what turns the hash's first seven bits into the level by exclusive or.
-    Subqueries can't stand in a lambda, so the sketch (of fixed size, at most
-    20 bytes a bucket) passes through the driver as a constant.
+    what turns the hash's first seven bits into the level by exclusive or; it has a fixed
+    size, 8 bytes a bucket.
     """
     words = F.when(column(text).rlike("[\\x09\\x0B-\\x0D]"), F.split(column(text), WORD_SPLIT)).otherwise(F.split(F.replace(column(text), F.lit("\n"), F.lit(" ")), " "))
     tokens = docs.select(F.explode(words).alias("w")).filter("w <> ''")
     counts = tokens.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - SKETCH_BITS).alias("bucket")).count()
     marks = counts.select("bucket", F.least(F.lit(63), F.floor(2 * F.log2("count")) + 1).alias("level"))
     turn = F.transform("x", lambda x, i: F.shiftleft(x.cast("long").bitwiseXOR(F.shiftright(i, SKETCH_BITS - 7).cast("long")), 57))
-    return F.split(F.lit(dense(marks, 1 << SKETCH_BITS, "int").select(F.array_join(turn, ",")).first()[0]), ",").cast("array<bigint>")
+    return dense(marks, 1 << SKETCH_BITS, "int").select(turn.alias("x"))
 
 
 def _hashes(line: Column) -> Column:
@@ -68,15 +67,16 @@ def _prefix(n: Column) -> Column:
     return F.when(n <= 3, F.lit(0)).otherwise(n - F.ceil(n * TENTHS / F.lit(10)) + 1).cast("int")
 
 
-def token_classes(docs: DataFrame, levels: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_classes(docs: DataFrame, levels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n, bits, prefix, doc, h, line: one row for each token set, with its first line; ids follow the order of these lines.
 
     prefix holds the tokens among which two matching sets must share one (as
     32-bit numbers, only to find candidates).
     """
     # not a filter by n, which the optimizer would push down with all of t in it
-    lines = numbered_lines(docs, key, text).filter(F.col("words").rlike(WORD_CHAR))
-    rows = lines.select("doc", "h", "line", _by_rarity(_hashes(F.col("words")), levels).alias("t")).withColumn("n", F.size("t"))
+    # a subquery can't stand in a lambda, so the sketch is a column of each row, by reference
+    lines = numbered_lines(docs, key, text).filter(F.col("words").rlike(WORD_CHAR)).withColumn("levels", levels.scalar())
+    rows = lines.select("doc", "h", "line", _by_rarity(_hashes(F.col("words")), F.col("levels")).alias("t")).withColumn("n", F.size("t"))
     prefix = F.transform(F.slice("t", F.lit(1), _prefix(F.col("n"))), lambda x: F.hash(x))
     rows = rows.select("doc", "h", "line", "n", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), _bitmap(F.col("t")).alias("bits"), prefix.alias("prefix"))
     # the row numbers' limit holds before the shuffle too, so a set with a third of all lines sends one row a task
@@ -169,8 +169,9 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     leaves open are joined with all earlier sets, so a group of near copies isn't
     spelt out in pairs and no set with an earlier match is missed.
     """
-    classes = saved(token_classes(docs, token_levels(docs, text), key, text), "line-classes")
-    dropped(docs.sparkSession)
+    levels = saved(token_levels(docs, text), "line-levels")
+    classes = saved(token_classes(docs, levels, key, text), "line-classes")
+    dropped(docs.sparkSession, levels)
     pairs = saved(candidates_with_first(classes), "line-pairs")
     dropped(docs.sparkSession)
     near = verified(docs, classes, pairs, key, text)

@@ -26,6 +26,8 @@ LOST = 0.001
 #: Confidence is sharpened by one of these.
 SHARPNESS = [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
 UNKNOWN = "und"
+#: Languages whose tables are held side by side.
+BLOCK = 8
 #: Numbers kept of words a task has met: one for each language and word.
 KEEP = 1_600_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -106,15 +108,33 @@ class Tables:
             self.prob.append(prob)
             self.back.append(back)
 
+
+class Block:
+    """Up to BLOCK languages side by side: by order the hashes that any of them has, and a column a language of what each gives them."""
+
+    def __init__(self, tables: list[Tables]) -> None:
+        self.floor = np.array([t.floor for t in tables])
+        self.keys, self.prob, self.back = [], [], []
+        for k in range(ORDER):
+            keys = np.unique(np.concatenate([t.keys[k] for t in tables]))
+            prob, back = np.zeros((len(keys) + 1, len(tables))), np.ones((len(keys) + 1, len(tables)))
+            for j, t in enumerate(tables):
+                at = np.searchsorted(keys, t.keys[k])
+                prob[at, j], back[at, j] = t.prob[k][:-1], t.back[k][:-1]
+            self.keys.append(keys)
+            self.prob.append(prob)
+            self.back.append(back)
+
     def probabilities(self, grams: list[np.ndarray]) -> np.ndarray:
-        p, last = np.full(len(grams[0]), self.floor), np.zeros(0, np.int64)
+        """A column a language: the probability of the letter at each place."""
+        p, last = np.tile(self.floor, (len(grams[0]), 1)), np.zeros(0, np.int64)
         for k in range(ORDER):
             keys = self.keys[k]
             at = np.searchsorted(keys, grams[k])
             at = np.where(keys[np.minimum(at, len(keys) - 1)] == grams[k], at, len(keys)) if len(keys) else np.zeros(len(p), np.int64)
             if k:
                 context = np.concatenate([[len(self.keys[k - 1])], last[:-1]])
-                p = np.where(grams[k] != 0, self.prob[k][at] + self.back[k - 1][context] * p, p)
+                p = np.where((grams[k] != 0)[:, None], self.prob[k][at] + self.back[k - 1][context] * p, p)
             else:
                 p = p + self.prob[0][at]
             last = at
@@ -130,7 +150,9 @@ class Model:
 
     def __init__(self, grams: dict[str, list[tuple[np.ndarray, ...]]]) -> None:
         self.langs = sorted(grams)
-        self.tables = [Tables(grams[x]) for x in self.langs]
+        tables = [Tables(grams[x]) for x in self.langs]
+        # by blocks, so that the size follows the languages' own grams and not grams times languages
+        self.blocks = [Block(tables[i : i + BLOCK]) for i in range(0, len(tables), BLOCK)]
         self.bound, self.spread, self.scale = np.inf, 0.0, 1.0
 
     @classmethod
@@ -143,8 +165,8 @@ class Model:
             return np.zeros((0, len(self.langs))), np.zeros(0)
         grams, word, real = _grams(words)
         starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        cost = [np.add.reduceat(np.where(real, -np.log2(np.maximum(t.probabilities(grams), 1e-12)), 0.0), starts) for t in self.tables]
-        return np.stack(cost, axis=1), np.add.reduceat(real.astype(float), starts)
+        cost = [np.add.reduceat(np.where(real[:, None], -np.log2(np.maximum(b.probabilities(grams), 1e-12)), 0.0), starts, axis=0) for b in self.blocks]
+        return np.concatenate(cost, axis=1), np.add.reduceat(real.astype(float), starts)
 
     def rejects(self, low: np.ndarray, letters: np.ndarray) -> np.ndarray:
         return (letters == 0) | (low > self.bound + self.spread / np.sqrt(np.maximum(letters, 1)))
@@ -256,7 +278,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     place = F.pmod(F.xxhash64(F.lit("language sample"), "k", "t"), F.lit(1_000_000))
     # a row for each language, joined by its own name
     per = known.groupBy("l").agg(F.count("*").alias("n")).select("l", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n")).alias("share"))
-    drawn = known.withColumn("place", place).join(per, "l").filter(F.col("place") < F.col("share") * 1_000_000)
+    per = saved(per, "languages")
+    drawn = known.withColumn("place", place).join(F.broadcast(per) if per.count() <= 100_000 else per, "l").filter(F.col("place") < F.col("share") * 1_000_000)
     drawn = saved(drawn.select("l", "t", (F.pmod(F.xxhash64(F.lit("language fold"), "t"), F.lit(FOLDS)) == 0).alias("check")).dropDuplicates(["l", "t"]), "language-sample")
     only = [r["l"] for r in drawn.groupBy("l").agg(F.min("check").alias("all")).filter("all").collect()]
     learned = drawn.filter(~F.col("check") | F.col("l").isin(only))
@@ -302,7 +325,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         unknown = (unknown - model.spread / np.concatenate([root, root]))[np.isfinite(unknown)]
         known_top, unknown_low = np.quantile(least, 1 - LOST), np.quantile(unknown, 0.02) if len(unknown) else np.inf
         model.bound = float((known_top + unknown_low) / 2 if known_top < unknown_low < np.inf else known_top)
-    dropped(docs.sparkSession, drawn)
+    dropped(docs.sparkSession, drawn, per)
     return model
 
 

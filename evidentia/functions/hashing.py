@@ -12,7 +12,8 @@ def _uniform(digest: Column, at: int) -> Column:
 
 
 def unit_digest(claim: Column, unit_id: Column, source_type: Column, text: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", claim, unit_id, source_type, text), 256)
+    # a null is an empty field: concat_ws would leave it out and move the others
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in (claim, unit_id, source_type, text)]), 256)
 
 
 def selection_score(digest: Column) -> Column:

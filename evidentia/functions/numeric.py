@@ -31,6 +31,12 @@ def bbox(polygon: Column) -> Column:
     return F.when(good, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
 
 
+def box_of(*points: tuple[Column, Column]) -> Column:
+    """[xmin, ymin, xmax, ymax] of a fixed number of points in columns; one pass without lambdas."""
+    xs, ys = zip(*points)
+    return F.struct(F.least(*xs).alias("xmin"), F.least(*ys).alias("ymin"), F.greatest(*xs).alias("xmax"), F.greatest(*ys).alias("ymax"))
+
+
 def finite(c: Column) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
 

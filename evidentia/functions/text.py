@@ -32,9 +32,9 @@ def alnum_count(c: Column) -> Column:
 
 
 def drop_code_fence(c: Column) -> Column:
-    """The lines between a leading and a closing ``` line; other text only stripped."""
+    """The lines between a leading and a closing ``` line; other text only stripped. Lines end as str.splitlines() sees it."""
     t = strip(c)
-    lines = F.split(t, "\n")
+    lines = F.split(t, "\r\n|[\n\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]")
     inner = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
     fenced = t.startswith("```") & (strip(F.element_at(lines, -1)) == "```")
     return F.when(fenced, strip(inner)).otherwise(t)
@@ -50,3 +50,9 @@ def normalized(s: pd.Series) -> pd.Series:
 def fold_key(s: pd.Series) -> pd.Series:
     """Key for equal texts: normalised and case-folded."""
     return s.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()).casefold(), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def casefolded(s: pd.Series) -> pd.Series:
+    """Case-folded text; Spark can only lower-case."""
+    return s.map(lambda x: x.casefold(), na_action="ignore")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions import hashing as H
 
 MAX_UNITS = 24
@@ -32,7 +33,7 @@ def verdicts(cases: DataFrame, pool: DataFrame, by: str = "case_id") -> DataFram
     word = F.when(F.col("fake") >= F.col("real"), "fake").otherwise("real")
     return cases.select(by).join(pool, by, "left").select(
         by, "fake", "real", F.round(ef / (ef + er), 12).alias("p_fake"), F.round(er / (ef + er), 12).alias("p_real"), "fake_winner", "real_winner",
-        F.when(run, word).otherwise("not_run").alias("model_verdict"), F.when(run, F.upper(word)).otherwise("NEI").alias("display_verdict"),
+        F.when(run, word).otherwise("not_run").alias("model_verdict"), F.when(run, F.when(word == "fake", fixed.DISPLAY["fake"]).otherwise(fixed.DISPLAY["real"])).otherwise(fixed.DISPLAY["not_run"]).alias("display_verdict"),
         F.when(run, "sufficient").otherwise("insufficient").alias("evidence_status"), F.coalesce("n_units", F.lit(0)).alias("n_units"),
     )
 
@@ -40,3 +41,27 @@ def verdicts(cases: DataFrame, pool: DataFrame, by: str = "case_id") -> DataFram
 def attach(units: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     """units with their scores; units without one keep nulls."""
     return units.join(scores, keys, "left")
+
+
+def warnings(visual: Column, truncated: Column) -> Column:
+    """The scorer's warnings of a case."""
+    return F.array_compact(F.array(F.when(visual, F.lit(fixed.VISUAL_EXCLUDED)), F.when(truncated, F.lit(fixed.TRUNCATED))))
+
+
+def explained(cases: DataFrame, units: DataFrame, by: str = "case_id") -> DataFrame:
+    """by, position, unit_id and the unit's fields for the ids of cases' top_k, in their own order (an inner join)."""
+    ids = cases.select(by, F.posexplode("top_k").alias("position", "unit_id"))
+    return ids.join(units, [by, "unit_id"])
+
+
+def scored_result(cases: DataFrame, units: DataFrame, outputs: DataFrame, by: str = "case_id") -> DataFrame:
+    """Every case's units with all earlier scores cleared and the scorer's attached, and the case's warnings.
+
+    units may carry scores of an earlier run; outputs: by, unit_id, selection_score, fake, real.
+    """
+    plain = units.drop("selection_score", "fake", "real")
+    got = attach(plain, outputs.select(by, "unit_id", "selection_score", "fake", "real"), [by, "unit_id"])
+    sent = (F.col("source_type") != fixed.VISUAL) & F.col("eligible")
+    per = got.groupBy(by).agg(F.max(F.col("source_type") == fixed.VISUAL).alias("visual"), (F.count_if(F.col("selection_score").isNotNull()) < F.count_if(sent)).alias("cut"))
+    said = cases.select(by).join(per, by, "left").select(by, warnings(F.coalesce("visual", F.lit(False)), F.coalesce("cut", F.lit(False))).alias("warnings"))
+    return got.join(said, by)

@@ -5,29 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed
+from ..fixed import VISUAL
 from ..functions import text as T
 
-VISUAL = "visual"
-
 
 def transcript_units(segments: DataFrame, order: str = "ordinal") -> DataFrame:
-    """case_id, ordinal, unit_id, source_type, text, start_time, end_time, confidence, eligible.
+    """Transcript segments as units: case_id, ordinal, unit_id, source_type, text, times, confidence, eligible and where they come from.
 
-    segments: case_id, an ordinal column, text and optional times. Blank
-    segments are kept as violations() finds them; ids count from zero a case.
+    segments: case_id, an ordinal column, text and optional start_time, end_time,
+    segment_index and source_uri. Blank segments are kept as violations() finds
+    them; ids count from zero a case; source_index is the segment's own or its place.
     """
     w = Window.partitionBy("case_id").orderBy(order)
     n = F.row_number().over(w) - 1
-    opt = lambda c: F.col(c) if c in segments.columns else F.lit(None).cast("double")
-    return segments.select("case_id", n.alias("ordinal"), F.format_string("asr_%04d", n).alias("unit_id"), F.lit("transcript").alias("source_type"), T.strip(F.col("text")).alias("text"), opt("start_time").alias("start_time"), opt("end_time").alias("end_time"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("eligible"))
+    opt = lambda c, kind="double": F.col(c) if c in segments.columns else F.lit(None).cast(kind)
+    source = F.coalesce(opt("segment_index", "int"), n).cast("int").alias("source_index")
+    return segments.select("case_id", n.alias("ordinal"), F.format_string("asr_%04d", n).alias("unit_id"), F.lit("transcript").alias("source_type"), T.strip(F.col("text")).alias("text"), opt("start_time").alias("start_time"), opt("end_time").alias("end_time"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("eligible"), F.lit(fixed.WHISPER[0]).alias("producer"), opt("source_uri", "string").alias("source_uri"), source, F.lit("whisper_asr").alias("extraction_method"))
 
 
-def mock_units(items: DataFrame, kind: str, prefix: str) -> DataFrame:
-    """Position-numbered units of one kind; blank ones stay, not eligible; visual ones never are."""
-    w = Window.partitionBy("case_id").orderBy("ordinal")
-    n = F.row_number().over(w) - 1
-    stripped = T.strip(F.coalesce("text", F.lit("")))
-    return items.select("case_id", n.alias("ordinal"), F.format_string(f"{prefix}-%03d", n).alias("unit_id"), F.lit(kind).alias("source_type"), stripped.alias("text"), (F.lit(kind != VISUAL) & (stripped != "")).alias("eligible"))
+#: Id prefix and field of the text of each kind of supplied item.
+MOCK = {fixed.TRANSCRIPT: ("transcript", "text"), fixed.OCR: ("ocr", "text"), VISUAL: ("visual", "observation")}
+
+
+def mock_units(items: DataFrame, kind: str) -> DataFrame:
+    """Supplied items (case_id, ordinal, item: JSON, media_path) as units of one kind, numbered by position.
+
+    Blank ones stay, not eligible; visual ones never are. A transcript's confidence is 1
+    only where the field is absent: a null stays null. A text's source is its frame's
+    path, or the medium where that is absent or empty.
+    """
+    prefix, field = MOCK[kind]
+    n = F.row_number().over(Window.partitionBy("case_id").orderBy("ordinal")) - 1
+    at = lambda name, cast="string": F.get_json_object("item", f"$.{name}").cast(cast)
+    text = T.strip(F.coalesce(at(field), F.lit("")))
+    has = F.array_contains(F.json_object_keys("item"), "confidence")
+    confidence = at("confidence", "double") if kind != fixed.TRANSCRIPT else F.when(has, at("confidence", "double")).otherwise(1.0)
+    path = F.nullif(at("frame_path"), F.lit(""))
+    source = {fixed.TRANSCRIPT: F.col("media_path"), fixed.OCR: F.coalesce(path, F.col("media_path")), VISUAL: at("frame_path")}[kind]
+    none = lambda c: F.lit(None).cast(c)
+    timed = kind == fixed.TRANSCRIPT
+    method = {fixed.TRANSCRIPT: "mock_asr", fixed.OCR: "mock_ocr", VISUAL: "mock_vlm"}[kind]
+    return items.select(
+        "case_id", n.alias("ordinal"), F.format_string(f"{prefix}-%03d", n).alias("unit_id"), F.lit(kind).alias("source_type"), text.alias("text"),
+        (at("start_time", "double") if timed else none("double")).alias("start_time"), (at("end_time", "double") if timed else none("double")).alias("end_time"),
+        (none("string") if timed else at("frame_id")).alias("frame_id"), (none("string") if timed else at("frame_path")).alias("frame_path"),
+        (F.from_json(F.get_json_object("item", "$.bbox"), "array<double>") if kind == fixed.OCR else none("array<double>")).alias("bbox"), confidence.alias("confidence"),
+        F.lit(method).alias("producer"), source.alias("source_uri"), n.alias("source_index"), F.lit(method).alias("extraction_method"),
+        (n if kind == VISUAL else none("int")).alias("retrieval_rank"), (F.lit(kind != VISUAL) & (text != "")).alias("eligible"),
+    )
+
+
+def without_scores(units: DataFrame) -> DataFrame:
+    """units with their scores cleared, where they have any."""
+    kinds = {"selection_score": "double", "fake": "double", "real": "double"}
+    return units.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
 
 
 def modality(source_type: Column) -> Column:
@@ -49,6 +81,8 @@ def pool(*parts: DataFrame) -> DataFrame:
 
 
 def request_units(units: DataFrame) -> DataFrame:
-    """case_id, units: a scorer's request, eligible units in order with their modality."""
+    """case_id, units, violations: a scorer's request, eligible units in order with their modality and whole text, none cut off."""
     one = F.struct("ordinal", "unit_id", modality(F.col("source_type")).alias("modality"), "text")
-    return eligible(units).groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: F.struct(s["unit_id"].alias("unit_id"), s["modality"].alias("modality"), s["text"].alias("text"))).alias("units"))
+    rows = eligible(units).groupBy("case_id").agg(F.array_sort(F.collect_list(one)).alias("u"), F.count_if(T.is_blank(F.col("text"))).alias("blank"), (F.count("*") - F.count_distinct("unit_id")).alias("twice"))
+    why = F.array_compact(F.array(F.when(F.col("blank") > 0, "blank_text"), F.when(F.col("twice") > 0, "duplicate_unit_id")))
+    return rows.select("case_id", F.transform("u", lambda s: F.struct(s["unit_id"].alias("unit_id"), s["modality"].alias("modality"), s["text"].alias("text"))).alias("units"), why.alias("violations"))

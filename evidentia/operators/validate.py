@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions import text as T
 from ..functions.numeric import bbox, finite, is_close
 
@@ -29,7 +30,7 @@ def monotonic(chunks: DataFrame, by: str = "case_id") -> DataFrame:
 
 def units(df: DataFrame, by: str = "case_id") -> DataFrame:
     twice = F.count("*").over(Window.partitionBy(by, "unit_id")) > 1
-    return df.withColumn("violations", violations((twice, "duplicate_unit_id"), ((F.col("source_type") == "visual") & F.col("eligible"), "visual_unit_eligible"), (F.col("eligible") & T.is_blank(F.col("text")), "blank_eligible_text")))
+    return df.withColumn("violations", violations((twice, "duplicate_unit_id"), ((F.col("source_type") == fixed.VISUAL) & F.col("eligible"), "visual_unit_eligible"), (F.col("eligible") & T.is_blank(F.col("text")), "blank_eligible_text")))
 
 
 def detection(confidence: Column, polygon: Column, given: Column) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions.hashing import safe_component
 
 REQUEST = "claim string, request_id string, media_path string, transcript_segments array<struct<text:string,start_time:double,end_time:double,confidence:double>>, ocr_observations array<struct<text:string,frame_id:string,frame_path:string,bbox:array<double>,confidence:double>>, visual_inputs array<struct<frame_id:string,frame_path:string,observation:string,confidence:double>>, metadata variant"
-UNIT = "struct<unit_id:string,source_type:string,text:string,start_time:double,end_time:double,frame_id:string,frame_path:string,bbox:array<double>,confidence:double,producer:string,provenance:struct<source_uri:string,source_index:int,extraction_method:string,details:variant>,eligible:boolean,selection_score:double,logits:struct<fake:double,real:double>>"
+UNIT = "struct<unit_id:string,source_type:string,text:string,start_time:double,end_time:double,frame_id:string,frame_path:string,bbox:array<double>,confidence:double,producer:string,provenance:struct<source_uri:string,source_index:int,extraction_method:string,details:variant>,eligible_for_frozen_g1:boolean,selection_score:double,logits:struct<fake:double,real:double>>"
 RESULT = f"session_id string, claim string, model_verdict string, display_verdict string, evidence_status string, sample_logits struct<fake:double,real:double>, probabilities struct<fake:double,real:double>, all_units array<{UNIT}>, top_k_units array<{UNIT}>, class_winners struct<fake:string,real:string>, pipeline_stages array<struct<name:string,sequence:int,status:string,runtime_ms:double,detail:string>>, warnings array<string>, checkpoint_sha256 string, runtime_ms double"
 
 
@@ -17,25 +21,67 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST).option("multiLine", True).json(path)
 
 
+def _units(exploded: DataFrame) -> DataFrame:
+    u = exploded.select(*[c for c in exploded.columns if c != "u"], "u.*").withColumnRenamed(fixed.ELIGIBLE, "eligible")
+    return u.withColumns({"text": F.coalesce("text", F.lit("")), "producer": F.coalesce("producer", F.lit("unknown")), "eligible": F.coalesce("eligible", F.lit(False))})
+
+
 def units_of(payloads: DataFrame, column: str = "value") -> DataFrame:
     """case_id, claim, ordinal and the fields of each unit of {session_id, claim, units} documents."""
     p = payloads.select(F.from_json(column, f"session_id string, claim string, units array<{UNIT}>").alias("p"))
-    u = p.select(F.col("p.session_id").alias("case_id"), "p.claim", F.posexplode("p.units").alias("ordinal", "u")).select("case_id", "claim", "ordinal", "u.*")
-    return u.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("producer", F.coalesce("producer", F.lit("unknown"))).withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    return _units(p.select(F.col("p.session_id").alias("case_id"), "p.claim", F.posexplode("p.units").alias("ordinal", "u")))
+
+
+def array_units_of(payloads: DataFrame, column: str = "value") -> DataFrame:
+    """As units_of, for documents that are an array of units, of which case_id is a column of its own."""
+    return _units(payloads.select("case_id", F.posexplode(F.from_json(column, f"array<{UNIT}>")).alias("ordinal", "u")))
 
 
 def results_of(documents: DataFrame, column: str = "value") -> DataFrame:
     return documents.select(F.from_json(column, RESULT).alias("r")).select("r.*")
 
 
-def write_documents(df: DataFrame, root: str, category: str, key: str) -> None:
-    """JSON documents below root/category; unsafe keys fail the job before anything is kept."""
-    checked = F.when(safe_component(F.col(key)), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("unsafe file name: "), F.coalesce(F.col(key), F.lit("null")))))
-    if not all(ch.isalnum() or ch in "_.-" for ch in category) or category in ("", ".", ".."):
+#: Fixed value: a safe category of documents.
+SAFE = re.compile(r"[A-Za-z0-9_.-]{1,100}")
+
+
+def _safe_root(root: str, category: str) -> str:
+    if not SAFE.fullmatch(category) or set(category) <= {"."}:
         raise ValueError(f"unsafe category: {category!r}")
-    df.withColumn(key, checked).write.mode("overwrite").json(f"{root.rstrip('/')}/{category}")
+    return f"{root.rstrip('/')}/{category}"
+
+
+def put_documents(df: DataFrame, root: str, category: str, key: str) -> None:
+    """Put JSON documents below root/category, one folder a key; other keys' documents stay.
+
+    df: key and one column more, the document as canonical JSON text. Unsafe keys fail the
+    job before anything is kept; a key that comes again is replaced. Of rows with
+    one key the last by the document's text stays.
+    """
+    target = _safe_root(root, category)
+    document = next(c for c in df.columns if c != key)
+    safe = F.when(safe_component(F.col(key)) & ~F.col(key).rlike("\\A[.]+\\z"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("unsafe file name: "), F.coalesce(F.col(key), F.lit("null")))))
+    one = df.select(safe.alias("key"), F.col(document).alias("value")).groupBy("key").agg(F.max("value").alias("value"))
+    one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").text(target)
+
+
+def documents_of(spark: SparkSession, root: str, category: str) -> DataFrame:
+    """key, value of the documents below root/category."""
+    return spark.read.schema("value string, key string").text(_safe_root(root, category)).select("key", "value")
 
 
 def append_log(events: DataFrame, path: str) -> None:
-    """event, payload and case_id as JSON lines, one folder a case."""
-    events.write.mode("append").partitionBy("case_id").json(path)
+    """event, payload and case_id as JSON lines with sorted keys, appended; a case's lines are found by their case_id."""
+    events.select(*sorted(events.columns)).write.mode("append").json(path)
+
+
+def write_results(results: DataFrame, root: str) -> None:
+    """Results as documents by session id, and a log line for each."""
+    put_documents(results.select("session_id", "document"), root, "results", "session_id")
+    append_log(results.select(F.col("session_id").alias("case_id"), F.lit("result_created").alias("event"), F.to_json(F.struct(F.concat(F.lit("results/key="), "session_id").alias("path"))).alias("payload")), f"{root.rstrip('/')}/logs")
+
+
+def stdout_lines(outcomes: DataFrame, column: str = "outcome") -> Iterator[tuple[str, int]]:
+    """Each outcome as one line of compact JSON with its exit code, a partition at a time."""
+    for r in outcomes.select(column, F.when(F.get_json_object(column, "$.status") == "success", 0).otherwise(1).alias("code")).toLocalIterator():
+        yield r[0], r[1]

@@ -59,16 +59,22 @@ def test_empty_case_is_insufficient(spark):
 
 
 def test_visual_units_are_never_eligible(spark):
-    d = spark.createDataFrame([(1, 0, "x"), (1, 1, "  ")], "case_id long, ordinal int, text string")
-    assert [r["eligible"] for r in units.mock_units(d, "visual", "visual").collect()] == [False, False]
-    assert [r["eligible"] for r in units.mock_units(d, "transcript", "transcript").orderBy("ordinal").collect()] == [True, False]
+    d = spark.createDataFrame([(1, 0, '{"observation":"x"}', "m"), (1, 1, '{"text":" y ","confidence":null}', "m"), (1, 2, '{"text":"  ","frame_path":""}', "m")], "case_id long, ordinal int, item string, media_path string")
+    seen = units.mock_units(d, "visual_observation").orderBy("ordinal").collect()
+    assert [(r["unit_id"], r["text"], r["eligible"], r["retrieval_rank"]) for r in seen] == [("visual-000", "x", False, 0), ("visual-001", "", False, 1), ("visual-002", "", False, 2)]
+    said = units.mock_units(d, "transcript").orderBy("ordinal").collect()
+    assert [(r["text"], r["eligible"], r["confidence"]) for r in said] == [("", False, 1.0), ("y", True, None), ("", False, 1.0)]
+    assert [r["source_uri"] for r in units.mock_units(d, "ocr").orderBy("ordinal").collect()] == ["m", "m", "m"]
 
 
 def test_shapes(spark):
     mode = lambda s: one(spark, observe.recovery_mode(F.lit(s)))
-    assert mode('{"observations": []}') == "observations_object"
+    assert mode('{"observations": []}') == "canonical_object"
     assert mode('{"observations": null}') == "unsupported"
-    assert mode("[]") == "top_level_array"
+    assert mode("[]") == "top_level_array_wrapped"
+    assert mode("[1, 2]") == "unsupported"
+    assert mode('{"observations": [{}, 3]}') == "unsupported"
+    assert mode('{"observation_type":"x","observation":1,"frame_ids":0,"evidence_refs":null}') == "single_observation_object_wrapped"
     assert mode("3") == "unsupported"
     assert mode("[1") == "not_json"
     assert mode("[1] x") == "not_json"
@@ -86,14 +92,24 @@ def test_detection(spark):
 
 
 def test_records(spark, tmp_path):
-    doc = '{"session_id":"s","claim":"c","units":[{"unit_id":"a","eligible":true},{"unit_id":"b","text":"t"}]}'
+    doc = '{"session_id":"s","claim":"c","units":[{"unit_id":"a","eligible_for_frozen_g1":true},{"unit_id":"b","text":"t"}]}'
     u = records.units_of(spark.createDataFrame([(doc,)], "value string")).orderBy("ordinal").collect()
     assert [(r["unit_id"], r["text"], r["producer"], r["eligible"]) for r in u] == [("a", "", "unknown", True), ("b", "t", "unknown", False)]
-    d = spark.createDataFrame([("a", 1)], "name string, n int")
-    records.write_documents(d, f"file://{tmp_path}", "results", "name")
-    assert spark.read.json(f"file://{tmp_path}/results").count() == 1
-    with pytest.raises(Exception, match="unsafe"):
-        records.write_documents(d.withColumn("name", F.lit("../x")), f"file://{tmp_path}", "results", "name")
+    root = f"file://{tmp_path}"
+    put = lambda *rows: records.put_documents(spark.createDataFrame(list(rows), "name string, document string"), root, "units", "name")
+    put(("a", '{"x":1}'), ("b", "{}"))
+    put(("b", '{"y":2}'))
+    assert sorted(map(tuple, records.documents_of(spark, root, "units").collect())) == [("a", '{"x":1}'), ("b", '{"y":2}')]
+    for bad in ("../x", "..", "a/b", ""):
+        with pytest.raises(Exception, match="unsafe"):
+            put((bad, "{}"))
+    for bad in ("..", "a/b", "é", ""):
+        with pytest.raises(ValueError, match="unsafe"):
+            records.documents_of(spark, root, bad)
+    results = spark.createDataFrame([("s1", '{"session_id":"s1"}')], "session_id string, document string")
+    records.write_results(results, root)
+    assert records.documents_of(spark, root, "results").count() == 1
+    assert spark.read.json(f"{root}/logs").select("case_id", "event").first() == ("s1", "result_created")
 
 
 def test_settings():

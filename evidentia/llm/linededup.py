@@ -57,6 +57,11 @@ def _by_rarity(hashes: Column, levels: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(levels[F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")])))
 
 
+def _head(n: Column) -> Column:
+    """How many of the rarest tokens of a set of n have a bit: all, or as many as leave about half of the 64 bits empty."""
+    return F.least(n, F.lit(48))
+
+
 def _bitmap(tokens: Column) -> Column:
     """64 bits, of which each token sets one."""
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
@@ -78,7 +83,7 @@ def token_classes(docs: DataFrame, levels: DataFrame, key: str = "doc_id", text:
     lines = numbered_lines(docs, key, text).filter(F.col("words").rlike(WORD_CHAR)).withColumn("levels", levels.scalar())
     rows = lines.select("doc", "h", "line", _by_rarity(_hashes(F.col("words")), F.col("levels")).alias("t")).withColumn("n", F.size("t"))
     prefix = F.transform(F.slice("t", F.lit(1), _prefix(F.col("n"))), lambda x: F.hash(x))
-    rows = rows.select("doc", "h", "line", "n", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), _bitmap(F.col("t")).alias("bits"), prefix.alias("prefix"))
+    rows = rows.select("doc", "h", "line", "n", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), _bitmap(F.slice("t", F.lit(1), _head(F.col("n")))).alias("bits"), prefix.alias("prefix"))
     # the row numbers' limit holds before the shuffle too, so a set with a third of all lines sends one row a task
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc", "h", "line"))
     first = rows.withColumn("nth", nth).filter("nth = 1").drop("nth", "k1", "k2")
@@ -89,15 +94,19 @@ def token_classes(docs: DataFrame, levels: DataFrame, key: str = "doc_id", text:
 def _similar(x: str, y: str) -> Column:
     """Length, positional and bitmap filters for two rows of the index.
 
-    A bit that only one of two bitmaps has stands for a token that the other set
-    lacks, so there are at most as many as the sizes and the needed overlap leave.
+    Of the tokens that two sets share, those outside both heads (the rarest tokens,
+    which have bits) lie all behind the head of one of them, the one whose head ends first.
+    So the heads share at least what is needed less the larger rest, and a head may
+    lack so many of the other's bits at most: rare tokens tell sets apart that share only
+    common ones.
     """
     c = lambda side, name: F.col(f"{side}_{name}")
     length = (c(x, "n") * 10 >= c(y, "n") * TENTHS) & (c(y, "n") * 10 >= c(x, "n") * TENTHS)
     # shared tokens that a similarity of 0.8 needs: t / (1 + t) of both sizes
     need = F.ceil((c(x, "n") + c(y, "n")) * TENTHS / F.lit(10 + TENTHS))
     place = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) >= need
-    lacks = lambda p, q: F.bit_count(c(p, "bits").bitwiseAND(F.bitwise_not(c(q, "bits")))) <= c(p, "n") - need
+    rest = F.greatest(c(x, "n") - _head(c(x, "n")), c(y, "n") - _head(c(y, "n")))
+    lacks = lambda p, q: F.bit_count(c(p, "bits").bitwiseAND(F.bitwise_not(c(q, "bits")))) <= _head(c(p, "n")) + rest - need
     return length & place & lacks(x, y) & lacks(y, x)
 
 

@@ -224,7 +224,9 @@ def repeated_runs(docs: DataFrame, found: DataFrame, key: str = "doc_id", text:
     heads = saved(runs.groupBy("h").agg(F.min(_place()).alias("head"), F.count("*").alias("n")).filter("n > 1").select("h", "head"), "run-heads")
     dropped(docs.sparkSession, wanted)
     each = few(runs, heads, ["h"], ["h"]).join(heads, "h")
-    return each.select("doc", "th", "start", F.lit(RUN).cast("long").alias("size"), F.col("head.doc").alias("keeper"), _place().eqNullSafe(F.col("head")).alias("first"))
+    out = saved(each.select("doc", "th", "start", F.lit(RUN).cast("long").alias("size"), F.col("head.doc").alias("keeper"), _place().eqNullSafe(F.col("head")).alias("first")), "run-places")
+    dropped(docs.sparkSession, runs, heads)
+    return out
 
 
 def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -296,7 +298,8 @@ def repeated_paragraphs(docs: DataFrame, found: DataFrame, key: str = "doc_id",
     spark = docs.sparkSession
     # rows equal in key and text are one document
     own = found.filter("size is not null").select("doc", "th", "start", "size", "h")
-    classes = saved(own.groupBy("h").agg(F.min(_place()).alias("at"), F.max(_place()).alias("end")), "sub-classes")
+    places = own.groupBy("h").agg(F.min(_place()).alias("at"), F.max(_place()).alias("end"))
+    classes = saved(places.select("h", "at", (~F.col("at").eqNullSafe(F.col("end"))).alias("again")), "sub-classes")
     dropped(spark)
     values = found.filter(f"{VALUES[0]} is not null").select("h", F.explode(F.array(*VALUES)).alias("value"))
     by = values.groupBy("value").agg(F.min("h").alias("lead"), F.max("h").alias("last")).filter("lead <> last").select("value", "lead")
@@ -314,16 +317,16 @@ def repeated_paragraphs(docs: DataFrame, found: DataFrame, key: str = "doc_id",
     far = linked_in_cells(loads, alike, "sub")
     dropped(spark, cells, sets)
     roots = saved(components(near.unionByName(far), "sub").select(F.col("node").alias("h"), "root"), "sub-roots")
-    again = ~F.col("at").eqNullSafe(F.col("end"))
-    mark = "linked"
-    flagged = marked(classes, roots, ["h"], ["h"], mark).filter(F.col(mark) | again)
-    named = flagged.join(roots, "h", "left").select("h", F.coalesce("root", "h").alias("component"), F.col("root").isNotNull().alias("linked"), again.alias("again"), "at")
+    flagged = marked(classes, roots, ["h"], ["h"], "linked").filter("linked or again")
+    named = flagged.join(roots, "h", "left").select("h", F.coalesce("root", "h").alias("component"), "again", "at")
     # a component of one paragraph without another place is none
     groups = named.groupBy("component").agg(F.min("at").alias("head"), F.count("*").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("component", "head")
     named = saved(named.select("h", "component").join(groups, "component"), "sub-named")
     dropped(spark, classes, roots)
     rows = few(own, named, ["h"], ["h"]).join(named, "h").distinct()
-    return rows.select("doc", "th", "start", "size", "component", F.col("head.doc").alias("keeper"), _place().eqNullSafe(F.col("head")).alias("first"))
+    out = saved(rows.select("doc", "th", "start", "size", "component", F.col("head.doc").alias("keeper"), _place().eqNullSafe(F.col("head")).alias("first")), "sub-places")
+    dropped(spark, named)
+    return out
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -342,6 +345,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     found = saved(parts(docs, key, text), "sub-parts")
     # kinds: 0 a paragraph's first place, 1 another one, 2 a run's first place, 3 another one
     kinds = ((0, repeated_paragraphs(docs, found, key, text)), (2, repeated_runs(docs, found, key, text)))
+    dropped(docs.sparkSession, found)
     spans = [x.select("doc", "th", "keeper", "start", (F.col("start") + F.col("size")).alias("end"), F.when(F.col("first"), k).otherwise(k + 1).alias("kind")) for k, x in kinds]
     before = Window.partitionBy("doc", "th", "keeper").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     unions = {"u0": (0, 1, 2, 3), "u1": (1, 2, 3), "u2": (1, 2), "u3": (1,)}

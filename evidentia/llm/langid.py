@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, saved
+from .common import column, dropped, saved
 
 LETTERS = regex.compile(r"\p{L}+")
 ORDER = 4
@@ -55,7 +55,7 @@ def _grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     h = np.zeros(len(code), np.uint64)
     for k in range(ORDER):
         # The hash of a gram: its letters from the last to the first.
-        shifted = np.concatenate([np.zeros(k, np.uint64), code[: len(code) - k]])
+        shifted = np.concatenate([np.zeros(k, np.uint64), code])[: len(code)]
         h = (h ^ (shifted + np.uint64(1))) * MIX
         h = h ^ (h >> np.uint64(29))
         out.append(np.where(depth >= k, h, np.uint64(0)))
@@ -346,7 +346,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(bits), pa.array(no)], names=[key, "lang_pred", "score", "bits", "rejected"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, bits double, rejected boolean")
+    return docs.select(column(key), column(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, bits double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -362,4 +362,6 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
                 *_, no = scorer.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_struct_array(part.to_struct_array().filter(pa.array(~no)))
 
-    return docs.mapInArrow(run, docs.schema)
+    # by names without dots, which would be read as fields
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

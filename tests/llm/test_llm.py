@@ -176,39 +176,133 @@ def test_language_on_held_out_documents(spark, odd):
 
 
 def test_model_is_a_distribution():
-    m = langid.Model({"x": langid.Counter({"abab": 3, "ba": 2}), "y": langid.Counter({"cc": 1})})
+    m = langid.Model.of_words({"x": langid.Counter({"abab": 3, "ba": 2, "bac": 1}), "y": langid.Counter({"cc": 1})})
     bits, n = m.bits(["abab", "cc"])
     assert bits[0].argmin() == 0 and bits[1].argmin() == 1 and n.tolist() == [5.0, 3.0]
+    # behind any context the probabilities of all 4096 letters of the floor's alphabet and the end sum to 1
+    for context in ("", "a", "ab", "aba", "zz", "az"):
+        for j in range(2):
+            total = 0.0
+            for letter in "abc\x03":
+                word = context + letter if letter != "\x03" else context
+                grams, _, _ = langid._grams([word])
+                at = len(context) + 1
+                total += m.blocks[0].probabilities(grams)[at, j]
+            grams, _, _ = langid._grams([context + "q"])
+            total += (4096 - 4) * m.blocks[0].probabilities(grams)[len(context) + 1, j]
+            assert abs(total - 1) < 0.01, (context, j, total)
+
+
+def test_language_rejects_unknown_ones_and_learns_rare_ones(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    rare = spark.createDataFrame([(10**6 + i, f"hyvää päivää tämä on suomenkielinen lause numero {i} jossa on muutama sana", "fi", "s", 60) for i in range(6)], docs.schema)
+    model = langid.train(docs.unionByName(rare))
+    assert "fi" in model.langs
+    odd = spark.createDataFrame([(1, "xqzjk vwpfg qqqzx jjkwv zzzxq hqzpf kvbxw qjzkx"), (1, "Ελληνικά κείμενα για δοκιμή του προγράμματος"), (None, "the of and to in is that was"), (2, "12 34"), (3, None)], "doc_id long, text string")
+    got = [(r["lang_pred"], r["rejected"]) for r in langid.identify(odd, model).collect()]
+    assert [x[1] for x in got] == [True, True, False, True, True] and [x[0] for x in got[3:]] == ["und", "und"]
 
 
 def test_rollup_is_idempotent(spark, tmp_path):
     ledger = tokencounts.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.totals().collect() == []
     row = lambda *r: spark.createDataFrame([r], "source string, lang string, tokenizer_version string, tokens long")
     assert ledger.commit("1", inserted=row("a", "en", "v", 10).unionByName(row("b", None, "v", 3)))
     assert not ledger.commit("1", inserted=row("a", "en", "v", 10))
     rev = spark.createDataFrame([("a", "en", "v", 10, 12)], "source string, lang string, tokenizer_version string, old_tokens long, tokens long")
     assert ledger.commit("2", deleted=row("b", None, "v", 3), revised=rev)
     assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v", 1, 12)]
+    # a batch without its mark doesn't count and can be committed again
+    mark = sorted((tmp_path / "ledger/marks").glob("0*"))[-1]
+    mark.unlink()
+    (mark.parent / f".{mark.name}.crc").unlink(missing_ok=True)
+    assert sorted(map(tuple, ledger.totals().collect()), key=str) == [("a", "en", "v", 1, 10), ("b", None, "v", 1, 3)]
+    assert ledger.commit("2", deleted=row("b", None, "v", 3), revised=rev)
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v", 1, 12)]
+    # a second writer that starts from the same totals loses the mark and starts again
+    other = tokencounts.Ledger(spark, f"file://{tmp_path}/ledger")
+    stale = other.batches()
+    assert ledger.commit("3", inserted=row("c", None, "v", None))
+    real, seen = other.batches, iter([stale])
+    other.batches = lambda *a: next(seen, None) or real()
+    assert other.commit("4", inserted=row("a", "en", "v", 1))
+    assert sorted(map(tuple, ledger.totals().collect()), key=str) == [("a", "en", "v", 2, 13), ("c", None, "v", 1, 0)]
+    for bad in ("", "../x", "a/b"):
+        with pytest.raises(ValueError):
+            ledger.commit(bad, inserted=row("a", "en", "v", 1))
+
+
+def test_token_counts_equal_a_recount(spark):
+    import duckdb
+
+    from evidentia.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, queries.op6_token_counts(spark, sf).collect()), key=str)
+    sql = r"SELECT source, lang, 'words-1', count(*), CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) FROM '{}/documents.parquet' GROUP BY ALL".format(sf)
+    assert [r for r in got if r[2] == "words-1"] == sorted(duckdb.sql(sql).fetchall(), key=str)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    want: dict = {}
+    for r in common.documents(spark, sf).collect():
+        x = want.setdefault((r["source"], r["lang"]), [0, 0])
+        x[0] += 1
+        x[1] += len(t.encode(r["text"] or "", add_special_tokens=False).ids)
+    assert {(r[0], r[1]): [r[3], r[4]] for r in got if r[2] != "words-1"} == want
 
 
-def test_licences(spark):
-    docs = spark.createDataFrame([(1, "x\nReleased under the MIT License."), (2, "the license plate was lost"), (3, None), (4, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
-    got = {(r["doc_id"], r["line"]): (r["family"], r["confirmed"]) for r in licenses.scan(docs).collect()}
-    assert got[(1, 1)] == ("mit", True) and got[(4, 0)] == ("apache-2.0", True) and not got[(2, 0)][1]
+@pytest.fixture(scope="module")
+def unknown(spark):
+    return licenses.sample(common.documents(spark, "/root/testdata/sf0.01"))
 
 
-def test_licenses_inside_longer_lines(spark):
-    other = lambda n: " ".join("wort%d" % i for i in range(n))
-    short = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts if re.search(licenses.ANCHOR, t)]
-    rows = [(100 * k + n // 10, f"{other(n)} {t} {other(n // 2)}") for k, (_, t) in enumerate(short) for n in (0, 20, 40, 200)]
-    got = {r["doc_id"]: (r["family"], r["confirmed"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {i: (short[i // 100][0], True) for i, _ in rows} == got
-    assert licenses.scan(spark.createDataFrame([(1, "the license plate was taken from the road " + other(60))], "doc_id long, text string")).filter("confirmed").count() == 0
+def test_licences(spark, unknown):
+    docs = spark.createDataFrame([(1, "x\nReleased under the MIT License."), (2, "the license plate was lost"), (3, None), (4, "Licensed under the Apache License, Version 2.0."), (5, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["line"]): (r["family"], r["confirmed"]) for r in licenses.scan(docs, model=licenses.train(unknown)).collect()}
+    assert got == {(1, 1): ("mit", True), (4, 0): ("apache-2.0", True), (2, 0): ("unknown", False)}
 
 
-def test_licenses_of_repeated_and_null_keys(spark):
+def test_licenses_inside_longer_and_wrapped_lines(spark, unknown):
+    other = lambda n: " ".join("wort%d" % i for i in range(n))
+    notices = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(100 * k + n // 10, f"{other(n)} {t} {other(n // 2)}") for k, (_, t) in enumerate(notices) for n in (0, 20, 40, 200)]
+    for k, (_, t) in enumerate(notices):
+        w = t.split()
+        rows.append((100 * k + 50, "a b c\n" + " ".join(w[: len(w) // 2]) + "\n" + " ".join(w[len(w) // 2 :]) + "\nend of it"))
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=licenses.train(unknown)).collect():
+        if r["confirmed"] and r["overlap"] == 1:
+            got.setdefault(r["doc_id"], r["family"])
+    assert got == {i: notices[i // 100][0] for i, _ in rows}
+
+
+def test_licenses_left_out_rows(unknown):
+    half = unknown[::2]
+    m, rows = licenses.train(half), licenses.labelled(list(unknown[1::2]), seed=7)
+    p = m.probabilities([" ".join(w) for _, w in rows])
+    best = [m.families[i] if x >= 0.5 else "" for i, x in zip(p.argmax(axis=1), p.max(axis=1))]
+    right = np.array([f == b for (f, _), b in zip(rows, best)])
+    is_notice = np.array([f != "" for f, _ in rows])
+    said = np.array([b != "" for b in best])
+    assert right[is_notice].mean() > 0.9 and (right & said)[said].mean() > 0.9
+    # calibrated: of paragraphs with a probability of about x, about x are notices of the family
+    y = np.array([[f == c for c in m.families] for f, _ in rows])
+    assert abs(p[p > 0.5].mean() - y[p > 0.5].mean()) < 0.1
+
+
+def test_telling_words_lose_no_notice(unknown):
+    m = licenses.train(unknown)
+    telling = set(licenses.telling(m, unknown))
+    rows = licenses.labelled(list(unknown), seed=3)
+    p = m.probabilities([" ".join(w) for _, w in rows]).max(axis=1)
+    assert all(telling & set(w) for (_, w), x in zip(rows, p) if x >= 0.5)
+    assert all(telling & set(licenses._words_of(t)) for ts in licenses.TEMPLATES.values() for t in ts)
+
+
+def test_licenses_of_repeated_and_null_keys(spark, unknown):
     rows = [(k, t) for k in (1, None) for t in ("Released under the MIT License.", "Licensed under the GPL.", "Licensed under the GPL.")]
-    got = sorted((r["doc_id"] or 0, r["family"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = sorted((r["doc_id"] or 0, r["family"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=licenses.train(unknown)).collect())
     assert got == [(k, f) for k in (0, 1) for f in ("gpl", "gpl", "mit")]
 
 
@@ -283,3 +377,133 @@ def test_pipeline_keeps_clean_documents(spark):
             assert out.select("doc_id").distinct().count() == out.count() >= 0.5 * docs.count()
         docs = out
     assert docs.filter("n_tokens > 0").count() > 0
+
+
+REPEATED = [(1, LONG), (1, LONG.replace("mu", "MU2")), (1, "own line of this row\nshared by two"), (1, "unique line of this row\nshared by two"), (None, "first without key\nshared by two"), (None, "second without key"), (2, LONG), (2, LONG), (3, None), (4, "")]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Rows with repeated and null keys, equal rows, and columns whose names operators use themselves."""
+    rows = [(k, t, "en", "s" if i % 2 else None, i, 7, "x") for i, (k, t) in enumerate(REPEATED)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_lines int, doc int, `a.b` string")
+
+
+def test_lines_of_repeated_and_null_keys(repeated):
+    out = linededup.deduplicated(repeated)
+    assert out.columns == [*repeated.columns, "n_lines_", "n_removed", "n_near"]
+    got = sorted(((r["n_lines"], r["text"]) for r in out.collect()))
+    texts = dict(got)
+    # null keys come first, then keys in order; of rows of one key the order is that of the texts' hashes
+    assert texts[4] == "first without key\nshared by two" and texts[5] == "second without key"
+    assert texts[2] == "own line of this row" and texts[3] == "unique line of this row"
+    assert sorted([texts[0], texts[1]]) == ["", max(LONG, LONG.replace("mu", "MU2"), key=lambda t: t == (texts[0] or texts[1]))]
+    assert texts[6] == texts[7] == "" and texts[8] is None and texts[9] == ""
+    kept = linededup.without_repeats(repeated)
+    assert kept.columns == repeated.columns and sorted(r["n_lines"] for r in kept.collect() if r["n_lines"] not in (0, 1)) == [2, 3, 4, 5, 8, 9]
+
+
+def test_keep_one_of_repeated_and_null_keys(spark, repeated):
+    got = {r["n_lines"] for r in simhash.keep_one(repeated).collect()}
+    # one changed word of 24 is more than three bits: row 1 is a text of its own
+    assert {1, 2, 3, 4, 5} <= got and len(got & {0, 6, 7}) == 1 and len(got & {8, 9}) == 1
+    assert simhash.keep_one(repeated).columns == repeated.columns
+    u = [(2, "one two three four"), (5, "one two three four"), (5, "another text stands here alone"), (None, "no key but text of its own"), (None, "no key and yet another text"), (None, "no key but text of its own")]
+    d = spark.createDataFrame(u, "doc_id long, text string")
+    kept = sorted(map(tuple, simhash.keep_one(d).collect()), key=str)
+    assert kept == sorted([u[0], u[2], u[3], u[4]], key=str)
+
+
+def test_mix_of_repeated_and_null_keys(spark):
+    w = lambda n: " ".join(["w"] * n)
+    d = spark.createDataFrame([(1, w(400), None), (1, w(40), None), (None, w(30), "a"), (None, w(300), "a"), (2, None, "a"), (3, w(50), "b"), (3, w(50), "b")], "doc_id long, text string, source string")
+    mix = mixing.mix(d).collect()
+    assert len(mix) == 7 and all(r["taken"] == r["copies"] * r["size"] for r in mix)
+    want = sorted(r["size"] for r in mix for _ in range(r["copies"]))
+    assert sorted(len(r["text"].split()) for r in mixing.mixed(d).collect()) == want
+    assert mixing.mixed(d.withColumn("copies", F.lit(1)).withColumn("s", F.lit("x"))).columns == ["doc_id", "text", "source", "copies", "s"]
+
+
+def brute_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+
+
+def test_fingerprints_of_any_keys(spark):
+    texts = ["first text. it has a line\nand another", "second text", "third one\nwith lines\nthree", ""]
+    for keys, kind in (([None] * 4, "long"), (["a", "b", None, "c"], "string"), ([5, 5, 5, 1], "long"), ([3], "int")):
+        rows = list(zip(keys, texts))
+        got = merkle.with_successors(spark.createDataFrame(rows, f"doc_id {kind}, text string"), ranges=3).collect()
+        assert len(got) == len(rows)
+        assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == sorted((str(k), len(t)) for k, t in rows)
+        # each row's edited text ends with the start of some row's text, and each row follows one other
+        edited = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+        for r in got:
+            assert r["edited_sha256"] in {edited(t, n) for k, t in rows if len(t) == r["n_chars"] for _, n in rows}
+    keyed = [(4 - i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in merkle.with_successors(spark.createDataFrame(keyed, "doc_id int, text string"), ranges=2).collect()}
+    for i, (k, t) in enumerate(keyed):
+        n = keyed[(i + 1) % 4][1]
+        assert got[k]["edited_sha256"] == hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+        assert got[k]["fingerprint"] == merkle.fingerprint(t)
+
+
+def test_tree_and_likeness_equal_brute_force():
+    rng = np.random.default_rng(8)
+    text = "\n".join(" ".join("w%d" % x for x in rng.integers(0, 10**6, int(n))) for n in rng.integers(1, 60, 40))
+    lines = text.split("\n")
+    changed = lines[:5] + ["new line"] + lines[5:20] + [lines[20].replace("w", "v", 1)] + lines[21:33] + lines[34:]
+    other = "\n".join(changed)
+    a, b = merkle.tree(text), merkle.tree(other)
+    leaves = lambda t: [x for s in t["sections"] for p in s["paragraphs"] for x in p["leaves"]]
+    from collections import Counter
+
+    p, q = Counter(leaves(a)), Counter(leaves(b))
+    near, where = merkle.compared(a, b)
+    assert near == pytest.approx((p & q).total() / (p | q).total(), abs=1e-12)
+    assert where == [(20, 21), (33, 34)] and merkle.compared(b, a)[1] == [(5, 6), (21, 22)]
+    assert merkle.likeness(merkle.written(a), merkle.written(b)) == near and merkle.read(merkle.written(a))["root"] == a["root"]
+    assert sum(len(p["leaves"]) for s in a["sections"] for p in s["paragraphs"]) > 64
+    # pieces are cut alike wherever they stand, with and without spaces
+    solid = "".join(chr(0x4E00 + x) for x in rng.integers(0, 5000, 3000))
+    assert merkle.compared(merkle.tree(solid), merkle.tree("x" + solid))[0] > 0.9
+
+
+def test_passages_of_repeated_and_null_keys(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join("w%d" % x for x in rng.integers(0, 10**9, n))
+    p, q = text(12), text(15)  # too short to be cut
+    rows = [(1, p + "\n" + text(9)), (1, p + "\n" + text(8)), (None, q + "\n" + text(7)), (5, q), (6, text(30)), (6, None), (7, ""), (8, p), (8, p)]
+    got = {(r["doc_id"], r["keeper_doc_id"]): (r["n_paragraphs"], r["n_words"], r["n_removed_words"]) for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1): (2, 24, 12), (8, 1): (1, 12, 12), (5, 5): (1, 15, 0), (None, 5): (1, 15, 15)}
+
+
+def test_quality_on_rows_left_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = common.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    out = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    model = quality.train(docs, labels.filter(~out))
+    got = quality.judge(docs, model).join(labels.filter(out), "doc_id").filter("not base_failed").collect()
+    assert len(got) > 50 and np.mean([r["kept"] == (r["quality"] == 1) for r in got]) > 0.9
+
+
+def test_quality_counts_equal_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    sql = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM '{}/documents.parquet')
+    SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+    (SELECT count(*) - count(DISTINCT x) FROM unnest(string_split(t, chr(10))) AS l(x) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')) AS n_dup_lines FROM d""".format(sf)
+    want = {r[0]: tuple(map(int, r[1:])) for r in duckdb.sql(sql).fetchall()}
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) for r in quality.judge(common.documents(spark, sf), quality.Classifier()).collect()}
+    assert got == want
+
+
+def test_pipeline_of_odd_tables(spark, odd, empty):
+    import corpus_pipeline
+
+    for docs in (empty, odd.withColumn("n_lines", F.lit(1)).withColumn("copies", F.lit(2)).withColumn("row", F.lit("x")).withColumn("a.b", F.lit(3))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.saved(stage(spark, docs, SF), f"t-{name}")
+            if name != "tokens":
+                assert out.columns == docs.columns, name
+            docs = out

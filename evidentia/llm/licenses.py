@@ -92,7 +92,7 @@ OTHERS = [
     "no part of the house was open to the public", "rights and duties of persons are the subject of the book", "the warranty on the car covers any kind of damage",
 ]
 #: Paragraphs of the corpus that the classifier learns as unknown are drawn among those without any of these words.
-ANCHOR = r"(?i)licen[sc]|permission|redistribut|rights reserved|warrant|\bgpl\b|\bgnu\b|creative commons|\bcc by|mozilla|apache|\bmit\b|\bbsd\b"
+ANCHOR = r"(?i)licen[sc]|permission|redistribut|rights reserved|warrant|\bgpl\b|\bgnu\b|creative commons|\bcc by|mozilla"
 #: About so many paragraphs of the corpus are drawn (a sample by hash, whatever the corpus).
 UNKNOWN_ROWS = 2000
 #: Calibrated probability below which a paragraph is unknown, and containment that confirms a likely family.
@@ -101,7 +101,7 @@ MIN_OVERLAP = 0.5
 EPOCHS = 150
 #: Variants of each paragraph of a licence to learn from; one in four calibrates.
 VARIANTS = 24
-#: Grams in more than this share of the corpus's unknown paragraphs say nothing and have no weight.
+#: Grams in more than this share of the corpus's unknown paragraphs, or of such words only, say nothing and have no weight.
 MAX_SHARE = 0.005
 #: Windows of so many words are scored inside a paragraph; the longest holds any template.
 SIZES = (5, 8, 12, 24)
@@ -196,7 +196,8 @@ def train(unknown: tuple[str, ...] = ()) -> Model:
     for t in unknown:
         for g in _grams(t):
             seen[g] = seen.get(g, 0) + 1
-    plain = {g for g in grams if seen.get(g, 0) > MAX_SHARE * len(unknown)}
+    often = lambda g: seen.get(g, 0) > MAX_SHARE * len(unknown)
+    plain = {g for g in grams if often(g) or all(map(often, g.split()))}
     i, j, x = [], [], []
     for k, (_, words) in enumerate(rows):
         g = _grams_of(words)

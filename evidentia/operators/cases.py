@@ -40,18 +40,21 @@ def verified(cases: DataFrame, transcripts: DataFrame, texts: DataFrame, visual:
     everything = exposure.composed(shown, visual.filter(F.size("violations") == 0).drop("violations"))
     scores = scorer(everything.filter("shown").drop("selection_score", "fake", "real").join(cases.select("case_id", "claim"), "case_id"))
     everything = everything.drop("selection_score", "fake", "real").join(scores, ["case_id", "unit_id"], "left")
-    published = package.public_units(everything)
-    unit = F.struct("position", "shown", "unit", "violations")
-    plain = F.struct("position", "shown", "unit_id", "source_type", "eligible", "selection_score", "fake", "real", "confidence")
-    per = everything.groupBy("case_id").agg(F.array_sort(F.collect_list(plain)).alias("units"))
-    out = published.groupBy("case_id").agg(F.array_sort(F.collect_list(unit)).alias("published"))
-    pooled = scoring.pooled(everything.filter("shown and fake is not null"))
-    verdicts = scoring.verdicts(cases, pooled)
-    top = scores.groupBy("case_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("selection_score")).alias("s"), "unit_id"))), 1, scoring.TOP_K).alias("top"))
-    none = lambda c, like: F.coalesce(F.col(c), F.array().cast(like))
-    units_type, published_type = (x.schema[c].dataType for x, c in ((per, "units"), (out, "published")))
-    j = cases.join(verdicts, "case_id").join(per, "case_id", "left").join(out, "case_id", "left").join(top, "case_id", "left")
-    j = j.withColumns({"units": none("units", units_type), "published": none("published", published_type), "top_k_ids": F.coalesce(F.transform("top", lambda t: t["unit_id"]), F.array().cast("array<string>"))})
+    plain = ("unit_id", "source_type", "eligible", "selection_score", "fake", "real", "confidence")
+    rows = package.public_units(everything, plain)
+    scored = F.col("shown") & F.col("fake").isNotNull()
+    best = lambda c: F.max(F.when(scored, F.struct(F.col(c).alias("x"), F.col("unit_id").alias("u"))))
+    # one pass over a case's units: arrays in their order, pooled maxima
+    per = rows.groupBy("case_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", "shown", *plain))).alias("units"), F.array_sort(F.collect_list(F.struct("position", "shown", "unit", F.col("violations").alias("wrong")))).alias("published"),
+        best("fake").alias("f"), best("real").alias("r"), F.count_if(scored).alias("n"),
+    )
+    kinds = {c: per.schema[c].dataType for c in ("units", "published")}
+    j = cases.join(per, "case_id", "left").withColumns({c: F.coalesce(F.col(c), F.array().cast(k)) for c, k in kinds.items()})
+    j = j.withColumns({"fake": F.col("f.x"), "real": F.col("r.x"), "fake_winner": F.col("f.u"), "real_winner": F.col("r.u"), "n_units": F.when(F.col("n") > 0, F.col("n"))})
+    j = j.select("case_id", "session_id", "claim", "units", "published", *scoring.verdict_columns())
+    by_score = F.array_sort(F.transform(F.filter("units", lambda u: u["shown"] & u["selection_score"].isNotNull()), lambda u: F.struct((-u["selection_score"]).alias("s"), u["unit_id"].alias("id"))))
+    j = j.withColumn("top_k_ids", F.transform(F.slice(by_score, 1, scoring.TOP_K), lambda t: t["id"]))
     side = lambda c, shown: F.filter(c, lambda u: u["shown"] == F.lit(shown))
     ids = F.transform("units", lambda u: u["unit_id"])
     top_units = F.filter("units", lambda u: F.array_contains(F.col("top_k_ids"), u["unit_id"]))
@@ -61,11 +64,10 @@ def verified(cases: DataFrame, transcripts: DataFrame, texts: DataFrame, visual:
     verification = F.struct("session_id", "claim", "model_verdict", "display_verdict", "evidence_status", ids.alias("all_ids"), top_units.alias("top_k"), "fake", "real", "p_fake", "p_real", "fake_winner", "real_winner", F.when(has_shown, fixed.RESPONSE["checkpoint_sha256"]).alias("checkpoint_sha256"))
     j = j.select("case_id", "session_id", "claim", side("units", True).alias("exposure"), side("units", False).alias("visual"), ids.alias("all_ids"), "top_k_ids", said.alias("warnings"), verification.alias("verification"), "published")
     j = assess.assessed(j)
-    wrong = F.flatten(F.transform("published", lambda u: u["violations"]))
+    wrong = F.flatten(F.transform("published", lambda u: u["wrong"]))
     j = j.withColumn("violations", F.concat("violations", wrong))
     public = lambda shown: F.transform(side("published", shown), lambda u: u["unit"])
     j = j.withColumns({"public_exposure": public(True), "public_visual": public(False), "runtime_ms": F.lit(0.0)}).drop("published")
-    document = package.public_results(j)
     failed = F.when(F.size("violations") > 0, "result_packaging")
-    out = j.join(document, "session_id")
+    out = j.withColumn("document", package.public_document())
     return out.withColumn("outcome", package.outcome_json(failed, F.lit("ValueError"), F.col("document")))

@@ -38,8 +38,8 @@ def _list_field(details: Column, name: str) -> tuple[Column, Column]:
     return found, ~ok
 
 
-def public_units(units: DataFrame) -> DataFrame:
-    """case_id, position, unit and violations: each unit with just the published fields.
+def public_units(units: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """case_id, position, unit, violations and the columns in keep: each unit with just the published fields.
 
     units: unit_id, source_type, text, start_time, end_time, frame_id, bbox,
     confidence, producer, eligible, selection_score, fake, real, extraction_method,
@@ -61,7 +61,7 @@ def public_units(units: DataFrame) -> DataFrame:
         fields["source_unit_ids"] = F.coalesce(F.col("source_unit_ids"), F.array().cast("array<string>"))
     wrong = violations(*[(x[1], f"{c}_not_strings") for c, x in lists.items()], (wrong_kind, "observation_type_not_string"))
     place = [c for c in ("case_id", "position", "shown") if c in units.columns]
-    return units.select(*place, F.struct(*[fields[c].alias(c) for c in PUBLIC]).alias("unit"), wrong.alias("violations"))
+    return units.select(*place, *keep, F.struct(*[fields[c].alias(c) for c in PUBLIC]).alias("unit"), wrong.alias("violations"))
 
 
 def public_json(result: Column) -> Column:
@@ -70,7 +70,12 @@ def public_json(result: Column) -> Column:
 
 
 def public_results(cases: DataFrame) -> DataFrame:
-    """session_id and document of each case: canonical JSON with nested verdict, sufficiency and evidence.
+    """session_id and document of each case, see public_document."""
+    return cases.select("session_id", public_document().alias("document"))
+
+
+def public_document() -> Column:
+    """A case's result as canonical JSON with nested verdict, sufficiency and evidence.
 
     cases: session_id, claim, verification (model_verdict, display_verdict,
     evidence_status, fake, real, p_fake, p_real, fake_winner, real_winner,
@@ -85,7 +90,7 @@ def public_results(cases: DataFrame) -> DataFrame:
     evidence = F.struct(F.col("top_k_ids").alias("g1_top_k_explanation_unit_ids"), F.col("public_exposure").alias("g1_exposure_units"), F.col("public_visual").alias("visual_supplemental_units"))
     evidence = F.struct(evidence["g1_exposure_units"].alias("g1_exposure_units"), evidence["g1_top_k_explanation_unit_ids"].alias("g1_top_k_explanation_unit_ids"), evidence["visual_supplemental_units"].alias("visual_supplemental_units"))
     result = F.struct("claim", evidence.alias("evidence"), "runtime_ms", F.lit(fixed.SCHEMA_VERSION).alias("schema_version"), "session_id", "sufficiency", verdict.alias("verdict"))
-    return cases.select("session_id", public_json(result).alias("document"))
+    return public_json(result)
 
 
 def outcome(failed_stage: Column, exception: Column) -> Column:

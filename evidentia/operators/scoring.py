@@ -25,17 +25,22 @@ def pooled(scored: DataFrame, by: str = "case_id") -> DataFrame:
     return out.select(by, F.col("f.x").alias("fake"), F.col("r.x").alias("real"), F.col("f.u").alias("fake_winner"), F.col("r.u").alias("real_winner"), "n_units")
 
 
-def verdicts(cases: DataFrame, pool: DataFrame, by: str = "case_id") -> DataFrame:
-    """A row for every case; cases without a scored unit are not run and insufficient."""
+def verdict_columns() -> list[Column]:
+    """A case's verdict from its pooled scores: fake, real, their winners and n_units (null where no unit was scored)."""
     m = F.greatest("fake", "real")
     ef, er = F.exp(F.col("fake") - m), F.exp(F.col("real") - m)
     run = F.col("n_units").isNotNull()
     word = F.when(F.col("fake") >= F.col("real"), "fake").otherwise("real")
-    return cases.select(by).join(pool, by, "left").select(
-        by, "fake", "real", F.round(ef / (ef + er), 12).alias("p_fake"), F.round(er / (ef + er), 12).alias("p_real"), "fake_winner", "real_winner",
+    return [
+        F.col("fake"), F.col("real"), F.round(ef / (ef + er), 12).alias("p_fake"), F.round(er / (ef + er), 12).alias("p_real"), F.col("fake_winner"), F.col("real_winner"),
         F.when(run, word).otherwise("not_run").alias("model_verdict"), F.when(run, F.when(word == "fake", fixed.DISPLAY["fake"]).otherwise(fixed.DISPLAY["real"])).otherwise(fixed.DISPLAY["not_run"]).alias("display_verdict"),
         F.when(run, "sufficient").otherwise("insufficient").alias("evidence_status"), F.coalesce("n_units", F.lit(0)).alias("n_units"),
-    )
+    ]
+
+
+def verdicts(cases: DataFrame, pool: DataFrame, by: str = "case_id") -> DataFrame:
+    """A row for every case; cases without a scored unit are not run and insufficient."""
+    return cases.select(by).join(pool, by, "left").select(by, *verdict_columns())
 
 
 def attach(units: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:

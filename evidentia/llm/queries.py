@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, kmeans, langid, licenses, linededup, merkle, mixing, quality, simhash, substring, tokencounts
+from . import bpe, conversations, htmltext, kmeans, langid, licenses, linededup, merkle, mixing, quality, simhash, substring, tokencounts
 from .common import documents, saved, scratch_dir
 
 
@@ -74,6 +74,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_successors(documents(spark, sf_dir))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return htmltext.extract(pages, htmltext.train(pages))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
 

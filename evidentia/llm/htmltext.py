@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import column
 
 #: Costs, in thousandths: of a mark, the most of a text, of two neighbours in one container, of a block or container apart from what is around it.
-RULE, TEXT, BESIDE, WITHIN = 12_000, 4_000, 1_500, 1_000
+RULE, TEXT, BESIDE, WITHIN = 12_000, 4_000, 1_000, 600
 #: The regression learns from about so many pages, at most so many marked blocks a page and rows together.
 FIT_PAGES, FIT_BLOCKS, FIT_ROWS = 400, 64, 20_000
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .canonical import encoded
 
 
 def _uniform(digest: Column, at: int) -> Column:
@@ -34,10 +37,16 @@ def safe_component(c: Column) -> Column:
     return F.coalesce(c.rlike("\\A[A-Za-z0-9_.-]{1,100}\\z"), F.lit(False))
 
 
-def canonical_json(**fields: Column) -> Column:
-    """Compact JSON with sorted keys; for strings, whole numbers and lists of them."""
-    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+def canonical_json(**fields: Column | tuple[Column, T.DataType]) -> Column:
+    """Canonical JSON of named fields: strings, or pairs of a column and its type (without doubles)."""
+    parts = []
+    for name in sorted(fields):
+        c, kind = fields[name] if isinstance(fields[name], tuple) else (fields[name], T.StringType())
+        parts += [F.lit(f'{"," if parts else ""}"{name}":'), encoded(c, kind)]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
-def visual_unit_id(**fields: Column) -> Column:
-    return F.concat(F.lit("visual_"), F.substring(F.sha2(canonical_json(**fields), 256), 1, 20))
+def visual_unit_id(index: Column, observation_type: Column, observation: Column, frame_ids: Column, evidence_refs: Column) -> Column:
+    texts = T.ArrayType(T.StringType())
+    canonical = canonical_json(index=(index, T.LongType()), observation_type=observation_type, observation=observation, frame_ids=(frame_ids, texts), evidence_refs=(evidence_refs, texts))
+    return F.concat(F.lit("visual_"), F.substring(F.sha2(canonical, 256), 1, 20))

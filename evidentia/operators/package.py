@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.canonical import with_document
+from ..functions.hashing import canonical_json
 from .validate import violations
 
 
@@ -64,18 +66,8 @@ def public_units(units: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return units.select(*place, *keep, F.struct(*[fields[c].alias(c) for c in PUBLIC]).alias("unit"), wrong.alias("violations"))
 
 
-def public_json(result: Column) -> Column:
-    """Compact JSON; structs print their fields in their own order, so give them sorted."""
-    return F.to_json(result, {"ignoreNullFields": "false"})
-
-
-def public_results(cases: DataFrame) -> DataFrame:
-    """session_id and document of each case, see public_document."""
-    return cases.select("session_id", public_document().alias("document"))
-
-
-def public_document() -> Column:
-    """A case's result as canonical JSON with nested verdict, sufficiency and evidence.
+def with_public_document(cases: DataFrame) -> DataFrame:
+    """cases with their result as canonical JSON (`document`), with nested verdict, sufficiency and evidence.
 
     cases: session_id, claim, verification (model_verdict, display_verdict,
     evidence_status, fake, real, p_fake, p_real, fake_winner, real_winner,
@@ -90,7 +82,7 @@ def public_document() -> Column:
     evidence = F.struct(F.col("top_k_ids").alias("g1_top_k_explanation_unit_ids"), F.col("public_exposure").alias("g1_exposure_units"), F.col("public_visual").alias("visual_supplemental_units"))
     evidence = F.struct(evidence["g1_exposure_units"].alias("g1_exposure_units"), evidence["g1_top_k_explanation_unit_ids"].alias("g1_top_k_explanation_unit_ids"), evidence["visual_supplemental_units"].alias("visual_supplemental_units"))
     result = F.struct("claim", evidence.alias("evidence"), "runtime_ms", F.lit(fixed.SCHEMA_VERSION).alias("schema_version"), "session_id", "sufficiency", verdict.alias("verdict"))
-    return public_json(result)
+    return with_document(cases, "document", result)
 
 
 def outcome(failed_stage: Column, exception: Column) -> Column:
@@ -112,7 +104,7 @@ def outcome_violations(status: Column, has_result: Column, stage: Column, code:
 def outcome_json(failed_stage: Column, exception: Column, document: Column) -> Column:
     """The published outcome of a case as canonical JSON: its result document, or a failure that says no more than its type."""
     o = outcome(failed_stage, exception)
-    failure = public_json(F.struct(o["code"].alias("code"), o["exception_type"].alias("exception_type"), o["public_message"].alias("public_message"), o["stage"].alias("stage")))
+    failure = canonical_json(**{x: o[x] for x in ("code", "exception_type", "public_message", "stage")})
     ok = failed_stage.isNull()
     return F.concat(F.lit('{"failure":'), F.when(ok, "null").otherwise(failure), F.lit(',"result":'), F.when(ok, document).otherwise("null"), F.lit(f',"schema_version":{fixed.SCHEMA_VERSION},"status":"'), o["status"], F.lit('"}'))
 

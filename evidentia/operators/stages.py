@@ -15,25 +15,65 @@ def staged(rows: DataFrame, load: Load, schema: str, failed: Callable[[pa.Record
     """rows through a model: load() is called once a task and only if there are rows, its result for every batch.
 
     schema is that of the batches given out. A batch that raises fails the job, or,
-    with failed, becomes rows that say so (a case's failure isn't the job's).
+    with failed, is halved again and again until the rows that raise stand alone: failed
+    makes rows of their batch, and all others get their result (a row's failure is neither its
+    batch's nor the job's). A model that can't be loaded fails every row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            worker = worker or load()
+
+        def halved(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal worker
+            loaded = worker is not None
             try:
-                yield worker(b)
+                worker = worker or load()
+                loaded = True
+                done = worker(b)
             except Exception as e:
                 if failed is None:
                     raise
-                yield failed(b, e)
+                if b.num_rows == 1 or not loaded:
+                    yield failed(b, e)
+                    return
+                half = b.num_rows // 2
+                yield from halved(b.slice(0, half))
+                yield from halved(b.slice(half))
+                return
+            yield done
+
+        for b in batches:
+            if b.num_rows:
+                yield from halved(b)
 
     return rows.mapInArrow(run, schema)
 
 
+def scorer(load: Load) -> Callable[[DataFrame], DataFrame]:
+    """A scorer of whole cases from a model: load() gives what makes selection_score, fake, real of batches of claim, source_type, text.
+
+    A unit on which the model raises has the exception's name as its failure.
+    """
+
+    def score(shown: DataFrame) -> DataFrame:
+        rows = shown.select("case_id", "unit_id", "claim", "source_type", "text")
+        keys = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("case_id", "unit_id"))
+
+        def wrapped() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+            model = load()
+            return lambda b: _scored(b, model(b.select(["claim", "source_type", "text"])), None)
+
+        return staged(rows, wrapped, f"{keys}, selection_score double, fake double, real double, failure string", lambda b, e: _scored(b, None, type(e).__name__))
+
+    return score
+
+
+def _scored(b: pa.RecordBatch, scores: pa.RecordBatch | None, failure: str | None) -> pa.RecordBatch:
+    names = ["selection_score", "fake", "real"]
+    found = [pa.nulls(b.num_rows, pa.float64()) if scores is None else scores[n].cast(pa.float64()) for n in names]
+    return pa.RecordBatch.from_arrays([b["case_id"], b["unit_id"], *found, pa.array([failure] * b.num_rows, pa.string())], names=["case_id", "unit_id", *names, "failure"])
+
+
 def digest_embedder(size: int = 8) -> Load:
     """Unit vectors from a text's digest, in the place of an embedding model: key, embedding for batches of key, text."""
 

@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..fixed import VISUAL
 from ..functions import text as T
+from .validate import violations
 
 
-def transcript_units(segments: DataFrame, order: str = "ordinal") -> DataFrame:
+#: What a transcript's provenance says of its model, as canonical JSON.
+DETAILS = f'{{"frozen_revision":"{fixed.WHISPER[1]}","model_id":"{fixed.WHISPER[0]}"}}'
+
+
+def transcript_units(segments: DataFrame, order: str = "ordinal", keep: tuple[str, ...] = ()) -> DataFrame:
     """Transcript segments as units: case_id, ordinal, unit_id, source_type, text, times, confidence, eligible and where they come from.
 
     segments: case_id, an ordinal column, text and optional start_time, end_time,
-    segment_index and source_uri. Blank segments are kept as violations() finds
-    them; ids count from zero a case; source_index is the segment's own or its place.
+    segment_index and source_uri. Blank segments stay and aren't eligible, so that
+    their case fails (see cases.input_failures); ids count from zero a case; source_index is the segment's own or its place. keep
+    names columns that stay.
     """
     w = Window.partitionBy("case_id").orderBy(order)
     n = F.row_number().over(w) - 1
     opt = lambda c, kind="double": F.col(c) if c in segments.columns else F.lit(None).cast(kind)
     source = F.coalesce(opt("segment_index", "int"), n).cast("int").alias("source_index")
-    return segments.select("case_id", n.alias("ordinal"), F.format_string("asr_%04d", n).alias("unit_id"), F.lit("transcript").alias("source_type"), T.strip(F.col("text")).alias("text"), opt("start_time").alias("start_time"), opt("end_time").alias("end_time"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("eligible"), F.lit(fixed.WHISPER[0]).alias("producer"), opt("source_uri", "string").alias("source_uri"), source, F.lit("whisper_asr").alias("extraction_method"))
+    return segments.select("case_id", n.alias("ordinal"), F.format_string("asr_%04d", n).alias("unit_id"), F.lit("transcript").alias("source_type"), T.strip(F.col("text")).alias("text"), opt("start_time").alias("start_time"), opt("end_time").alias("end_time"), F.lit(None).cast("double").alias("confidence"), (~T.is_blank(F.col("text"))).alias("eligible"), F.lit(fixed.WHISPER[0]).alias("producer"), opt("source_uri", "string").alias("source_uri"), source, F.lit("whisper_asr").alias("extraction_method"), F.lit(DETAILS).alias("details"), *keep)
 
 
 #: Id prefix and field of the text of each kind of supplied item.
@@ -31,16 +37,18 @@ MOCK = {fixed.TRANSCRIPT: ("transcript", "text"), fixed.OCR: ("ocr", "text"), VI
 def mock_units(items: DataFrame, kind: str) -> DataFrame:
     """Supplied items (case_id, ordinal, item: JSON, media_path) as units of one kind, numbered by position.
 
-    Blank ones stay, not eligible; visual ones never are. A transcript's confidence is 1
+    Blank ones stay, not eligible; visual ones never are. Times and confidences that
+    are no numbers are null and violations. A transcript's confidence is 1
     only where the field is absent: a null stays null. A text's source is its frame's
     path, or the medium where that is absent or empty.
     """
     prefix, field = MOCK[kind]
     n = F.row_number().over(Window.partitionBy("case_id").orderBy("ordinal")) - 1
-    at = lambda name, cast="string": F.get_json_object("item", f"$.{name}").cast(cast)
+    at = lambda name, cast="string": F.get_json_object("item", f"$.{name}").try_cast(cast)
     text = T.strip(F.coalesce(at(field), F.lit("")))
     has = F.array_contains(F.json_object_keys("item"), "confidence")
-    confidence = at("confidence", "double") if kind != fixed.TRANSCRIPT else F.when(has, at("confidence", "double")).otherwise(1.0)
+    number = F.get_json_object("item", "$.confidence").try_cast("double")
+    confidence = number if kind != fixed.TRANSCRIPT else F.when(has, number).otherwise(1.0)
     path = F.nullif(at("frame_path"), F.lit(""))
     source = {fixed.TRANSCRIPT: F.col("media_path"), fixed.OCR: F.coalesce(path, F.col("media_path")), VISUAL: at("frame_path")}[kind]
     none = lambda c: F.lit(None).cast(c)
@@ -53,6 +61,7 @@ def mock_units(items: DataFrame, kind: str) -> DataFrame:
         (F.from_json(F.get_json_object("item", "$.bbox"), "array<double>") if kind == fixed.OCR else none("array<double>")).alias("bbox"), confidence.alias("confidence"),
         F.lit(method).alias("producer"), source.alias("source_uri"), n.alias("source_index"), F.lit(method).alias("extraction_method"),
         (n if kind == VISUAL else none("int")).alias("retrieval_rank"), (F.lit(kind != VISUAL) & (text != "")).alias("eligible"),
+        violations(*[(F.get_json_object("item", f"$.{c}").isNotNull() & at(c, "double").isNull(), f"{c}_not_a_number") for c in ("start_time", "end_time", "confidence")]).alias("violations"),
     )
 
 

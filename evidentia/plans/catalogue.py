@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,33 +10,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from .. import fixed
 from ..operators import assess, cases, exposure, frames, observe, package, response, retrieve, scoring, selection, units, validate
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def registered(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import oracle_sql, queries, registered, table
 
 # ---------------------------------------------------------------- conversations as cases
 
@@ -631,3 +603,6 @@ def outcome_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     code, message = fixed.FAILURES["runtime"]
     v = package.outcome_violations(F.when(lang == "en", "success").otherwise("failure"), (lang == "en") | (lang == "de"), F.when(lang != "en", "runtime"), F.when(lang != "en", code), F.when(lang == "fr", "x").when(lang != "en", message), F.when(lang == "es", "").when(lang != "en", "ValueError"))
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.get(v, F.lit(0)), F.lit("ok")).alias("first_violation"))
+
+
+from . import evidence  # noqa: E402, F401  registers its queries

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.canonical import with_document
 from ..functions.hashing import safe_component
 
 REQUEST = "claim string, request_id string, media_path string, transcript_segments array<struct<text:string,start_time:double,end_time:double,confidence:double>>, ocr_observations array<struct<text:string,frame_id:string,frame_path:string,bbox:array<double>,confidence:double>>, visual_inputs array<struct<frame_id:string,frame_path:string,observation:string,confidence:double>>, metadata variant"
@@ -23,6 +24,8 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 def _units(exploded: DataFrame) -> DataFrame:
     u = exploded.select(*[c for c in exploded.columns if c != "u"], "u.*").withColumnRenamed(fixed.ELIGIBLE, "eligible")
+    p, logits = F.col("provenance"), F.col("logits")
+    u = u.withColumns({c: p[c] for c in ("source_uri", "source_index", "extraction_method", "details")} | {c: logits[c] for c in ("fake", "real")}).drop("provenance", "logits")
     return u.withColumns({"text": F.coalesce("text", F.lit("")), "producer": F.coalesce("producer", F.lit("unknown")), "eligible": F.coalesce("eligible", F.lit(False))})
 
 
@@ -37,6 +40,27 @@ def array_units_of(payloads: DataFrame, column: str = "value") -> DataFrame:
     return _units(payloads.select("case_id", F.posexplode(F.from_json(column, f"array<{UNIT}>")).alias("ordinal", "u")))
 
 
+def unit_struct(units: DataFrame) -> Column:
+    """A unit's record from flat columns (details: JSON); columns that units lacks are null."""
+    kinds = {"bbox": "array<double>", "source_index": "int", "eligible": "boolean", **dict.fromkeys(("start_time", "end_time", "confidence", "selection_score", "fake", "real"), "double")}
+    opt = lambda c: F.col(c) if c in units.columns else F.lit(None).cast(kinds.get(c, "string"))
+    details = F.coalesce(opt("details") if dict(units.dtypes).get("details") == "variant" else F.parse_json(opt("details")), F.parse_json(F.lit("{}")))
+    provenance = F.struct(opt("source_uri").alias("source_uri"), opt("source_index").alias("source_index"), opt("extraction_method").alias("extraction_method"), details.alias("details"))
+    logits = F.when(opt("fake").isNotNull() | opt("real").isNotNull(), F.struct(opt("fake").alias("fake"), opt("real").alias("real")))
+    plain = ("unit_id", "source_type", "text", "start_time", "end_time", "frame_id", "frame_path", "bbox", "confidence", "producer", "selection_score")
+    return F.struct(*[opt(c).alias(c) for c in plain], provenance.alias("provenance"), opt("eligible").alias(fixed.ELIGIBLE), logits.alias("logits"))
+
+
+def payloads(cases: DataFrame, units: DataFrame) -> DataFrame:
+    """case_id, session_id, document: each case's {session_id, claim, units} as canonical JSON, units in order of ordinal. units_of reads it."""
+    # a VARIANT can't be sorted, so the units are put in order by their places
+    rows = units.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("ordinal", unit_struct(units).alias("unit")))).alias("at"))
+    per = rows.select("case_id", F.transform(F.array_sort(F.map_keys("at")), lambda k: F.element_at("at", k)).alias("units"))
+    rows = cases.join(per, "case_id", "left")
+    none = F.array().cast(rows.schema["units"].dataType)
+    return with_document(rows, "document", F.struct("claim", "session_id", F.coalesce("units", none).alias("units"))).select("case_id", "session_id", "document")
+
+
 def results_of(documents: DataFrame, column: str = "value") -> DataFrame:
     return documents.select(F.from_json(column, RESULT).alias("r")).select("r.*")
 

@@ -164,3 +164,46 @@ def test_request_stream(spark, tmp_path):
     q = verify_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/chk", lambda b: b.select("request_id", F.size("transcript_segments").alias("n")))
     q.awaitTermination(120)
     assert spark.read.json(f"file://{tmp_path}/out").select("request_id", "n").first() == ("r1", 1)
+
+
+def test_a_failing_row_fails_alone(spark):
+    import pyarrow as pa
+
+    loads = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+
+        def model(b):
+            if "boom" in b["text"].to_pylist():
+                raise ArithmeticError("boom")
+            n = b.num_rows
+            return pa.RecordBatch.from_pydict({"selection_score": [0.5] * n, "fake": [1.0] * n, "real": [2] * n})
+
+        return model
+
+    rows = spark.createDataFrame([(i // 10, f"u{i}", "c", "ocr", "boom" if i in (7, 500) else "fine") for i in range(1000)], "case_id int, unit_id string, claim string, source_type string, text string").coalesce(1)
+    got = stages.scorer(load)(rows).collect()
+    assert len(got) == 1000 and loads.value == 1
+    assert {r["unit_id"]: (r["case_id"], r["failure"], r["fake"]) for r in got if r["failure"]} == {"u7": (0, "ArithmeticError", None), "u500": (50, "ArithmeticError", None)}
+    assert {(r["selection_score"], r["fake"], r["real"]) for r in got if not r["failure"]} == {(0.5, 1.0, 2.0)}
+
+    def no_load():
+        raise OSError("no asset")
+
+    assert {r["failure"] for r in stages.scorer(no_load)(rows).collect()} == {"OSError"}
+
+
+def test_cases_fail_by_themselves(spark, texts, visual):
+    segments = [("c1", 0, "fine", True, "transcript"), ("c1", 1, " ", True, "transcript"), ("c2", 0, "barred", False, "transcript"), ("c3", 0, "misplaced", True, "ocr"), ("c6", 0, "good", True, "transcript"), ("c4", 0, "good", True, "transcript")]
+    s = spark.createDataFrame(segments, "case_id string, ordinal int, text string, ok boolean, kind string")
+    t = units.transcript_units(s, keep=("ok", "kind")).withColumns({"eligible": F.col("eligible") & F.col("ok"), "source_type": F.col("kind")}).drop("ok", "kind")
+    c = spark.createDataFrame([(f"c{i}", f"s{i}" if i < 7 else "no id", f"claim {i}") for i in range(1, 8)], "case_id string, session_id string, claim string")
+    got = {r["case_id"]: r for r in cases.verified(c, t, texts.filter("false"), visual).collect()}
+    assert {k: (r["failure"]["stage"], r["failure"]["violation"]) for k, r in got.items() if r["failure"]} == {
+        "c1": ("transcripts", "blank_transcript"), "c2": ("transcript_exposure", "transcript_exposure_units_must_be_eligible"), "c3": ("transcript_exposure", "transcript_exposure_accepts_only_transcript_units"), "c7": ("request", "session_id"),
+    }
+    assert {k for k, r in got.items() if json.loads(r["outcome"])["status"] == "success"} == {"c4", "c5", "c6"}
+    out = json.loads(got["c2"]["outcome"])
+    assert out["result"] is None and out["failure"] == {"code": "runtime_execution_failed", "exception_type": "ValueError", "public_message": fixed.FAILURES["runtime"][1], "stage": "runtime"}
+    assert got["c2"]["document"] is None and got["c2"]["verification"] is None

@@ -51,11 +51,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def exact_mean(c: Column) -> Column:
-    """Mean over decimals, to 12 places: the same at any partitioning."""
-    return F.round(F.avg(c.cast("decimal(28,18)")).cast("double"), 12)
-
-
 def effective_limit(*limits: Column) -> Column:
     """The least of the limits between 0 and a million; null if none is."""
     return F.least(*[F.when((x > 0) & (x < 1_000_000), x) for x in (*limits, limits[0])])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as T
-from ..functions.numeric import bbox, exact_mean
+from ..functions.numeric import bbox
+from .means import exact_mean
 from .selection import keep_best, top_then_restore
 from .validate import violations
 

@@ -76,19 +76,12 @@ def parsed(replies: DataFrame, by: str = "case_id") -> DataFrame:
     return items.select(by, "ordinal", "recovery_mode", "raw_sha256", F.col("item").startswith("{").alias("is_object"), text("observation_type").alias("observation_type"), text("observation").alias("observation"), string_list(F.col("item"), "frame_ids").alias("frame_ids"), string_list(F.col("item"), "evidence_refs").alias("evidence_refs"))
 
 
-def _folded(text: Column) -> Column:
-    """Case-folded text for phrases in ASCII: built-in lower-casing where the text is ASCII, the folding UDF elsewhere."""
-    odd = text.rlike("[^\\x00-\\x7F]")
-    return F.coalesce(T.casefolded(F.when(odd, text)), F.lower(text))
-
-
-def reasons(kind: Column, text: Column, frames: Column, refs: Column, known: Column, is_object: Column | None = None, folded: Column | None = None) -> Column:
+def reasons(kind: Column, text: Column, frames: Column, refs: Column, known: Column, is_object: Column | None = None, lowered: Column | None = None) -> Column:
     """All row-local reasons against an observation, in a fixed order; something that is no object has just that reason.
 
-    folded: the case-folded text, where it is a column already (a UDF can't stand among all expressions).
+    lowered: the text in lower case, where it is a column already.
     """
     t = F.coalesce(T.strip(text), F.lit(""))
-    low = F.lower(t) if folded is None else F.coalesce(folded, F.lit(""))
     empty = lambda a: a.isNull() | (F.size(a) == 0) | F.exists(a, lambda x: F.coalesce(x, F.lit("")) == "")
     unknown = lambda a: ~empty(a) & (F.size(F.array_except(a, known)) > 0)
     found = F.array_compact(F.array(
@@ -96,7 +89,7 @@ def reasons(kind: Column, text: Column, frames: Column, refs: Column, known: Col
         F.when(~F.length(t).between(5, 280), "invalid_observation_length"),
         F.when(empty(frames), "invalid_frame_ids").when(unknown(frames), "unknown_frame_ids"),
         F.when(empty(refs), "invalid_evidence_refs").when(unknown(refs), "unknown_evidence_refs"),
-        F.when(low.rlike("|".join(PHRASES)), "risky_inference_or_ocr_language"),
+        F.when(T.contains_any(F.lower(t) if lowered is None else lowered, PHRASES), "risky_inference_or_ocr_language"),
         F.when((kind == "temporal_change") & (F.when(empty(frames), 0).otherwise(F.size(F.array_distinct(frames))) < 2), "temporal_change_requires_two_frame_ids"),
     ))
     return found if is_object is None else F.when(~is_object, F.array(F.lit("observation_not_object"))).otherwise(found)
@@ -105,8 +98,8 @@ def reasons(kind: Column, text: Column, frames: Column, refs: Column, known: Col
 def filtered(observations: DataFrame, known: Column, by: str = "case_id") -> DataFrame:
     """observations with `reasons`; otherwise valid ones beyond the eighth of a case get the cap's reason."""
     is_object = F.col("is_object") if "is_object" in observations.columns else None
-    found = observations.withColumn("__folded", _folded(F.coalesce("observation", F.lit(""))))
-    found = found.withColumn("reasons", reasons(F.col("observation_type"), F.col("observation"), F.col("frame_ids"), F.col("evidence_refs"), known, is_object, F.col("__folded"))).drop("__folded")
+    found = observations.withColumn("__lower", F.lower(F.coalesce("observation", F.lit(""))))
+    found = found.withColumn("reasons", reasons(F.col("observation_type"), F.col("observation"), F.col("frame_ids"), F.col("evidence_refs"), known, is_object, F.col("__lower"))).drop("__lower")
     w = Window.partitionBy(by).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     valid = F.sum(F.when(F.size("reasons") == 0, 1).otherwise(0)).over(w)
     over = (F.size("reasons") == 0) & (valid > MAX_ACCEPTED)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import canonical
-from ..operators import cases, stages, units
+from ..operators import cases, means, replies, stages, units
 from ..sources import records
 from .registry import registered, table
 
+STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
 # ---------------------------------------------------------------- canonical JSON
 
 
@@ -111,3 +113,64 @@ def failed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case_id", at("status").alias("status"), at("failure.code").alias("code"), "failure.stage", "failure.violation", at("failure.exception_type").alias("exception_type"), at("result.verdict.display_verdict").alias("display_verdict"),
         at("result.sufficiency.g1_exposure_count", "long").alias("exposed"), at("result.sufficiency.visual_unit_count", "long").alias("visual"),
     )
+
+
+# ---------------------------------------------------------------- recognisers' replies
+
+# faults by conversation: what stands in one of its chunks, or in the place of the chunks
+REPLY_STARTS = "CASE WHEN k = 4 AND turn = 2 THEN 0.25 WHEN k = 5 THEN NULL WHEN k = 8 AND turn = 1 THEN -1.0 ELSE turn * 1.5 END"
+REPLY_ENDS = "CASE WHEN k = 3 AND turn = 1 THEN 0.5 WHEN k = 5 AND turn = 1 THEN 0.125 ELSE turn * 1.5 + 1.0 END"
+REPLIES = (
+    f"WITH t AS (SELECT conv_id, conv_id % 13 AS k, turn, (conv_id + turn) % 5 = 0 AS blank, {STRIP} AS text, CAST({REPLY_STARTS} AS DOUBLE) AS s, CAST({REPLY_ENDS} AS DOUBLE) AS e FROM (SELECT *, conv_id % 13 AS k FROM conversations)), "
+    "n AS (SELECT *, last_value(CASE WHEN k <> 6 THEN s END IGNORE NULLS) OVER w AS ls, last_value(CASE WHEN k <> 6 THEN e END IGNORE NULLS) OVER w AS le FROM t WHERE NOT blank OR (k = 9 AND turn = 1) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+    "v AS (SELECT *, CASE WHEN k = 9 AND turn = 1 THEN 'chunk_not_an_object' WHEN k = 6 THEN NULL WHEN k = 2 AND turn = 1 THEN 'timestamp_not_a_pair' WHEN k = 1 AND turn = 1 THEN 'timestamp_not_numeric' WHEN s < 0 THEN 'timestamp_not_finite_and_nonnegative' WHEN e < s THEN 'end_before_start' WHEN s < ls THEN 'start_not_monotonic' WHEN e < le THEN 'end_not_monotonic' END AS bad FROM n), "
+    "f AS (SELECT c.conv_id, c.conv_id % 13 AS k, arg_min(bad, turn) FILTER (WHERE bad IS NOT NULL) AS bad, count(v.conv_id) AS n, coalesce(string_agg(text, ' ' ORDER BY turn), '') AS words, max(e) AS last_end FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN v USING (conv_id) GROUP BY c.conv_id), "
+    "a AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS whole FROM t GROUP BY conv_id), "
+    "r AS (SELECT conv_id, CASE WHEN k = 10 THEN 'chunks_not_a_list' WHEN k = 12 THEN 'output_not_an_object' WHEN k NOT IN (7, 11) THEN bad END AS violation, CASE WHEN k = 7 THEN whole WHEN k = 11 THEN '' ELSE words END AS words, CASE WHEN k = 7 THEN 1 WHEN k = 11 THEN 0 ELSE n END AS n, CASE WHEN k NOT IN (6, 7) THEN last_end END AS last_end FROM f JOIN a USING (conv_id)) "
+    "SELECT conv_id AS case_id, violation, CASE WHEN violation IS NULL THEN words END AS asr_text, CASE WHEN violation IS NULL THEN n END AS n_segments, CASE WHEN violation IS NULL THEN (conv_id * 800 + 8000) / 16000.0::DOUBLE END AS seconds, CASE WHEN violation IS NULL THEN CASE WHEN n = 0 THEN 'NEI' ELSE '' END END AS shown FROM r"
+)
+
+
+@registered(REPLIES)
+def recogniser_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a recogniser's reply with faults of many kinds, normalised and run."""
+    t = table(spark, sf_dir, "conversations").withColumn("k", F.col("conv_id") % 13)
+    k, turn = F.col("k"), F.col("turn")
+    start = F.when((k == 4) & (turn == 2), 0.25).when(k == 5, None).when((k == 8) & (turn == 1), -1.0).otherwise(turn * 1.5)
+    end = F.when((k == 3) & (turn == 1), 0.5).when((k == 5) & (turn == 1), 0.125).otherwise(turn * 1.5 + 1.0)
+    spelt = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    stamp = F.when((k == 1) & (turn == 1), "[true,1]").when((k == 2) & (turn == 1), "[0,1,2]").when(k == 6, "null").otherwise(F.concat(F.lit("["), spelt(start), F.lit(","), spelt(end), F.lit("]")))
+    said = F.when((F.col("conv_id") + turn) % 5 == 0, F.lit("\n ")).otherwise(F.concat(F.lit(" "), "text", F.lit("\t")))
+    chunk = F.when((k == 9) & (turn == 1), "5").otherwise(F.concat(F.lit('{"text":'), canonical.quoted(said), F.lit(',"timestamp":'), stamp, F.lit("}")))
+    per = t.groupBy("conv_id", "k").agg(F.array_sort(F.collect_list(F.struct("turn", chunk.alias("chunk"), "text"))).alias("c"))
+    chunks = F.concat(F.lit("["), F.array_join(F.transform("c", lambda x: x["chunk"]), ","), F.lit("]"))
+    whole = canonical.quoted(F.array_join(F.transform("c", lambda x: F.trim(x["text"])), " "))
+    raw = (
+        F.when(k == 7, F.concat(F.lit('{"text":'), whole, F.lit("}"))).when(k == 11, '{"text":" ","chunks":null}').when(k == 10, '{"chunks":{}}').when(k == 12, chunks)
+        .otherwise(F.concat(F.lit('{"text":"","chunks":'), chunks, F.lit("}")))
+    )
+    case = per.select(F.col("conv_id").alias("case_id"), F.lit("s").alias("session_id"), F.lit("c").alias("claim"), raw.alias("raw"), F.lit("/v").alias("path"), F.lit(1).alias("file_size_bytes"), (F.col("conv_id") * 800 + 8000).alias("sample_count"), F.lit(16000).alias("sample_rate"))
+    r = replies.runs(replies.normalized(case))
+    return r.select("case_id", "violation", "asr_text", "n_segments", F.col("metadata.audio_duration_seconds").alias("seconds"), F.when(F.col("violation").isNull(), F.coalesce("result.display_verdict", F.lit(""))).alias("shown"))
+
+
+# ---------------------------------------------------------------- exact means
+
+# values are multiples of 2**-59 and below 2**20: their sum is a whole number, the quotient is rounded once, with a sticky bit
+SHIFTS = " ".join(f"WHEN s < n * CAST({1 << (59 + k + 1)} AS HUGEINT) THEN {k}" for k in range(-8, 20))
+EXACT = (
+    "WITH v AS (SELECT user_id, event_type, CAST(value * CAST(576460752303423488 AS DOUBLE) AS HUGEINT) AS m FROM events), "
+    "g AS (SELECT user_id, event_type, sum(m)::HUGEINT AS s, count(*)::HUGEINT AS n FROM v GROUP BY ALL), "
+    f"k AS (SELECT *, CASE {SHIFTS} END AS b FROM g), "
+    # the quotient s / n by 2**(b - 1), so that it has 60 or 61 bits
+    "q AS (SELECT *, CASE WHEN b >= 1 THEN s // (n * (1::HUGEINT << (b - 1)::INT)) ELSE (s << (1 - b)::INT) // n END AS t, CASE WHEN b >= 1 THEN s % (n * (1::HUGEINT << (b - 1)::INT)) ELSE (s << (1 - b)::INT) % n END AS r FROM k) "
+    "SELECT user_id, event_type, CAST(CAST(CASE WHEN r > 0 AND t % 2 = 0 THEN t + 1 ELSE t END AS BIGINT) AS DOUBLE) * power(2.0::DOUBLE, b - 60) AS mean, CAST(n AS BIGINT) AS n FROM q"
+)
+
+
+@registered(EXACT)
+def exact_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means that are right to the last bit, however the rows are split."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    m = means.exact_means(e, ["user_id", "event_type"], "value")
+    return m.select("user_id", "event_type", "mean", "n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import canonical
-from ..operators import cases, means, replies, stages, units
+from ..operators import cases, means, replies, retrieve, stages, units
 from ..sources import records
 from .registry import registered, table
 
@@ -174,3 +174,23 @@ def exact_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "value")
     m = means.exact_means(e, ["user_id", "event_type"], "value")
     return m.select("user_id", "event_type", "mean", "n")
+
+
+# ---------------------------------------------------------------- many claims against many frames
+
+FRAME_TIME = "CASE WHEN vec_id % 7 = 0 THEN NULL ELSE CAST(vec_id % 10 AS DOUBLE) END"
+
+
+@registered(
+    f"WITH f AS (SELECT label AS case_id, vec_id AS frame_index, {FRAME_TIME} AS ts, 'f' || vec_id % 3 AS path, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT label AS case_id, vec_id AS claim_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0), "
+    "p AS (SELECT c.case_id, claim_id, frame_index, ts, path, round(list_cosine_similarity(c.e, f.e), 9) AS score FROM c JOIN f USING (case_id)), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY case_id, claim_id ORDER BY score DESC, ts NULLS LAST, frame_index, path) AS retrieval_rank FROM p) "
+    "SELECT case_id, claim_id, retrieval_rank, row_number() OVER (PARTITION BY case_id, claim_id ORDER BY ts NULLS LAST, frame_index, path) - 1 AS ordinal, frame_index, round(score, 6) AS score FROM r WHERE retrieval_rank <= 4"
+)
+def claims_against_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 as a claim, against all vectors of its label."""
+    e = table(spark, sf_dir, "embeddings").withColumn("case_id", F.col("label"))
+    claims = e.filter("vec_id % 20 = 0").select("case_id", F.col("vec_id").alias("claim_id"), "embedding")
+    frames = e.select("case_id", F.col("vec_id").alias("frame_index"), F.when(F.col("vec_id") % 7 != 0, (F.col("vec_id") % 10).cast("double")).alias("timestamp"), F.concat(F.lit("f"), (F.col("vec_id") % 3).cast("string")).alias("frame_path"), "embedding")
+    r = retrieve.retrieved_for_claims(claims, frames)
+    return r.select("case_id", "claim_id", F.col("retrieval_rank").cast("long").alias("retrieval_rank"), F.col("ordinal").cast("long").alias("ordinal"), "frame_index", F.round("score", 6).alias("score"))

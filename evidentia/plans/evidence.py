@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import canonical
-from ..operators import cases, means, replies, retrieve, stages, units
-from ..sources import records
+from ..operators import cases, manifests, means, replies, retrieve, stages, units
+from ..sources import records, store
 from .registry import registered, table
 
 STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
@@ -194,3 +195,31 @@ def claims_against_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = e.select("case_id", F.col("vec_id").alias("frame_index"), F.when(F.col("vec_id") % 7 != 0, (F.col("vec_id") % 10).cast("double")).alias("timestamp"), F.concat(F.lit("f"), (F.col("vec_id") % 3).cast("string")).alias("frame_path"), "embedding")
     r = retrieve.retrieved_for_claims(claims, frames)
     return r.select("case_id", "claim_id", F.col("retrieval_rank").cast("long").alias("retrieval_rank"), F.col("ordinal").cast("long").alias("ordinal"), "frame_index", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- stores and manifests
+
+
+@registered(
+    "SELECT source AS \"group\", count(*) AS n_files, sha256('[' || string_agg('{\"path\":\"' || doc_id % 7 || '/' || doc_id || '.txt\",\"sha256\":\"' || sha256(text) || '\",\"size\":' || strlen(text) || '}', ',' ORDER BY doc_id % 7 || '/' || doc_id || '.txt') || ']') AS manifest_sha256 FROM documents GROUP BY source"
+)
+def source_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's documents as the files of a tree, under one digest."""
+    d = table(spark, sf_dir, "documents")
+    path = F.concat((F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return manifests.manifest_digests(d.select(F.col("source").alias("group"), path.alias("path"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha256")))
+
+
+@registered(
+    "SELECT 'turn-' || conv_id || '-' || turn AS key, sha256(CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN 'second ' || text ELSE text END) AS value_sha256 FROM conversations WHERE NOT (conv_id % 5 = 0 AND turn = 1) OR (conv_id % 3 = 0 AND turn % 2 = 0)"
+)
+def keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as documents by key: all are put, some replaced, some removed, and one batch comes twice."""
+    t = table(spark, sf_dir, "conversations")
+    key = F.concat_ws("-", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key")
+    s = store.Store(spark, f"{store.scratch(spark)}/keyed-{uuid.uuid4().hex}", 16)
+    s.commit(t.select(key, F.col("text").alias("value")), "turns", 1)
+    s.commit(t.filter("conv_id % 5 = 0 and turn = 1").select(key, F.lit(None).cast("string").alias("value")), "turns", 2)
+    s.commit(t.filter("conv_id % 3 = 0 and turn % 2 = 0").select(key, F.concat(F.lit("second "), "text").alias("value")), "turns", 3)
+    s.commit(t.select(key, F.lit("late").alias("value")), "turns", 1)
+    return s.read().select("key", F.sha2("value", 256).alias("value_sha256"))

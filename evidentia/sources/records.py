@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.canonical import with_document
-from ..functions.hashing import safe_component
+from .store import Store
 
 REQUEST = "claim string, request_id string, media_path string, transcript_segments array<struct<text:string,start_time:double,end_time:double,confidence:double>>, ocr_observations array<struct<text:string,frame_id:string,frame_path:string,bbox:array<double>,confidence:double>>, visual_inputs array<struct<frame_id:string,frame_path:string,observation:string,confidence:double>>, metadata variant"
 UNIT = "struct<unit_id:string,source_type:string,text:string,start_time:double,end_time:double,frame_id:string,frame_path:string,bbox:array<double>,confidence:double,producer:string,provenance:struct<source_uri:string,source_index:int,extraction_method:string,details:variant>,eligible_for_frozen_g1:boolean,selection_score:double,logits:struct<fake:double,real:double>>"
@@ -75,23 +75,20 @@ def _safe_root(root: str, category: str) -> str:
     return f"{root.rstrip('/')}/{category}"
 
 
-def put_documents(df: DataFrame, root: str, category: str, key: str) -> None:
-    """Put JSON documents below root/category, one folder a key; other keys' documents stay.
+def put_documents(df: DataFrame, root: str, category: str, key: str) -> int:
+    """Put JSON documents by key below root/category, in a store with snapshots (see store.Store); the version they are in.
 
-    df: key and one column more, the document as canonical JSON text. Unsafe keys fail the
-    job before anything is kept; a key that comes again is replaced. Of rows with
+    df: key and one column more, the document as canonical JSON text. Unsafe keys are an error
+    and nothing is kept; a key that comes again is replaced, other keys' documents stay. Of rows with
     one key the last by the document's text stays.
     """
-    target = _safe_root(root, category)
     document = next(c for c in df.columns if c != key)
-    safe = F.when(safe_component(F.col(key)) & ~F.col(key).rlike("\\A[.]+\\z"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("unsafe file name: "), F.coalesce(F.col(key), F.lit("null")))))
-    one = df.select(safe.alias("key"), F.col(document).alias("value")).groupBy("key").agg(F.max("value").alias("value"))
-    one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").text(target)
+    return Store(df.sparkSession, _safe_root(root, category)).commit(df.select(F.col(key).alias("key"), F.col(document).alias("value")))
 
 
 def documents_of(spark: SparkSession, root: str, category: str) -> DataFrame:
     """key, value of the documents below root/category."""
-    return spark.read.schema("value string, key string").text(_safe_root(root, category)).select("key", "value")
+    return Store(spark, _safe_root(root, category)).read()
 
 
 def append_log(events: DataFrame, path: str) -> None:
@@ -102,7 +99,7 @@ def append_log(events: DataFrame, path: str) -> None:
 def write_results(results: DataFrame, root: str) -> None:
     """Results as documents by session id, and a log line for each."""
     put_documents(results.select("session_id", "document"), root, "results", "session_id")
-    append_log(results.select(F.col("session_id").alias("case_id"), F.lit("result_created").alias("event"), F.to_json(F.struct(F.concat(F.lit("results/key="), "session_id").alias("path"))).alias("payload")), f"{root.rstrip('/')}/logs")
+    append_log(results.select(F.col("session_id").alias("case_id"), F.lit("result_created").alias("event"), F.to_json(F.struct(F.concat(F.lit("results/"), "session_id").alias("path"))).alias("payload")), f"{root.rstrip('/')}/logs")
 
 
 def stdout_lines(outcomes: DataFrame, column: str = "outcome") -> Iterator[tuple[str, int]]:

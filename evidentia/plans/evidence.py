@@ -13,6 +13,7 @@ from .. import fixed
 from ..functions import canonical
 from ..operators import cases, manifests, means, replies, retrieve, stages, units
 from ..sources import records, store
+from ..streaming import stages as stage_streams
 from .registry import registered, table
 
 STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
@@ -223,3 +224,34 @@ def keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.commit(t.filter("conv_id % 3 = 0 and turn % 2 = 0").select(key, F.concat(F.lit("second "), "text").alias("value")), "turns", 3)
     s.commit(t.select(key, F.lit("late").alias("value")), "turns", 1)
     return s.read().select("key", F.sha2("value", 256).alias("value_sha256"))
+
+
+# ---------------------------------------------------------------- stages as a stream
+
+STAGE_LIST = "[" + ",".join(f"'{x}'" for x in fixed.STAGES) + "]"
+
+
+@registered(
+    f"WITH e AS (SELECT event_id // 27 AS case_id, event_id AS n, CAST(event_id % 27 // 3 + 1 AS INT) AS seq, CASE WHEN event_id % 101 = 0 THEN 'other' ELSE {STAGE_LIST}[CAST(event_id % 27 // 3 + 1 AS INT)] END AS name, CASE WHEN event_type = 'error' AND event_id % 13 = 0 THEN 'failed' ELSE ['pending','running','completed'][CAST(event_id % 3 AS INT) + 1] END AS status FROM events WHERE event_id % 89 <> 0), "
+    f"t AS (SELECT case_id, seq, bool_or(name <> {STAGE_LIST}[seq]) AS named, list(status ORDER BY n) AS st FROM e GROUP BY case_id, seq), "
+    "m AS (SELECT case_id, seq, named, st[1] <> 'pending' OR len(list_filter(range(1, len(st)), lambda i: NOT ((st[i] = 'pending' AND st[i + 1] IN ('running', 'skipped')) OR (st[i] = 'running' AND st[i + 1] IN ('completed', 'failed'))))) > 0 AS moved, seq = 9 AND st[-1] IN ('completed', 'skipped') AS done, len(st) AS k FROM t) "
+    "SELECT case_id, concat_ws(',', CASE WHEN bool_or(named) OR count(*) <> max(seq) THEN 'stage_order' END, CASE WHEN bool_or(moved) THEN 'stage_transition' END) AS violations, CAST(sum(k) AS BIGINT) AS n_events, bool_or(done) AS completed FROM m GROUP BY case_id"
+)
+def streamed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as stages of cases, 27 a case, read as a stream; the last row of each case."""
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    rows = e.parquet(f"{sf_dir}/events.parquet") if folder else e.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    i = F.col("event_id")
+    sequence = F.floor(i % 27 / 3) + 1
+    name = F.when(i % 101 == 0, "other").otherwise(F.element_at(F.array(*map(F.lit, fixed.STAGES)), sequence.cast("int")))
+    status = F.when((F.col("event_type") == "error") & (i % 13 == 0), "failed").otherwise(F.element_at(F.array(*map(F.lit, ("pending", "running", "completed"))), (i % 3 + 1).cast("int")))
+    rows = rows.filter(i % 89 != 0).select(F.floor(i / 27).alias("case_id"), i.alias("event_no"), sequence.alias("sequence"), name.alias("name"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    at = f"{store.scratch(spark)}/stages-{uuid.uuid4().hex}"
+    each = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{at}/rows/epoch={epoch}")
+    stream = stage_streams.stage_stream(rows.withWatermark("ts", "10000 days"))
+    stream.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(f"case_id bigint, {stage_streams.OUTPUT}, epoch int").parquet(f"{at}/rows")
+    last = out.groupBy("case_id").agg(F.max_by(F.struct("violations", "n_events", "completed"), "epoch").alias("x"))
+    return last.select("case_id", F.array_join("x.violations", ",").alias("violations"), F.col("x.n_events").cast("long").alias("n_events"), "x.completed")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import canonical
-from ..operators import cases, manifests, means, replies, retrieve, stages, units
+from ..operators import cases, manifests, means, replies, retrieve, rules, stages, units
 from ..sources import records, store
 from ..streaming import stages as stage_streams
 from .registry import registered, table
@@ -255,3 +255,45 @@ def streamed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.read.schema(f"case_id bigint, {stage_streams.OUTPUT}, epoch int").parquet(f"{at}/rows")
     last = out.groupBy("case_id").agg(F.max_by(F.struct("violations", "n_events", "completed"), "epoch").alias("x"))
     return last.select("case_id", F.array_join("x.violations", ",").alias("violations"), F.col("x.n_events").cast("long").alias("n_events"), "x.completed")
+
+
+# ---------------------------------------------------------------- closed documents by rules
+
+
+@registered(
+    "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '$.siglip:unknown_fields' WHEN event_id % 13 = 0 THEN '$.qwen:missing_fields' WHEN event_id % 4 = 3 AND event_type <> 'view' THEN '$.whisper.dtype:not_one_of' WHEN event_id % 7 = 0 THEN '$.ocr.device:not_a_nonblank_string' "
+    "WHEN value - 5 <= 0 THEN '$.ocr.timeout_seconds:not_above_0' WHEN event_id % 19 = 0 THEN '$.frozen_g1.timeout_seconds:not_above_0' WHEN event_id % 17 = 0 THEN '$.schema_version:not_equal' WHEN event_type = 'error' THEN '$.profile:not_equal' WHEN event_id % 5 = 0 THEN '$:roots_not_distinct' ELSE 'ok' END AS first_violation FROM events"
+)
+def settings_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of a run a event, with faults of many kinds; the first rule that is broken."""
+    e = table(spark, sf_dir, "events")
+    i, kind = F.col("event_id"), F.col("event_type")
+    pick = lambda c, a, b: F.when(c, a).otherwise(b)
+    dtype = F.when(i % 4 == 3, pick(kind == "view", "float16", "int8")).otherwise(F.element_at(F.array(*map(F.lit, ("float16", "float32", "bfloat16"))), (i % 4 + 1).cast("int") % 3 + 1))
+    parts = (
+        '{"cache_root":"a/b","output_root":"', pick(i % 5 == 0, "x/../a/./b", "out"), '","whisper":{"model_path":"m","device":"cpu","dtype":"', dtype, '"},"ocr":{"detector_model_path":"d","recognizer_model_path":"r","cudnn8_library_path":"c","python_executable":"p","device":"',
+        pick(i % 7 == 0, " ", "gpu:0"), '","timeout_seconds":', (F.col("value") - 5).cast("string"), '},"siglip":{"model_path":"m","device":"cpu"', pick(i % 11 == 0, ',"more":1', ""), '},"qwen":{"model_path":"m"', pick(i % 13 == 0, "", ',"device":"cpu"'),
+        '},"frozen_g1":{"unirumor_root":"u","phase4a_infer":"i","phase4a_config":"c","python_executable":"p","device":"cpu","timeout_seconds":', pick(i % 19 == 0, "true", "300"), '},"schema_version":', pick(i % 17 == 0, "true", "1"), ',"profile":"', pick(kind == "error", "test", "production"), '"}',
+    )
+    d = e.select("event_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("document"))
+    return rules.settings(d, "/base").select("event_id", F.coalesce(F.get("violations", F.lit(0)), F.lit("ok")).alias("first_violation"))
+
+
+@registered(
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations), "
+    "g AS (SELECT conv_id, max(k) AS k, arg_min(CASE WHEN length(text) % 50 = 3 THEN '$.frames[].timestamp_sec:mismatch' ELSE '$.frames[].frame_id:mismatch' END, n) FILTER (WHERE length(text) % 50 IN (3, 4)) AS moved FROM r GROUP BY conv_id) "
+    "SELECT conv_id AS case_id, CASE WHEN conv_id % 10 = 1 THEN '$.status:not_equal' WHEN conv_id % 12 = 5 THEN '$.session_id:mismatch' WHEN conv_id % 9 = 4 THEN '$.frames:not_as_many' WHEN moved IS NOT NULL THEN moved ELSE 'ok' END AS first_violation FROM g"
+)
+def recogniser_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of a text recogniser against the frames that were asked for, a conversation's turns being its frames."""
+    t = table(spark, sf_dir, "conversations")
+    n, turn = F.length("text") % 50, F.col("turn")
+    asked = F.struct(turn.alias("frame_rank"), (turn * 25).alias("frame_index"), (turn / 2).alias("timestamp_sec"), F.concat(F.lit("F"), turn.cast("string")).alias("frame_id"), F.concat(F.lit("/f/"), turn.cast("string")).alias("frame_path"))
+    back = F.struct(turn.alias("frame_rank"), (turn * 25).alias("frame_index"), (turn / 2 + F.when(n == 3, 0.25).otherwise(0.0)).alias("timestamp_sec"), F.concat(F.when(n == 4, "G").otherwise("F"), turn.cast("string")).alias("frame_id"), F.concat(F.lit("/f/"), turn.cast("string")).alias("frame_path"))
+    per = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(asked)).alias("requested"), F.array_sort(F.collect_list(back)).alias("frames"))
+    i = F.col("conv_id")
+    frames = F.when(i % 9 == 4, F.slice("frames", F.lit(1), F.size("frames") - 1)).otherwise(F.col("frames"))
+    name = F.concat(F.lit("s"), i.cast("string"))
+    reply = F.struct(F.lit(1).alias("schema_version"), F.when(i % 10 == 1, "failed").otherwise("ok").alias("status"), F.when(i % 12 == 5, "other").otherwise(name).alias("session_id"), F.struct(F.lit("d").alias("detector")).alias("models"), frames.alias("frames"))
+    d = per.select(i.alias("case_id"), name.alias("session_id"), "requested", F.to_json(reply).alias("document"))
+    return rules.recognised(d, '{"detector":"d"}').select("case_id", F.coalesce(F.get("violations", F.lit(0)), F.lit("ok")).alias("first_violation"))

@@ -56,22 +56,23 @@ def reading_order() -> list[Column]:
 
 
 def frame_candidates(detections: DataFrame, by: str = "case_id") -> DataFrame:
-    """A row for each frame with an accepted detection: joined text in reading order, mean confidence, union of boxes, counts, texts.
+    """A row for each frame with an accepted detection: joined text in reading order, mean confidence, union of boxes, counts, texts, the accepted detections as they came.
 
-    detections: by, frame (its rank), ordinal, text, confidence, box. A detection is
+    detections: by, frame (its rank), ordinal, text, confidence, box, perhaps polygon. A detection is
     accepted with a confidence of at least 0.5 and three letters or digits after normalising.
     """
     d = detections.withColumn("norm", T.normalized("text"))
     ok = (F.col("confidence") >= MIN_CONFIDENCE) & (T.alnum_count(F.col("norm")) >= MIN_CHARACTERS)
     d = d.withColumn("ok", F.coalesce(ok, F.lit(False)))
     box = F.col("box")
-    order = F.struct(*[box[i].alias(f"b{i}") for i in (1, 0, 3, 2)], F.col("ordinal"), F.col("norm").alias("t"), F.col("text").alias("raw"), F.col("confidence"))
+    polygon = F.col("polygon") if "polygon" in detections.columns else F.lit(None).cast("array<array<double>>")
+    order = F.struct(*[box[i].alias(f"b{i}") for i in (1, 0, 3, 2)], F.col("ordinal"), F.col("norm").alias("t"), F.struct(F.col("confidence"), polygon.alias("polygon"), box.alias("runtime_bbox"), F.col("text")).alias("raw"))
     g = d.groupBy(by, "frame").agg(
         F.count("*").alias("raw_count"), F.count_if("ok").alias("accepted_count"), F.array_sort(F.collect_list(F.when(F.col("ok"), order))).alias("read"), exact_mean(F.when(F.col("ok"), F.col("confidence"))).alias("confidence"),
         *[f(F.when(F.col("ok"), box[i])).alias(n) for f, i, n in ((F.min, 0, "xmin"), (F.min, 1, "ymin"), (F.max, 2, "xmax"), (F.max, 3, "ymax"))],
     ).filter("accepted_count > 0")
     texts = F.transform("read", lambda s: s["t"])
-    return g.select(by, "frame", "raw_count", "accepted_count", "confidence", F.array("xmin", "ymin", "xmax", "ymax").alias("bbox"), F.array_join(texts, " ").alias("text"), texts.alias("texts"), F.transform("read", lambda s: s["raw"]).alias("raw_texts"))
+    return g.select(by, "frame", "raw_count", "accepted_count", "confidence", F.array("xmin", "ymin", "xmax", "ymax").alias("bbox"), F.array_join(texts, " ").alias("text"), texts.alias("texts"), F.transform("read", lambda s: s["raw"]).alias("accepted_detections"))
 
 
 def text_units(candidates: DataFrame, frames: DataFrame, by: str = "case_id", n: int = MAX_UNITS) -> DataFrame:
@@ -85,7 +86,8 @@ def text_units(candidates: DataFrame, frames: DataFrame, by: str = "case_id", n:
     keyed = candidates.withColumn("folded", T.fold_key("text")).withColumn("key", F.sha2("folded", 256)).drop("folded")
     top = top_then_restore(keep_best(keyed, [by, "key"], *quality), n, quality, [F.asc("frame")], by=by)
     out = top.join(frames, [by, "frame"])
-    details = F.to_json(F.struct(F.lit(fixed.DETECTOR[0]).alias("detector_model_id"), F.lit(fixed.DETECTOR[1]).alias("detector_revision"), F.col("frame").alias("frame_rank"), F.col("texts").alias("normalized_detection_texts"), F.col("raw_count").alias("raw_detection_count"), F.lit(fixed.RECOGNIZER[0]).alias("recognizer_model_id"), F.lit(fixed.RECOGNIZER[1]).alias("recognizer_revision")))
+    accepted = [F.col("accepted_detections")] if "accepted_detections" in candidates.columns else []
+    details = F.to_json(F.struct(*accepted, F.lit(fixed.DETECTOR[0]).alias("detector_model_id"), F.lit(fixed.DETECTOR[1]).alias("detector_revision"), F.col("frame").alias("frame_rank"), F.col("texts").alias("normalized_detection_texts"), F.col("raw_count").alias("raw_detection_count"), F.lit(fixed.RECOGNIZER[0]).alias("recognizer_model_id"), F.lit(fixed.RECOGNIZER[1]).alias("recognizer_revision")), {"ignoreNullFields": "false"})
     return out.select(
         by, "ordinal", F.format_string("ocr_%04d", "ordinal").alias("unit_id"), F.lit(fixed.OCR).alias("source_type"), "text", F.col("timestamp").alias("start_time"), F.col("timestamp").alias("end_time"), "frame_id", "frame_path", "bbox", "confidence",
         F.lit(fixed.OCR_PRODUCER).alias("producer"), F.col("frame_index").cast("int").alias("source_index"), F.lit("paddleocr_v5_frame").alias("extraction_method"), details.alias("details"), F.lit(True).alias("eligible"), "raw_count", "accepted_count", F.col("frame").alias("frame_rank"),

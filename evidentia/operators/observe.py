@@ -107,17 +107,22 @@ def filtered(observations: DataFrame, known: Column, by: str = "case_id") -> Dat
 
 
 def with_frames(observations: DataFrame, frames: DataFrame, by: str = "case_id") -> DataFrame:
-    """case, ordinal, primary_frame, start_time, end_time: what an observation's frames say of its time.
+    """case, ordinal, primary_frame, start_time, end_time, unknown, referenced_frames: what an observation's frames say of its time, and they themselves in chronology.
 
     Its frames are those of frame_ids and evidence_refs together; the first in
     time (unknown times last, then index, then path) is the primary one. Ones that are
     unknown are counted in `unknown`: such an observation makes no unit.
     """
     refs = observations.select(by, "ordinal", F.explode(F.array_distinct(F.concat("frame_ids", "evidence_refs"))).alias("frame_id"))
-    path = F.col("frame_path") if "frame_path" in frames.columns else F.lit(None).cast("string")
-    hit = refs.join(frames.select(by, "frame_id", "timestamp", "frame_index", path.alias("frame_path")).withColumn("known", F.lit(1)), [by, "frame_id"], "left")
-    first = F.min(F.when(F.col("known") == 1, F.struct(F.col("timestamp").isNull().alias("n"), "timestamp", "frame_index", "frame_path", "frame_id")))
-    return hit.groupBy(by, "ordinal").agg(first["frame_id"].alias("primary_frame"), first["frame_path"].alias("primary_path"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    kinds = {"frame_path": "string", "frame_rank": "int", "image_sha256": "string", "retrieval_score": "double", "retrieval_rank": "int"}
+    opt = [F.col(c) if c in frames.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+    hit = refs.join(frames.select(by, "frame_id", "timestamp", "frame_index", *opt).withColumn("known", F.lit(1)), [by, "frame_id"], "left")
+    # chronology first, then all that is told of a frame
+    told = F.struct("frame_id", "frame_index", "frame_path", "frame_rank", "image_sha256", "retrieval_rank", "retrieval_score", F.col("timestamp").alias("timestamp_sec"))
+    one = F.when(F.col("known") == 1, F.struct(F.col("timestamp").isNull().alias("n"), "timestamp", "frame_index", "frame_path", told.alias("told")))
+    per = hit.groupBy(by, "ordinal").agg(F.array_sort(F.collect_list(one)).alias("f"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    first = F.get("f", F.lit(0))["told"]
+    return per.select(by, "ordinal", first["frame_id"].alias("primary_frame"), first["frame_path"].alias("primary_path"), "start_time", "end_time", "unknown", F.transform("f", lambda x: x["told"]).alias("referenced_frames"))
 
 
 def visual_units(accepted: DataFrame, frames: DataFrame, by: str = "case_id") -> DataFrame:
@@ -137,7 +142,7 @@ def visual_units(accepted: DataFrame, frames: DataFrame, by: str = "case_id") ->
     at = with_frames(rows, frames, by)
     out = rows.join(at, [by, "ordinal"], "left")
     twice = F.count("*").over(Window.partitionBy(by, "unit_id")) > 1
-    details = F.to_json(F.struct("evidence_refs", "frame_ids", "observation_type", F.lit(fixed.PROMPT_POLICY).alias("prompt_policy"), F.lit(fixed.QWEN[0]).alias("qwen_model_id"), F.lit(fixed.QWEN[1]).alias("qwen_revision"), opt("raw_sha256").alias("raw_generation_sha256"), opt("recovery_mode").alias("recovery_mode"), F.lit(fixed.SIGLIP[0]).alias("siglip_model_id"), F.lit(fixed.SIGLIP[1]).alias("siglip_revision")))
+    details = F.to_json(F.struct("evidence_refs", "frame_ids", "observation_type", F.lit(fixed.PROMPT_POLICY).alias("prompt_policy"), F.lit(fixed.QWEN[0]).alias("qwen_model_id"), F.lit(fixed.QWEN[1]).alias("qwen_revision"), opt("raw_sha256").alias("raw_generation_sha256"), opt("recovery_mode").alias("recovery_mode"), F.coalesce("referenced_frames", F.array().cast(out.schema["referenced_frames"].dataType)).alias("referenced_frames"), F.lit(fixed.SIGLIP[0]).alias("siglip_model_id"), F.lit(fixed.SIGLIP[1]).alias("siglip_revision")), {"ignoreNullFields": "false"})
     none = F.lit(None).cast("double")
     return out.select(
         by, "ordinal", "unit_id", F.lit(fixed.VISUAL).alias("source_type"), "text", "start_time", "end_time", F.col("primary_frame").alias("frame_id"), F.col("primary_path").alias("frame_path"),

@@ -297,3 +297,19 @@ def recogniser_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.struct(F.lit(1).alias("schema_version"), F.when(i % 10 == 1, "failed").otherwise("ok").alias("status"), F.when(i % 12 == 5, "other").otherwise(name).alias("session_id"), F.struct(F.lit("d").alias("detector")).alias("models"), frames.alias("frames"))
     d = per.select(i.alias("case_id"), name.alias("session_id"), "requested", F.to_json(reply).alias("document"))
     return rules.recognised(d, '{"detector":"d"}').select("case_id", F.coalesce(F.get("violations", F.lit(0)), F.lit("ok")).alias("first_violation"))
+
+
+@registered(
+    "SELECT event_id, CASE CAST(event_id % 8 AS INT) WHEN 1 THEN 'not_json' WHEN 2 THEN 'not_an_object' WHEN 3 THEN CASE WHEN event_type = 'view' THEN 'session_id' ELSE 'ok' END WHEN 4 THEN 'claim' WHEN 5 THEN CASE WHEN user_id % 2 = 0 THEN 'units' ELSE 'ok' END WHEN 6 THEN 'unit_id' ELSE 'ok' END AS first_violation, CASE WHEN event_id % 8 IN (0, 7) OR (event_id % 8 = 3 AND event_type <> 'view') OR (event_id % 8 = 5 AND user_id % 2 = 1) THEN 1 ELSE 0 END AS n_units FROM events"
+)
+def payload_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads a event, some of them malformed: each is a row with its first violation, the sound ones with their units."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id") % 8
+    session = F.when((i == 3) & (F.col("event_type") == "view"), "5").otherwise(F.concat(F.lit('"e'), F.col("event_id").cast("string"), F.lit('"')))
+    units_ = F.when((i == 5) & (F.col("user_id") % 2 == 0), '{"a":1}').when(i == 6, '[{"unit_id":7}]').otherwise('[{"unit_id":"u","source_type":"ocr","text":"t"}]')
+    sound = F.concat(F.lit('{"session_id":'), session, F.when(i == 4, "").otherwise(',"claim":"c"'), F.lit(',"units":'), units_, F.lit("}"))
+    d = records.payload_violations(e.select("event_id", F.when(i == 1, "{").when(i == 2, "[]").otherwise(sound).alias("value")))
+    n = records.units_of(d.filter(F.size("violations") == 0)).groupBy("case_id").agg(F.count("*").alias("n_units"))
+    j = d.withColumn("case_id", F.concat(F.lit("e"), F.col("event_id").cast("string"))).join(n, "case_id", "left")
+    return j.select("event_id", F.coalesce(F.get("violations", F.lit(0)), F.lit("ok")).alias("first_violation"), F.coalesce("n_units", F.lit(0)).cast("int").alias("n_units"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.canonical import with_document
+from ..operators.validate import violations
 from .store import Store
 
 REQUEST = "claim string, request_id string, media_path string, transcript_segments array<struct<text:string,start_time:double,end_time:double,confidence:double>>, ocr_observations array<struct<text:string,frame_id:string,frame_path:string,bbox:array<double>,confidence:double>>, visual_inputs array<struct<frame_id:string,frame_path:string,observation:string,confidence:double>>, metadata variant"
@@ -30,11 +31,23 @@ def _units(exploded: DataFrame) -> DataFrame:
 
 
 def units_of(payloads: DataFrame, column: str = "value") -> DataFrame:
-    """case_id, claim, ordinal and the fields of each unit of {session_id, claim, units} documents."""
+    """case_id, claim, ordinal and the fields of each unit of {session_id, claim, units} documents. Malformed ones give none; payload_violations tells them."""
     p = payloads.select(F.from_json(column, f"session_id string, claim string, units array<{UNIT}>").alias("p"))
     return _units(p.select(F.col("p.session_id").alias("case_id"), "p.claim", F.posexplode("p.units").alias("ordinal", "u")))
 
 
+def payload_violations(payloads: DataFrame, column: str = "value") -> DataFrame:
+    """payloads with violations of their shape, so that a malformed document is a row and not lost: no JSON object, no session id or claim, units that are no list of objects."""
+    v = F.try_parse_json(column)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("ABSENT"))
+    items = F.try_variant_get(v, "$.units", "array<variant>")
+    objects = kind("$.units").startswith("ARRAY") & F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x), F.lit("")).startswith("OBJECT"))
+    named = F.forall(items, lambda x: F.coalesce(F.schema_of_variant(F.try_variant_get(x, "$.unit_id", "variant")), F.lit("")) == "STRING")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    checks = ((v.isNull(), "not_json"), (no(kind("$").startswith("OBJECT")), "not_an_object"), (kind("$.session_id") != "STRING", "session_id"), (kind("$.claim") != "STRING", "claim"), (no(objects), "units"), (no(named), "unit_id"))
+    return payloads.withColumn("violations", violations(*checks))
+
+
 def array_units_of(payloads: DataFrame, column: str = "value") -> DataFrame:
     """As units_of, for documents that are an array of units, of which case_id is a column of its own."""
     return _units(payloads.select("case_id", F.posexplode(F.from_json(column, f"array<{UNIT}>")).alias("ordinal", "u")))

@@ -45,6 +45,15 @@ def test_text_units(texts):
     assert (r["unit_id"], r["text"], r["bbox"], r["confidence"], r["raw_count"], r["source_type"]) == ("ocr_0000", "low down Hello world", [1.0, 1.0, 6.0, 9.0], 0.8, 2, "ocr")
 
 
+def test_units_say_where_they_come_from(texts, visual):
+    told = json.loads(texts.first()["details"])
+    assert [(d["text"], d["confidence"], d["polygon"], d["runtime_bbox"]) for d in told["accepted_detections"]] == [("low down", 0.7, [[1, 1], [2, 1], [2, 2]], [1, 1, 2, 2]), ("Hello world", 0.9, [[5, 5], [6, 5], [6, 9]], [5, 5, 6, 9])]
+    assert told["normalized_detection_texts"] == ["low down", "Hello world"]
+    seen = {r["case_id"]: json.loads(r["details"])["referenced_frames"] for r in visual.collect()}
+    assert [(f["frame_id"], f["timestamp_sec"], f["frame_index"], f["frame_path"]) for f in seen["c5"]] == [("F000", 2.0, 5, "/f0"), ("F001", None, 3, "/f1")]
+    assert set(seen["c4"][0]) == {"frame_id", "frame_path", "frame_index", "timestamp_sec", "frame_rank", "image_sha256", "retrieval_score", "retrieval_rank"}
+
+
 def test_visual_units(visual):
     got = {r["case_id"]: r for r in visual.collect()}
     assert set(got) == {"c4", "c5"}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import canonical
-from ..operators import cases, manifests, means, replies, retrieve, rules, stages, units
+from ..operators import cases, manifests, means, replies, retrieve, rules, signals, stages, units
 from ..sources import records, store
 from ..streaming import stages as stage_streams
 from .registry import registered, table
@@ -313,3 +313,18 @@ def payload_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = records.units_of(d.filter(F.size("violations") == 0)).groupBy("case_id").agg(F.count("*").alias("n_units"))
     j = d.withColumn("case_id", F.concat(F.lit("e"), F.col("event_id").cast("string"))).join(n, "case_id", "left")
     return j.select("event_id", F.coalesce(F.get("violations", F.lit(0)), F.lit("ok")).alias("first_violation"), F.coalesce("n_units", F.lit(0)).cast("int").alias("n_units"))
+
+
+# ---------------------------------------------------------------- signals in pieces
+
+
+@registered(
+    "WITH p AS (SELECT label AS case_id, vec_id, CAST(embedding AS DOUBLE[]) AS e, len(embedding) AS n FROM embeddings), o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY case_id ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM p), "
+    "c AS (SELECT *, greatest(0, least(n, 2500 - off)) AS k FROM o), s AS (SELECT case_id, n, k, list_transform(e[1:k], lambda x: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x * 8))) AS x FROM c) "
+    "SELECT case_id, CAST(sum(k) AS BIGINT) AS sample_count, sum(k) / 1000.0::DOUBLE AS seconds, min(list_min(x)) AS low, max(list_max(x)) AS high, bool_or(k < n) AS cut FROM s GROUP BY case_id"
+)
+def signal_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's vectors as the pieces of a signal, louder than allowed, cut after two and a half seconds."""
+    e = table(spark, sf_dir, "embeddings")
+    pieces = e.select(F.col("label").alias("case_id"), F.col("vec_id").alias("ordinal"), F.transform("embedding", lambda x: x.cast("double") * 8).alias("samples"))
+    return signals.measured(pieces, 1000, 2500).drop("violation")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as T
-from . import assess, exposure, package, quarantine, scoring
+from . import assess, exposure, observe, package, quarantine, retrieve, scoring
 from .validate import violations
 
 #: units (case_id, claim, unit_id, source_type, text, ...) -> case_id, unit_id, selection_score, fake, real
@@ -99,3 +99,32 @@ def verified(cases: DataFrame, transcripts: DataFrame, texts: DataFrame, visual:
     # what a failed run would have found out isn't told
     gone = {c: F.when(ran, F.col(c)) for c in ("exposure", "visual", "all_ids", "top_k_ids", "warnings", "verification", "sufficiency", "public_exposure", "public_visual")}
     return out.withColumns(gone).withColumn("outcome", package.outcome_json(F.col("failed_stage"), F.coalesce("failure.exception_type", F.lit("ValueError")), F.col("document")))
+
+
+def visual_runs(cases: DataFrame, frames: DataFrame, replies: DataFrame, n: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(runs, units): from a claim's embedding to supplemental units, as one plan.
+
+    cases: case_id, session_id, claim, embedding; frames: case_id, frame_id, frame_index (unique in its case),
+    timestamp, frame_path, embedding; replies: case_id, raw, what an observer said of
+    the frames it was shown. Each claim's n best frames are retrieved; the observations of its reply are
+    recovered, judged against just these frames, and the sound ones become units. runs has a row a case:
+    violation (blank session or claim, a reply of no usable shape, a unit that breaks
+    its contract), frames, accepted and rejected observations, warnings. A case without frames isn't
+    observed, which is a warning; a case without a reply has no observations.
+    """
+    found = retrieve.retrieved_for_claims(cases.select("case_id", F.lit(0).alias("claim_id"), "embedding"), frames, n).drop("claim_id", "ordinal", "frame_path", "timestamp")
+    seen = found.withColumnRenamed("score", "retrieval_score").join(frames.drop("embedding"), ["case_id", "frame_index"])
+    shown = seen.groupBy("case_id").agg(F.collect_set("frame_id").alias("known"), F.count("*").alias("n_frames"))
+    said = replies.join(shown, "case_id")
+    judged = observe.filtered(observe.parsed(said).join(shown.select("case_id", "known"), "case_id"), F.col("known")).drop("known")
+    units = observe.visual_units(judged.filter(F.size("reasons") == 0), seen)
+    counts = judged.groupBy("case_id").agg(F.count_if(F.size("reasons") == 0).alias("n_accepted"), F.count_if(F.size("reasons") > 0).alias("n_rejected"))
+    broken = units.filter(F.size("violations") > 0).groupBy("case_id").agg(F.min(F.get("violations", F.lit(0))).alias("broken"))
+    mode = said.select("case_id", observe.recovery_mode(F.col("raw")).alias("mode"))
+    j = cases.select("case_id", "session_id", "claim").join(shown.drop("known"), "case_id", "left").join(mode, "case_id", "left").join(counts, "case_id", "left").join(broken, "case_id", "left")
+    j = j.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_frames", "n_accepted", "n_rejected")})
+    unusable = ~F.col("mode").isin(fixed.CANONICAL, fixed.ARRAY, fixed.SINGLE)
+    wrong = F.when(T.is_blank(F.col("session_id")), "session_id").when(T.is_blank(F.col("claim")), "claim").when(unusable, F.concat(F.lit("reply_"), "mode")).otherwise(F.col("broken"))
+    rejected = F.format_string("rejected %d unsafe visual observations", "n_rejected")
+    warned = F.array_compact(F.array(F.when(F.col("n_frames") == 0, fixed.NO_FRAMES), F.when(F.col("n_rejected") > 0, rejected)))
+    return j.select("case_id", "session_id", wrong.alias("violation"), "n_frames", "n_accepted", "n_rejected", warned.alias("warnings")), units

@@ -449,7 +449,7 @@ VERIFIED = (
     "p AS (SELECT case_id, max(fake) AS fake, max(real) AS real, count(*) AS exposed, count(*) FILTER (WHERE source_type = 'ocr') AS ocr FROM s GROUP BY case_id), "
     "k AS (SELECT case_id, string_agg(unit_id, ',' ORDER BY score DESC, unit_id) AS top FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, unit_id) AS r FROM s) WHERE r <= 5 GROUP BY case_id), "
     "v AS (SELECT doc_id % 150 AS case_id, count(*) AS visual FROM documents WHERE lang = 'es' GROUP BY ALL), "
-    "c AS (SELECT unnest(range(0, 150)) AS case_id) "
+    "c AS (SELECT DISTINCT doc_id % 150 AS case_id FROM documents) "
     "SELECT c.case_id, 'session-' || c.case_id AS session_id, CASE WHEN p.case_id IS NULL THEN 'NEI' WHEN fake >= real THEN 'Fake' ELSE 'Real' END AS display_verdict, "
     "CASE WHEN p.case_id IS NULL THEN 'no_frozen_g1_eligible_evidence' ELSE 'frozen_g1_evidence_available_and_model_completed' END AS reason_code, "
     "coalesce(exposed, 0) AS exposed, coalesce(ocr, 0) AS ocr, coalesce(visual, 0) AS visual, coalesce(top, '') AS top, round(fake, 9) AS fake, 'success' AS status FROM c LEFT JOIN p USING (case_id) LEFT JOIN k USING (case_id) LEFT JOIN v USING (case_id)"
@@ -468,7 +468,8 @@ def case_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(VERIFIED)
 def verified_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole cases, read back from their published documents: 120 with evidence for the scorer, the rest with visual units or none."""
-    c = spark.range(150).select(F.col("id").alias("case_id"), F.concat(F.lit("session-"), F.col("id").cast("string")).alias("session_id"), F.concat(F.lit("claim "), F.col("id").cast("string")).alias("claim"))
+    c = table(spark, sf_dir, "documents").select((F.col("doc_id") % 150).alias("case_id")).distinct()
+    c = c.select("case_id", F.concat(F.lit("session-"), F.col("case_id").cast("string")).alias("session_id"), F.concat(F.lit("claim "), F.col("case_id").cast("string")).alias("claim"))
     v = cases.verified(c, case_transcripts(spark, sf_dir), case_texts(spark, sf_dir), case_visuals(spark, sf_dir))
     at = lambda path, kind="string": F.get_json_object("outcome", f"$.{path}").cast(kind)
     r = "result."
@@ -516,10 +517,10 @@ def public_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- text frames, whole responses
 
-@registered("SELECT doc_id AS case_id, count(*) FILTER (WHERE trim(x) <> '' AND length(x) = length(x)) AS n, string_agg(x, '|' ORDER BY y, x0, i) FILTER (WHERE trim(x) <> '') AS read FROM (SELECT doc_id, i, lines[i] AS x, (i * 7) % 5 AS y, (i * 3) % 4 AS x0 FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE lang = 'en'), unnest(range(1, len(lines) + 1)) AS t(i)) GROUP BY doc_id")
+@registered("SELECT doc_id AS case_id, count(*) AS n, string_agg(x, '|' ORDER BY y, x0, i) AS read FROM (SELECT doc_id, i, lines[i] AS x, (i * 7) % 5 AS y, (i * 3) % 4 AS x0 FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i)) WHERE regexp_matches(x, '[^\\x09-\\x0d\\x1c-\\x20]') GROUP BY doc_id")
 def raw_text_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of a recogniser with parallel arrays, read top to bottom and left to right; every line is a detection."""
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("case_id"), F.split("text", "\n").alias("rec_texts"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.split("text", "\n").alias("rec_texts"))
     point = lambda x, y: F.array(x.cast("double"), y.cast("double"))
     at = lambda i: ((i + 1) * 3 % 4, (i + 1) * 7 % 5)
     polygons = F.transform("rec_texts", lambda t, i: F.array(point(*at(i)), point(at(i)[0] + 9, at(i)[1]), point(at(i)[0], at(i)[1] + 9)))
@@ -541,7 +542,7 @@ def text_frame_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("case_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("frame_rank").alias("frame"), F.round("confidence", 9).alias("confidence"))
 
 
-@registered("SELECT label AS case_id, CASE WHEN label = '3' OR label = 3 THEN 'scores_and_frames_differ_in_number' ELSE 'ok' END AS state, vec_id AS frame_index FROM embeddings".replace("label = '3' OR label = 3", "CAST(label AS VARCHAR) = '3'"))
+@registered("SELECT label AS case_id, CASE WHEN label = 3 THEN 'scores_and_frames_differ_in_number' ELSE 'ok' END AS state, vec_id AS frame_index FROM embeddings")
 def scores_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of scores against frames by position; one case has a score too few."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("case_id"), F.col("vec_id").alias("frame_index"))

@@ -328,3 +328,44 @@ def signal_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     pieces = e.select(F.col("label").alias("case_id"), F.col("vec_id").alias("ordinal"), F.transform("embedding", lambda x: x.cast("double") * 8).alias("samples"))
     return signals.measured(pieces, 1000, 2500).drop("violation")
+
+
+# ---------------------------------------------------------------- from claims to visual units
+
+VISUAL = (
+    "WITH q AS (SELECT label AS case_id, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS e FROM embeddings GROUP BY label), "
+    "s AS (SELECT case_id, vec_id, round(list_cosine_similarity(q.e, CAST(f.embedding AS DOUBLE[])), 9) AS score FROM q JOIN embeddings f ON f.label = q.case_id), "
+    "t AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, vec_id) AS r FROM s), "
+    "k AS (SELECT case_id, vec_id, row_number() OVER (PARTITION BY case_id ORDER BY vec_id) - 1 AS i FROM t WHERE r <= 4 AND vec_id % 3 > 0) "
+)
+
+
+@registered(
+    VISUAL + """SELECT case_id, i AS ordinal, 'visual_' || substr(sha256('{"evidence_refs":["F' || vec_id || '"],"frame_ids":["F' || vec_id || '"],"index":' || i || ',"observation":"a thing at ' || vec_id || '","observation_type":"scene"}'), 1, 20) AS unit_id, CAST(vec_id AS DOUBLE) AS start_time, 'F' || vec_id AS frame_id FROM k WHERE case_id % 4 <> 3"""
+)
+def visual_run_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's vectors as frames, its first one as the claim, an observation of every frame: those of the four best frames that say nothing risky become units."""
+    return _visual_runs(spark, sf_dir)[1].select("case_id", F.col("ordinal").cast("long").alias("ordinal"), "unit_id", "start_time", "frame_id")
+
+
+@registered(
+    VISUAL + "SELECT n.case_id, CASE WHEN n.case_id % 4 = 3 THEN 'reply_unsupported' END AS violation, least(n, 4) AS n_frames, CASE WHEN n.case_id % 4 = 3 THEN 0 ELSE a END AS n_accepted, CASE WHEN n.case_id % 4 = 3 THEN 0 ELSE n - a END AS n_rejected, CASE WHEN n.case_id % 4 <> 3 AND n > a THEN 'rejected ' || n - a || ' unsafe visual observations' ELSE '' END AS warnings "
+    "FROM (SELECT label AS case_id, count(*) AS n FROM embeddings GROUP BY label) n JOIN (SELECT s.case_id, count(k.vec_id) AS a FROM (SELECT DISTINCT case_id FROM s) s LEFT JOIN k USING (case_id) GROUP BY s.case_id) USING (case_id)"
+)
+def visual_run_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of visual_run_units: what was retrieved, accepted and rejected of each case."""
+    r = _visual_runs(spark, sf_dir)[0]
+    return r.select("case_id", "violation", F.col("n_frames").cast("long").alias("n_frames"), F.col("n_accepted").cast("long").alias("n_accepted"), F.col("n_rejected").cast("long").alias("n_rejected"), F.array_join("warnings", ";").alias("warnings"))
+
+
+def _visual_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings").withColumn("case_id", F.col("label"))
+    c = e.groupBy("case_id").agg(F.min_by("embedding", "vec_id").alias("embedding")).select("case_id", F.lit("s").alias("session_id"), F.lit("c").alias("claim"), "embedding")
+    name = F.concat(F.lit("F"), F.col("vec_id").cast("string"))
+    seen = e.select("case_id", name.alias("frame_id"), F.col("vec_id").alias("frame_index"), F.col("vec_id").cast("double").alias("timestamp"), F.concat(F.lit("/f/"), name).alias("frame_path"), "embedding")
+    thing = F.concat(F.when(F.col("vec_id") % 3 == 0, "probably a thing at ").otherwise("a thing at "), F.col("vec_id").cast("string"))
+    one = F.struct("vec_id", F.struct(F.array(name).alias("evidence_refs"), F.array(name).alias("frame_ids"), thing.alias("observation"), F.lit("scene").alias("observation_type")).alias("o"))
+    listed = F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["o"]))
+    said = e.groupBy("case_id").agg(listed.alias("listed"))
+    raw = F.when(F.col("case_id") % 4 == 3, '"no list"').when(F.col("case_id") % 2 == 1, F.col("listed")).otherwise(F.concat(F.lit('{"observations":'), "listed", F.lit("}")))
+    return cases.visual_runs(c, seen, said.select("case_id", raw.alias("raw")))

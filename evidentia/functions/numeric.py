@@ -51,6 +51,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def effective_limit(*limits: Column) -> Column:
-    """The least of the limits between 0 and a million; null if none is."""
-    return F.least(*[F.when((x > 0) & (x < 1_000_000), x) for x in (*limits, limits[0])])
+def effective_limit(configured: Column, *others: Column) -> Column:
+    """The least of a configured limit, which always counts, and of the others that lie between 0 and a million."""
+    return F.least(configured, *[F.when((x > 0) & (x < 1_000_000), x) for x in others]) if others else configured

@@ -39,11 +39,14 @@ def detection(confidence: Column, polygon: Column, given: Column) -> Column:
 
 
 def result(df: DataFrame) -> DataFrame:
-    """Invariants of verdict rows: model_verdict, display_verdict, evidence_status, fake, real."""
+    """Invariants of verdict rows: model_verdict, display_verdict, evidence_status, fake, real, perhaps p_fake and p_real (both or none, and there just where the scores are)."""
+    p = [F.col(c).isNull() for c in ("p_fake", "p_real") if c in df.columns]
+    odd = (p[0] != p[1]) | (p[0] != F.col("fake").isNull()) if len(p) == 2 else F.lit(False)
     model, shown, status = F.col("model_verdict"), F.col("display_verdict"), F.col("evidence_status")
     off = model == "not_run"
     return df.withColumn("violations", violations(
         (F.col("fake").isNull() != F.col("real").isNull(), "class_keys_incomplete"),
+        (odd, "probability_keys"),
         (~off & (F.lower(shown) != model), "display_differs_from_model"),
         (off & (F.col("fake").isNotNull() | F.col("real").isNotNull()), "scores_without_run"),
         (off & (status != "insufficient"), "not_run_but_sufficient"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import canonical
-from ..operators import cases, manifests, means, replies, retrieve, rules, signals, stages, units
+from ..operators import cases, claims, manifests, means, replies, retrieve, rules, signals, stages, units
 from ..sources import records, store
 from ..streaming import stages as stage_streams
 from .registry import registered, table
@@ -369,3 +369,22 @@ def _visual_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     said = e.groupBy("case_id").agg(listed.alias("listed"))
     raw = F.when(F.col("case_id") % 4 == 3, '"no list"').when(F.col("case_id") % 2 == 1, F.col("listed")).otherwise(F.concat(F.lit('{"observations":'), "listed", F.lit("}")))
     return cases.visual_runs(c, seen, said.select("case_id", raw.alias("raw")))
+
+
+# ---------------------------------------------------------------- claims in tokens
+
+
+def word_tokenizer() -> Callable[[list[str]], list[int]]:
+    """A tokenizer that counts words and an end mark, as a stand-in."""
+    return lambda texts: [len(t.split(" ")) + 1 for t in texts]
+
+
+@registered(
+    "WITH c AS (SELECT conv_id AS case_id, text, CASE WHEN conv_id % 6 = 5 THEN NULL ELSE len(string_split(text, ' ')) + 1 END AS n FROM conversations WHERE turn = 0) "
+    "SELECT case_id, '{\"claim_sha256\":\"' || sha256(text) || '\",\"configured_max_length\":64,\"effective_max_length\":' || CASE WHEN n IS NULL THEN 64 ELSE 40 END || ',\"model_input_token_count\":' || coalesce(least(n, 40), 0) || ',\"original_claim_preserved_for_mdu\":true,\"original_token_count\":' || coalesce(CAST(n AS VARCHAR), 'null') || ',\"padding\":\"max_length\",\"policy\":\"right_truncate_for_siglip_retrieval_only\",\"truncated\":' || CASE WHEN n > 40 THEN 'true' ELSE 'false' END || '}' AS document FROM c"
+)
+def claim_token_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First turns as claims: their tokens under a configured limit of 64, a model's of 40 and a tokenizer's that means none."""
+    t = table(spark, sf_dir, "conversations").filter("turn = 0")
+    c = t.select(F.col("conv_id").alias("case_id"), F.col("text").alias("claim"), F.when(F.col("conv_id") % 6 == 5, 0).otherwise(4).alias("n_frames"))
+    return claims.token_audits(c, word_tokenizer, 64, 40, 10**9).select("case_id", "document")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
-#: Values that a run must have (fixed values).
-FROZEN = {"max_evaluated_units": 24, "max_length": 256, "top_k": 5, "pooling": "max"}
+#: Values that a run must have (fixed values), and what may be set beside them and the two roots.
+FROZEN = {"backbone": "microsoft/deberta-v3-base", "max_units": 24, "max_length": 256, "pooling": "max", "fake_label": 0, "real_label": 1, "top_k": 5}
+OPTIONAL = {"profile": "mock", "implementation": "deterministic_mock"}
+ROOTS = ("cache_root", "output_root")
 
 
 def scalar(text: str) -> bool | int | str:
@@ -36,19 +37,30 @@ def flat(text: str) -> dict[str, Any]:
 
 @dataclass(frozen=True)
 class RunSettings:
-    """Settings of a run, with the frozen ones checked."""
+    """Settings of a run, with the frozen ones checked and the roots absolute and distinct; no others."""
 
     values: dict[str, Any]
 
     def __post_init__(self) -> None:
+        if bad := sorted(set(self.values) - {*FROZEN, *OPTIONAL, *ROOTS}):
+            raise ValueError(f"unknown settings: {bad}")
+        full = FROZEN | OPTIONAL | self.values
         for key, want in FROZEN.items():
-            got = self.values.get(key, want)
-            if got != want or type(got) is not type(want):
+            if full[key] != want or type(full[key]) is not type(want):
                 raise ValueError(f"{key} must be {want!r}")
+        full |= {k: str(Path(str(full[k])).resolve()) for k in ROOTS if k in full}
+        if all(k in full for k in ROOTS) and full[ROOTS[0]] == full[ROOTS[1]]:
+            raise ValueError("the roots must be distinct")
+        object.__setattr__(self, "values", full)
 
     @classmethod
     def from_file(cls, path: str) -> RunSettings:
-        return cls(flat(Path(path).read_text(encoding="utf-8")))
+        """Settings of a flat file that names both roots; relative ones start at the folder above the file's."""
+        at = Path(path).resolve()
+        values = flat(at.read_text(encoding="utf-8"))
+        if bad := [k for k in ROOTS if k not in values]:
+            raise ValueError(f"missing settings: {bad}")
+        return cls(values | {k: at.parent.parent / str(values[k]) for k in ROOTS})
 
 
 def closed(payload: Any, sections: dict[str, set[str]]) -> dict[str, dict[str, Any]]:
@@ -70,6 +82,3 @@ def closed(payload: Any, sections: dict[str, set[str]]) -> dict[str, dict[str, A
                 raise ValueError(f"{name}.{k} must be a positive number")
     return payload
 
-
-def closed_from_json(path: str, sections: dict[str, set[str]]) -> dict[str, dict[str, Any]]:
-    return closed(json.loads(Path(path).read_text(encoding="utf-8")), sections)

@@ -120,3 +120,28 @@ def test_settings():
         config.closed({"a": {"timeout_seconds": True}}, {"a": {"timeout_seconds"}})
     with pytest.raises(ValueError):
         config.closed({"a": {}, "b": {}}, {"a": set()})
+
+
+def test_settings_files(tmp_path):
+    (tmp_path / "configs").mkdir()
+    f = tmp_path / "configs" / "run.yaml"
+    f.write_text("# a run\n\ncache_root: 'cache'\noutput_root: /out/x/..\nmax_units: 24\nprofile: test\n")
+    got = config.RunSettings.from_file(str(f)).values
+    assert (got["cache_root"], got["output_root"], got["profile"], got["top_k"]) == (str(tmp_path / "cache"), "/out", "test", 5)
+    for bad in ("cache_root: a\n", "cache_root: a\noutput_root: ./a\n", "cache_root: a\noutput_root: b\nmore: 1\n", "cache_root: a\noutput_root: b\nmax_length: 512\n", "cache_root a\n"):
+        f.write_text(bad)
+        with pytest.raises(ValueError):
+            config.RunSettings.from_file(str(f))
+
+
+def test_effective_limits(spark):
+    n = lambda *x: one(spark, numeric.effective_limit(*map(F.lit, x)))
+    assert (n(64), n(64, 40), n(64, 0, -1, 1_000_000), n(5_000_000, 10**9), n(64, 99, 12)) == (64, 40, 64, 5_000_000, 12)
+
+
+def test_verdicts_have_probabilities_where_they_have_scores(spark):
+    rows = [(1, 0.5, 0.25, 0.6, 0.4), (2, 0.5, 0.25, 0.6, None), (3, 0.5, 0.25, None, None), (4, None, None, 0.5, 0.5), (5, None, None, None, None)]
+    d = spark.createDataFrame(rows, "i int, fake double, real double, p_fake double, p_real double")
+    d = d.withColumns({"model_verdict": F.when(F.col("fake").isNull(), "not_run").otherwise("fake"), "display_verdict": F.when(F.col("fake").isNull(), "NEI").otherwise("Fake"), "evidence_status": F.when(F.col("fake").isNull(), "insufficient").otherwise("sufficient")})
+    assert {r["i"]: r["violations"] for r in validate.result(d).collect()} == {1: [], 2: ["probability_keys"], 3: ["probability_keys"], 4: ["probability_keys"], 5: []}
+    assert {r["i"]: r["violations"] for r in validate.result(d.drop("p_real")).collect()} == dict.fromkeys(range(1, 6), [])

@@ -85,7 +85,7 @@ class Store:
         stream = fs.create(aside, False)
         stream.write(json.dumps(vars(new), sort_keys=True).encode())
         stream.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.spark._jsc.hadoopConfiguration())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(self._path()).toUri(), self.spark._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
             context.rename(aside, self._path("manifests", f"{new.version:020d}.json"), none)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +36,10 @@ class Ledger:
     Each batch has three folders of its own: its signed deltas, the totals
     up to and with it (the last totals plus its deltas: a few rows a source, language and
     version, whatever the batches before held), and a mark. A batch counts once its
-    mark is there. Marks are numbered: batch n writes claim n by creating a file that
-    must not exist yet, so of two writers that start from the same totals one
-    wins and the other starts again from the new ones (the store must create files
-    atomically, as HDFS and local file systems do). A batch whose id has a
+    mark is there. Marks are numbered: batch n writes its mark aside and claims n by renaming
+    it to a name that must not exist yet, so of two writers that start from the same totals one
+    wins and the other starts again from the new ones (the store must rename files
+    atomically, as HDFS does), and a writer that dies leaves no half-written mark. A batch whose id has a
     mark changes nothing when it comes again; one that was lost half-way has no
     mark, isn't counted, and is written anew.
     """
@@ -50,8 +49,8 @@ class Ledger:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def batches(self, wait: int = 20) -> list[tuple[int, str, str]]:
-        """(number, batch id, folder of totals) of each committed batch, in order. A mark that its writer is about to fill is waited for."""
+    def batches(self) -> list[tuple[int, str, str]]:
+        """(number, batch id, folder of totals) of each committed batch, in order."""
         marks = self._path(f"{self.root}/marks")
         if not self._fs.exists(marks):
             return []
@@ -62,11 +61,6 @@ class Ledger:
                 with_ = self._fs.open(s.getPath())
                 text = bytes(with_.readAllBytes()).decode()
                 with_.close()
-                if text.count("\n") != 2:
-                    if wait:
-                        time.sleep(0.5)
-                        return self.batches(wait - 1)
-                    raise RuntimeError(f"{s.getPath()} was not filled: delete it if its writer is gone; nothing counts on it")
                 out.append((int(m[1]), *text.split("\n")[:2]))
         return sorted(out)
 
@@ -108,16 +102,21 @@ class Ledger:
                 return False
 
     def _claimed(self, number: int, text: str) -> bool:
-        """Create mark number with this text unless it exists; the file system decides between writers."""
-        path = self._path(f"{self.root}/marks/{number:09d}")
+        """Put mark number there with this text unless it exists: written aside, then renamed, so a mark is never half-written."""
+        jvm = self.spark._jvm
+        path, aside = self._path(f"{self.root}/marks/{number:09d}"), self._path(f"{self.root}/marks/_{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(path).toUri(), self.spark._jsc.hadoopConfiguration())
+        kept = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            out = self._fs.create(path, False)
+            context.rename(aside, path, kept)
         except Exception as e:
+            self._fs.delete(aside, False)
             if self._fs.exists(path):
                 return False
             raise e
-        out.write(bytearray(text.encode()))
-        out.close()
         return True
 
     def _totals(self, folder: str) -> DataFrame:

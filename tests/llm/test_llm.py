@@ -219,6 +219,9 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert sorted(map(tuple, ledger.totals().collect()), key=str) == [("a", "en", "v", 1, 10), ("b", None, "v", 1, 3)]
     assert ledger.commit("2", deleted=row("b", None, "v", 3), revised=rev)
     assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v", 1, 12)]
+    # what a writer that died before it claimed its mark left aside doesn't count
+    (mark.parent / "_lost").write_text("")
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v", 1, 12)]
     # a second writer that starts from the same totals loses the mark and starts again
     other = tokencounts.Ledger(spark, f"file://{tmp_path}/ledger")
     stale = other.batches()

@@ -13,7 +13,7 @@ import time
 from pyspark.sql import SparkSession
 
 RUNS = 3
-HEADLINE = ["pool_bench", "verdict_by_case", "topk_explanations", "balanced_exposure", "unit_pool", "ocr_top6_chrono", "observation_filter", "visual_top4_chrono", "monotonic_violations", "response_contract", "frame_sampler_8", "bbox_union", "scorer_exposure", "verified_cases", "response_json_contract", "text_frame_units"]
+HEADLINE = ["pool_bench", "verdict_by_case", "topk_explanations", "balanced_exposure", "unit_pool", "ocr_top6_chrono", "observation_filter", "visual_top4_chrono", "monotonic_violations", "response_contract", "frame_sampler_8", "bbox_union", "scorer_exposure", "verified_cases", "response_json_contract", "text_frame_units", "recogniser_replies", "exact_means", "claims_against_frames"]
 
 
 def main() -> None:

@@ -32,7 +32,6 @@ NO_TRANSCRIPT = "ASR produced no valid transcript units"
 NO_EVIDENCE = "ASR and OCR produced no Frozen G1 evidence"
 VISUAL_ONLY = "visual-only evidence cannot run Frozen G1"
 NO_FRAMES = "SigLIP retrieval produced no visual frames"
-MOCK_WARNING = "MOCK_NON_SCIENTIFIC_OUTPUT"
 # producers, methods and model identities in provenance
 WHISPER = ("openai/whisper-large-v3-turbo", "41f01f3fe87f28c78e2fbf8b568835947dd65ed9")
 DETECTOR = ("PaddlePaddle/PP-OCRv5_server_det", "ca867c897ecbca8873081573a802ad70d499cb94")

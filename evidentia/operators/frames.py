@@ -50,11 +50,6 @@ def raw_detections(replies: DataFrame, by: str = "case_id") -> DataFrame:
     return good.select(by, "frame", "ordinal", "text", "confidence", "polygon", box.alias("box"), checked.alias("violations")).unionByName(bad)
 
 
-def reading_order() -> list[Column]:
-    """Top to bottom, left to right, then by the box's other corner, then as given."""
-    return [F.col("box")[i].asc() for i in (1, 0, 3, 2)] + [F.asc("ordinal")]
-
-
 def frame_candidates(detections: DataFrame, by: str = "case_id") -> DataFrame:
     """A row for each frame with an accepted detection: joined text in reading order, mean confidence, union of boxes, counts, texts, the accepted detections as they came.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..fixed import VISUAL
 from ..functions import text as T
+from ..functions.canonical import with_document
 from .validate import violations
 
 
@@ -90,8 +91,22 @@ def pool(*parts: DataFrame) -> DataFrame:
 
 
 def request_units(units: DataFrame) -> DataFrame:
-    """case_id, units, violations: a scorer's request, eligible units in order with their modality and whole text, none cut off."""
-    one = F.struct("ordinal", "unit_id", modality(F.col("source_type")).alias("modality"), "text")
+    """case_id, units, violations: what a scorer is sent, eligible units in order with their type, modality and whole text, none cut off."""
+    one = F.struct("ordinal", "unit_id", F.col("source_type").alias("unit_type"), modality(F.col("source_type")).alias("modality"), "text")
     rows = eligible(units).groupBy("case_id").agg(F.array_sort(F.collect_list(one)).alias("u"), F.count_if(T.is_blank(F.col("text"))).alias("blank"), (F.count("*") - F.count_distinct("unit_id")).alias("twice"))
     why = F.array_compact(F.array(F.when(F.col("blank") > 0, "blank_text"), F.when(F.col("twice") > 0, "duplicate_unit_id")))
-    return rows.select("case_id", F.transform("u", lambda s: F.struct(s["unit_id"].alias("unit_id"), s["modality"].alias("modality"), s["text"].alias("text"))).alias("units"), why.alias("violations"))
+    return rows.select("case_id", F.transform("u", lambda s: F.struct(*[s[c].alias(c) for c in ("unit_id", "unit_type", "modality", "text")])).alias("units"), why.alias("violations"))
+
+
+def scorer_requests(cases: DataFrame, units: DataFrame, dataset: str = "external") -> DataFrame:
+    """case_id, violations, document: each case's request to a scorer as canonical JSON; null where it has violations.
+
+    cases: case_id, session_id, claim. A case without eligible units has an empty list; there is no limit on
+    their number here. What is blank or comes twice is a violation.
+    """
+    j = cases.join(request_units(units), "case_id", "left")
+    none = F.array().cast(j.schema["units"].dataType)
+    request = F.struct(F.coalesce("units", none).alias("candidate_units"), F.col("session_id").alias("case_id"), "claim", F.lit(dataset).alias("dataset"))
+    ok = F.size(F.coalesce("violations", F.array().cast("array<string>"))) == 0
+    out = with_document(j, "document", request).withColumn("document", F.when(ok, F.col("document")))
+    return out.select("case_id", F.coalesce("violations", F.array().cast("array<string>")).alias("violations"), "document")

@@ -388,3 +388,18 @@ def claim_token_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").filter("turn = 0")
     c = t.select(F.col("conv_id").alias("case_id"), F.col("text").alias("claim"), F.when(F.col("conv_id") % 6 == 5, 0).otherwise(4).alias("n_frames"))
     return claims.token_audits(c, word_tokenizer, 64, 40, 10**9).select("case_id", "document")
+
+
+# ---------------------------------------------------------------- requests to a scorer
+
+
+@registered(
+    rf"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, {STRIP} AS x FROM conversations) SELECT conv_id AS case_id, '{{"candidate_units":[' || coalesce(string_agg('{{"modality":"text","text":' || {sql_quoted("x")} || ',"unit_id":"asr_' || lpad(CAST(n AS VARCHAR), 4, '0') || '","unit_type":"transcript"}}', ',' ORDER BY n) FILTER (WHERE role <> 'system'), '') || '],"case_id":"session-' || conv_id || '","claim":"case ' || conv_id || '","dataset":"external"}}' AS document FROM r GROUP BY conv_id"""
+)
+def scorer_request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's request to a scorer, byte for byte; what the system says may not be seen."""
+    t = table(spark, sf_dir, "conversations")
+    u = units.transcript_units(t.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ordinal"), "text", "role"), keep=("role",)).withColumn("eligible", F.col("eligible") & (F.col("role") != "system"))
+    c = t.select(F.col("conv_id").alias("case_id")).distinct()
+    c = c.select("case_id", F.concat(F.lit("session-"), F.col("case_id").cast("string")).alias("session_id"), F.concat(F.lit("case "), F.col("case_id").cast("string")).alias("claim"))
+    return units.scorer_requests(c, u).select("case_id", "document")

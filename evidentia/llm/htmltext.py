@@ -79,7 +79,8 @@ def _mark(tag: str, attributes: str, around: int) -> int:
             if name in ("class", "id", "role"):
                 for part in value.split():
                     found = [x.lower() for x in WORD.findall(part)]
-                    words += [w for i, w in enumerate(found) if not i or found[i - 1] not in ABOUT]
+                    # what stands behind the first word of an article's class often names its subject
+                    words += found[:1] if tag in ("article", "main") else [w for i, w in enumerate(found) if not i or found[i - 1] not in ABOUT]
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 own = BOILER
     if own == BOILER or tag in BOILER_TAGS or any(w in BOILER_WORDS or w.startswith(BOILER_STARTS) for w in words):

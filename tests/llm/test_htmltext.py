@@ -96,6 +96,7 @@ def test_page_without_marks_is_judged_by_its_texts(weights):
         (None, ""), ("", ""), ("  \n", ""), ("<p>", ""), ("plain text only", "plain text only"), ("<article><p>Cut &am", "Cut &am"), ("<article><p>Cut &amp", "Cut &"), ("<article><p>a</p", "a"),
         ("<article><p>a<a href=\"x", "a"), ("<article><script>if (a < b) {", ""), ("<article>a<!-- b", "a"), ("<article><button>b <p>c", "b c"), ("<article><p>a</article><nav>x</nav>", "a"),
         ("</div></p></article><main>x", "x"), ("<ARTICLE><P>UP</P></ARTICLE><NAV>no</NAV>", "UP"), ("<form><article><p>In a form</p></article><p>no</p></form>", "In a form"),
+        ("<article class='post category-social tag-menu'><p>a</p></article><article class='comment reply'><p>b</p></article>", "a"),
         ("<article><p class=a data-x='>'>q</p>", "q"), ("<article><p>a\x00b</p>", "a\x00b"), ("<article><div><p>1<div>2</div>3</div>4", "1 2 3 4"),
     ],
 )

@@ -20,34 +20,35 @@ def timestamp(index: Column, fps: Column) -> Column:
     return F.when(fps > 0, index / fps)
 
 
-def unwrapped(raw: Column) -> Column:
-    """The payload of a recogniser's reply (JSON text): what stands in `res`, else the object itself; null for anything else."""
-    v = F.try_parse_json(raw)
-    inner = F.try_variant_get(v, "$.res", "variant")
-    keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
-    out = F.when(F.array_contains(keys, "res"), inner).otherwise(v)
-    return F.when(F.coalesce(F.schema_of_variant(out).startswith("OBJECT"), F.lit(False)), out)
+def _is_object(v: Column, path: str = "$") -> Column:
+    """Whether a JSON object stands at path of v; copies nothing of it."""
+    return F.try_variant_get(v, path, "struct<_:boolean>").isNotNull()
 
 
 def raw_detections(replies: DataFrame, by: str = "case_id") -> DataFrame:
     """by, frame, ordinal, text, confidence, polygon, box and violations from replies (by, frame, raw).
 
+    The payload of a reply (JSON text) is what stands in `res`, else the object itself; anything else is malformed.
     Texts, scores and polygons are parallel arrays (rec_texts, rec_scores, rec_polys or
     dt_polys); unequal lengths are a violation of the whole reply, in a row without
     a detection. Blank texts are dropped.
     """
-    p = replies.withColumn("p", unwrapped(F.col("raw")))
-    get = lambda name, kind: F.try_variant_get("p", f"$.{name}", kind)
+    # each step is read more than once, so Spark keeps it as a column; nothing is filtered before the generator,
+    # as the optimizer would write out all steps in the filter once for each time they are read
+    inner = F.when(_is_object(F.col("v"), "$.res"), "res").when(F.try_variant_get("v", "$.res", "variant").isNull() & _is_object(F.col("v")), "whole")
+    p = replies.withColumn("v", F.try_parse_json("raw")).withColumn("payload", inner)
+    get = lambda name, kind: F.when(F.col("payload") == "res", F.try_variant_get("v", f"$.res.{name}", kind)).when(F.col("payload") == "whole", F.try_variant_get("v", f"$.{name}", kind))
     none = lambda kind: F.array().cast(kind)
-    p = p.select(by, "frame", F.col("p").isNull().alias("malformed"), F.coalesce(get("rec_texts", "array<string>"), none("array<string>")).alias("texts"), F.coalesce(get("rec_scores", "array<double>"), none("array<double>")).alias("scores"), F.coalesce(get("rec_polys", "array<array<array<double>>>"), get("dt_polys", "array<array<array<double>>>"), none("array<array<array<double>>>")).alias("polygons"))
+    p = p.select(by, "frame", F.col("payload").isNull().alias("malformed"), F.coalesce(get("rec_texts", "array<string>"), none("array<string>")).alias("texts"), F.coalesce(get("rec_scores", "array<double>"), none("array<double>")).alias("scores"), F.coalesce(get("rec_polys", "array<array<array<double>>>"), get("dt_polys", "array<array<array<double>>>"), none("array<array<array<double>>>")).alias("polygons"))
     uneven = (F.size("texts") != F.size("scores")) | (F.size("texts") != F.size("polygons"))
     p = p.withColumn("why", violations((F.col("malformed"), "malformed_payload"), (uneven, "arrays_of_unequal_length")))
     one = F.arrays_zip(F.col("texts").alias("text"), F.col("scores").alias("confidence"), F.col("polygons").alias("polygon"))
-    bad = p.filter(F.size("why") > 0).select(by, "frame", F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("array<array<double>>").alias("polygon"), F.lit(None).cast("array<double>").alias("box"), F.col("why").alias("violations"))
-    good = p.filter(F.size("why") == 0).select(by, "frame", F.posexplode(one).alias("ordinal", "d")).select(by, "frame", "ordinal", "d.*").filter(~T.is_blank(F.col("text")))
-    box = bbox(F.col("polygon"))
-    checked = violations((~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "invalid_confidence"), (box.isNull(), "invalid_polygon"))
-    return good.select(by, "frame", "ordinal", "text", "confidence", "polygon", box.alias("box"), checked.alias("violations")).unionByName(bad)
+    # a reply at fault has one row; outer, so that no filter on the array is inferred
+    rows = p.select(by, "frame", "why", F.posexplode_outer(F.when(F.size("why") == 0, one)).alias("ordinal", "d"))
+    good = F.size("why") == 0
+    rows = rows.filter(~good | ~T.is_blank(F.col("d.text"))).select(by, "frame", F.when(good, F.col("ordinal")).alias("ordinal"), "d.*", "why").withColumn("box", bbox(F.col("polygon")))
+    checked = violations((~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "invalid_confidence"), (F.col("box").isNull(), "invalid_polygon"))
+    return rows.select(by, "frame", "ordinal", "text", "confidence", "polygon", "box", F.when(F.size("why") > 0, F.col("why")).otherwise(checked).alias("violations"))
 
 
 def frame_candidates(detections: DataFrame, by: str = "case_id") -> DataFrame:

@@ -40,6 +40,23 @@ def visual(spark):
     return observe.visual_units(kept.filter("size(reasons) = 0"), seen)
 
 
+ODD = [
+    {"res": {"_": "x", "rec_texts": ["a", None, " "], "rec_scores": [0.5, 1, 2], "dt_polys": [[[0, 0], [1, 0], [1, 1]]] * 3}}, {"_": 1, "rec_texts": ["b", "c"], "rec_scores": [2, 0.5], "rec_polys": None, "dt_polys": [[[0, 0], [1, 0], [1, 1]], [[0, 0]]]},
+    {"res": None, "rec_texts": []}, {"res": [], "rec_texts": []}, {"res": {}}, {}, 5, {"res": {"rec_texts": ["d"]}},
+]
+
+
+def test_raw_detections_parse_once(spark):
+    found = frames.raw_detections(spark.createDataFrame([(i, 0, json.dumps(x)) for i, x in enumerate(ODD)] + [(8, 0, "{"), (9, 0, None)], "case_id int, frame int, raw string"))
+    got = sorted(((r["case_id"], r["ordinal"], r["text"], r["box"], r["violations"]) for r in found.collect()), key=str)
+    bad = lambda i, why: (i, None, None, None, [why])
+    box = [0.0, 0.0, 1.0, 1.0]
+    assert got == [(0, 0, "a", box, []), (1, 0, "b", box, ["invalid_confidence"]), (1, 1, "c", None, ["invalid_polygon"]), *[bad(i, "malformed_payload") for i in (2, 3, 6)], bad(7, "arrays_of_unequal_length"), bad(8, "malformed_payload"), bad(9, "malformed_payload")]
+    # the optimizer may not write the parsing out again wherever it is read
+    few = found.groupBy("case_id").agg(F.count("*").alias("n"), F.max("box").alias("box"))
+    assert few._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+
+
 def test_text_units(texts):
     r = texts.first()
     assert (r["unit_id"], r["text"], r["bbox"], r["confidence"], r["raw_count"], r["source_type"]) == ("ocr_0000", "low down Hello world", [1.0, 1.0, 6.0, 9.0], 0.8, 2, "ocr")

@@ -7,6 +7,8 @@ told apart strictly: a truth value is no number, 1.0 is no whole number.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -79,6 +81,10 @@ Rule = Text | Number | Equal | Same | Matches | Object | Positions
 KINDS = {str: ("STRING", "string"), bool: ("BOOLEAN", "boolean"), int: ("BIGINT", "bigint")}
 
 
+#: What is read of a document by its path: values (VARIANT, absent: null), and objects' fields under their path with {} behind it.
+Places = dict[str, Column]
+
+
 def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
 
@@ -91,29 +97,54 @@ def _at(v: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, f"$.{name}", kind)
 
 
-def _shape(rule: Rule, v: Column, path: str) -> list[Check]:
+def _fields(v: Column) -> Column:
+    """The fields of an object; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _read(rows: DataFrame, rule: Object, name: str) -> tuple[DataFrame, Places]:
+    """rows with columns for all declared values of the document in column name, level by level, and these by path.
+
+    A column that is read more than once is kept by Spark and not written out
+    again, so each object is opened once, whatever is asked of its fields.
+    """
+    named = {"$": name}
+    level: list[tuple[str, Rule]] = [("$", rule)]
+    while level := [(p, r) for p, r in level if isinstance(r, Object)]:
+        named |= {f"{p}{{}}": f"{name}{len(named) + i}" for i, (p, _) in enumerate(level)}
+        rows = rows.withColumns({named[f"{p}{{}}"]: _fields(F.col(named[p])) for p, _ in level})
+        inner = [(p, n, r) for p, rule_ in level for n, r in rule_.fields.items()]
+        named |= {f"{p}.{n}": f"{name}{len(named) + i}" for i, (p, n, _) in enumerate(inner)}
+        rows = rows.withColumns({named[f"{p}.{n}"]: F.try_element_at(F.col(named[f"{p}{{}}"]), F.lit(n)) for p, n, _ in inner})
+        level = [(f"{p}.{n}", r) for p, n, r in inner]
+    return rows, {p: F.col(n) for p, n in named.items()}
+
+
+def _shape(rule: Rule, v: Column, path: str, places: Places) -> list[Check]:
     """Checks of objects and their keys, outer ones first."""
     if not isinstance(rule, Object):
         return []
-    out: list[Check] = [(_no(_kind(v).startswith("OBJECT")), f"{path}:not_an_object")]
+    fields = places.get(f"{path}{{}}", _fields(v))
+    inner = {n: places.get(f"{path}.{n}", F.try_element_at(fields, F.lit(n))) for n in rule.fields}
+    out: list[Check] = [(fields.isNull(), f"{path}:not_an_object")]
     if rule.closed:
-        keys = F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<string>"))
-        names = F.array(*map(F.lit, rule.fields))
-        out += [(F.size(F.array_except(keys, names)) > 0, f"{path}:unknown_fields"), (F.size(F.array_except(names, keys)) > 0, f"{path}:missing_fields")]
-    for name, inner in rule.fields.items():
-        out += _shape(inner, _at(v, name), f"{path}.{name}")
+        # a field that is there is never null
+        there = functools.reduce(operator.add, [x.isNotNull().cast("int") for x in inner.values()], F.lit(0))
+        out += [(F.size(fields) > there, f"{path}:unknown_fields"), (there < len(inner), f"{path}:missing_fields")]
+    for name, x in inner.items():
+        out += _shape(rule.fields[name], x, f"{path}.{name}", places)
     return out
 
 
-def _values(rule: Rule, v: Column, path: str) -> list[Check]:
+def _values(rule: Rule, v: Column, path: str, places: Places) -> list[Check]:
     kind = _kind(v)
     if isinstance(rule, Object):
-        return [c for name, inner in rule.fields.items() for c in _values(inner, _at(v, name), f"{path}.{name}")]
+        return [c for name, inner in rule.fields.items() for c in _values(inner, places.get(f"{path}.{name}", _at(v, name)), f"{path}.{name}", places)]
     if isinstance(rule, Text):
         text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
         if rule.choices:
             return [(_no(text.isin(*rule.choices)), f"{path}:not_one_of")]
-        return [(_no(text.isNotNull() & ~T.is_blank(text)), f"{path}:not_a_nonblank_string")]
+        return [(T.is_blank(text), f"{path}:not_a_nonblank_string")]
     if isinstance(rule, Number):
         x = F.when(kind.rlike("\\A(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
         good = F.abs(x) < float("inf")
@@ -127,7 +158,7 @@ def _values(rule: Rule, v: Column, path: str) -> list[Check]:
         return [(_no((kind == "STRING") & (F.try_variant_get(v, "$", "string") == F.col(rule.column))), f"{path}:mismatch")]
     items = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
     wanted = F.col(rule.requested)
-    inner = [] if rule.rule is None else [F.flatten(F.transform(items, lambda x: joined([*_shape(rule.rule, x, f"{path}[]"), *_values(rule.rule, x, f"{path}[]")])))]
+    inner = [] if rule.rule is None else [F.flatten(F.transform(items, lambda x: joined([*_shape(rule.rule, x, f"{path}[]", {}), *_values(rule.rule, x, f"{path}[]", {})])))]
     carried = lambda r, x: violations(*[(~_at(x, n, k).eqNullSafe(r[n]), f"{path}[].{n}:mismatch") for n, k in rule.fields.items()])
     return [(_no(F.size(items) == F.size(wanted)), f"{path}:not_as_many"), *inner, F.when(F.size(items) == F.size(wanted), F.flatten(F.zip_with(wanted, items, carried)))]
 
@@ -145,24 +176,27 @@ def joined(checks: list[Check]) -> Column:
     return F.concat(*parts, violations(*plain))
 
 
-def checked(documents: DataFrame, rule: Object, column: str = "document", also: Callable[[Column], list[tuple[Column, str]]] | None = None) -> DataFrame:
+def checked(documents: DataFrame, rule: Object, column: str = "document", also: Callable[[Places], list[tuple[Column, str]]] | None = None) -> DataFrame:
     """documents with violations of a column of JSON text ([0] is the first).
 
-    also: checks between values, from the parsed document, after all others. What is no JSON
+    also: checks between values, from the values by path, after all others. What is no JSON
     has just that violation. Everything stands in its row; nothing is shuffled.
     """
+    rows, places = _read(documents.withColumn("__v", F.try_parse_json(column)), rule, "__v")
     v = F.col("__v")
-    rows = documents.withColumn("__v", F.try_parse_json(column))
-    checks = [*_shape(rule, v, "$"), *_values(rule, v, "$"), *(also(v) if also else [])]
-    return rows.withColumn("violations", F.when(v.isNull(), F.array(F.lit("not_json"))).otherwise(joined(checks))).drop("__v")
+    checks = [*_shape(rule, v, "$", places), *_values(rule, v, "$", places), *(also(places) if also else [])]
+    out = rows.withColumn("violations", F.when(v.isNull(), F.array(F.lit("not_json"))).otherwise(joined(checks)))
+    return out.select(*documents.columns, "violations")
 
 
 def resolved(path: Column, base: str) -> Column:
     """An absolute path without empty parts, . and ..; relative ones start at base."""
     p = T.strip(path)
-    parts = F.split(F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), p)), "/")
+    whole = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), p))
+    parts = F.split(whole, "/")
     step = lambda s, x: F.when(x.isin("", "."), s).when(x == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.array_append(s, x))
-    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    walked = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(whole.rlike("/\\.{0,2}(/|\\z)"), walked).otherwise(whole)
 
 
 #: Settings of a run: sections with exactly these fields, in the order in which their values are checked.
@@ -179,8 +213,8 @@ CARRIED = {"frame_rank": "bigint", "frame_index": "bigint", "timestamp_sec": "do
 
 def settings(documents: DataFrame, base: str, column: str = "document") -> DataFrame:
     """documents with violations of run settings; relative paths start at base, and the two roots must differ when resolved."""
-    root = lambda v, name: resolved(_at(v, name, "string"), base)
-    return checked(documents, SETTINGS, column, lambda v: [(root(v, "cache_root") == root(v, "output_root"), "$:roots_not_distinct")])
+    root = lambda places, name: resolved(F.try_variant_get(places[f"$.{name}"], "$", "string"), base)
+    return checked(documents, SETTINGS, column, lambda p: [(root(p, "cache_root") == root(p, "output_root"), "$:roots_not_distinct")])
 
 
 def recognised(replies: DataFrame, models: str, version: int = 1, column: str = "document") -> DataFrame:

@@ -11,8 +11,12 @@ from ..functions.numeric import bbox, finite, is_close
 
 
 def violations(*checks: tuple[Column, str]) -> Column:
-    """Names of the checks whose condition is true; [0] is the first."""
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in checks]))
+    """Names of the checks whose condition is true; [0] is the first.
+
+    By concatenation, which is compiled with its conditions; a filter with a lambda has all that stands below it interpreted.
+    """
+    none = F.array().cast("array<string>")
+    return F.concat(none, *[F.when(F.coalesce(c, F.lit(False)), F.array(F.lit(n))).otherwise(none) for c, n in checks])
 
 
 def timestamps(start: Column, end: Column) -> Column:

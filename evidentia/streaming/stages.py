@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import partial
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -18,11 +19,22 @@ STATE = "numbers array<bigint>, sequences array<bigint>, names array<string>, st
 OUTPUT = "violations array<string>, n_events int, completed boolean, stopped boolean"
 
 
+def _millis(ts: pd.Series) -> list[int | None]:
+    """Milliseconds since 1970, rounded towards zero; null where there is none."""
+    if getattr(ts.dtype, "kind", "") != "M":
+        return [None if pd.isna(x) else int(x.timestamp() * 1000) for x in ts]
+    x = ts.to_numpy().astype("datetime64[us]")
+    none = np.isnat(x)
+    at = np.trunc(x.astype(np.int64) / 1000).astype(np.int64).tolist()
+    return [None if n else v for n, v in zip(none.tolist(), at)] if none.any() else at
+
+
 def judged(events: dict[int, tuple], overflow: bool = False) -> tuple[list[str], bool]:
     """violations and whether the last stage is complete, of events number -> (sequence, name, status)."""
     stages: dict[int, tuple[set, list]] = {}
-    for _, (sequence, name, status) in sorted(events.items()):
-        names, statuses = stages.setdefault(sequence, (set(), []))
+    for number in sorted(events):
+        sequence, name, status = events[number]
+        names, statuses = stages.get(sequence) or stages.setdefault(sequence, (set(), []))
         names.add(name)
         statuses.append(status)
     expected = lambda s: fixed.STAGES[s - 1] if s is not None and 1 <= s <= len(fixed.STAGES) else None
@@ -38,16 +50,17 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: Any, idle_ms: int)
     stopped = state.hasTimedOut
     if not stopped:
         for f in frames:
-            for number, sequence, name, status, at in f[["event_no", "sequence", "name", "status", "ts"]].itertuples(index=False):
+            # whole columns as lists: a case has a few events, and a frame or a time of its own for each costs more than all the rest
+            for number, sequence, name, status, at in zip(*(f[c].tolist() for c in ("event_no", "sequence", "name", "status")), _millis(f["ts"])):
                 if number not in events and len(events) >= MOST:
                     overflow = True
                     # the smallest numbers stay, so that the order of arrival doesn't matter
                     if number > max(events):
                         continue
                     events.pop(max(events))
-                events.setdefault(int(number), (None if pd.isna(sequence) else int(sequence), name, status))
-                if not pd.isna(at):
-                    latest = max(latest, int(at.timestamp() * 1000))
+                events.setdefault(int(number), (None if sequence is None or sequence != sequence else int(sequence), name, status))
+                if at is not None:
+                    latest = max(latest, at)
     violations, completed = judged(events, overflow)
     if stopped:
         state.remove()

@@ -3,6 +3,8 @@
 import datetime
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,31 @@ def test_cases_that_stop_are_given_out_once(spark, tmp_path):
 def test_too_many_events_are_said(spark):
     many = {n: (1, "request", "pending") for n in range(3)}
     assert stages.judged(many, True)[0] == ["stage_transition", "too_many_events"]
+
+
+class State:
+    exists, hasTimedOut = False, False
+
+    def update(self, x):
+        self.kept = x
+
+    def setTimeoutTimestamp(self, x):
+        self.until = x
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_a_step_reads_columns(monkeypatch):
+    """Rows of a case come as whole columns: no frame or time is made for each; odd values stay what they were."""
+    monkeypatch.setattr(pd.DataFrame, "itertuples", None)
+    us = [int(t) for t in range(1704067200_000_001, 1704067200_000_001 + 997 * 1009, 1009)] + [-1_500]
+    assert stages._millis(pd.Series(np.array(us, "datetime64[us]").astype("datetime64[ns]"))) == [int(t / 1000) for t in us]
+    frame = pd.DataFrame({"event_no": [2, 1, 1], "sequence": [1.0, None, 1.0], "name": ["request", None, "request"], "status": ["running", "pending", "completed"], "ts": pd.to_datetime(["2024-01-01 00:00:01", None, None])})
+    state = State()
+    (out,) = stages._step(("c",), iter([frame, frame]), state, 1000)
+    assert [out[c].tolist() for c in out.columns] == [["c"], [["stage_order", "stage_transition"]], [2], [False], [False]]
+    assert state.kept == ([2, 1], [1, None], ["request", None], ["running", "pending"], 1704067201000, False) and state.until == 1704067202000
+    many = pd.DataFrame({"event_no": range(70, 0, -1), "sequence": 1, "name": "request", "status": "pending", "ts": pd.Timestamp("2024-01-01")})
+    (out,) = stages._step(("c",), iter([many]), state, 1000)
+    assert sorted(state.kept[0]) == list(range(1, 65)) and out["violations"][0] == ["stage_transition", "too_many_events"]

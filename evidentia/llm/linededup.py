@@ -54,17 +54,16 @@ def _by_rarity(hashes: Column, levels: Column) -> Column:
     hash. Any total order of tokens gives an exact prefix filter; this one puts
     rare tokens first.
     """
-    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(levels[F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")])))
+    # every bucket has a level; said to be without nulls, the array is sorted as one of plain numbers
+    level = lambda h: F.coalesce(levels[F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")], F.lit(0).cast("long"))
+    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(level(h))))
 
 
-def _head(n: Column) -> Column:
-    """How many of the rarest tokens of a set of n have a bit: all, or as many as leave about half of the 64 bits empty."""
-    return F.least(n, F.lit(48))
-
-
-def _bitmap(tokens: Column) -> Column:
-    """64 bits, of which each token sets one."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+def _sketch(tokens: Column, half: int) -> Column:
+    """64 bits of an odd sketch: each token of one half of all hashes flips one of them."""
+    shift = lambda x, by: F.call_function("shiftleft", x, by)
+    mine = lambda h: F.shiftrightunsigned(h if half else F.bitwise_not(h), 6).bitwiseAND(F.lit(1).cast("long"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(shift(mine(h), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
 def _prefix(n: Column) -> Column:
@@ -73,17 +72,17 @@ def _prefix(n: Column) -> Column:
 
 
 def token_classes(docs: DataFrame, levels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n, bits, prefix, doc, h, line: one row for each token set, with its first line; ids follow the order of these lines.
+    """id, n, low, high, prefix, doc, h, line: one row for each token set, with its first line; ids follow the order of these lines.
 
     prefix holds the tokens among which two matching sets must share one (as
-    32-bit numbers, only to find candidates).
+    32-bit numbers, only to find candidates); low and high are the set's odd sketch.
     """
     # not a filter by n, which the optimizer would push down with all of t in it
     # a subquery can't stand in a lambda, so the sketch is a column of each row, by reference
     lines = numbered_lines(docs, key, text).filter(F.col("words").rlike(WORD_CHAR)).withColumn("levels", levels.scalar())
     rows = lines.select("doc", "h", "line", _by_rarity(_hashes(F.col("words")), F.col("levels")).alias("t")).withColumn("n", F.size("t"))
     prefix = F.transform(F.slice("t", F.lit(1), _prefix(F.col("n"))), lambda x: F.hash(x))
-    rows = rows.select("doc", "h", "line", "n", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), _bitmap(F.slice("t", F.lit(1), _head(F.col("n")))).alias("bits"), prefix.alias("prefix"))
+    rows = rows.select("doc", "h", "line", "n", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), _sketch(F.col("t"), 0).alias("low"), _sketch(F.col("t"), 1).alias("high"), prefix.alias("prefix"))
     # the row numbers' limit holds before the shuffle too, so a set with a third of all lines sends one row a task
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc", "h", "line"))
     first = rows.withColumn("nth", nth).filter("nth = 1").drop("nth", "k1", "k2")
@@ -92,22 +91,20 @@ def token_classes(docs: DataFrame, levels: DataFrame, key: str = "doc_id", text:
 
 
 def _similar(x: str, y: str) -> Column:
-    """Length, positional and bitmap filters for two rows of the index.
+    """Length, positional and sketch filters for two rows of the index.
 
-    Of the tokens that two sets share, those outside both heads (the rarest tokens,
-    which have bits) lie all behind the head of one of them, the one whose head ends first.
-    So the heads share at least what is needed less the larger rest, and a head may
-    lack so many of the other's bits at most: rare tokens tell sets apart that share only
-    common ones.
+    A token that only one of two sets has flips one bit of the sketches' difference, and
+    one that both have flips none, so similar sets differ in no more bits than tokens.
+    128 bits tell sets of up to about 250 tokens apart that share only a few; pairs of larger
+    ones come through and are left to the comparison of their tokens.
     """
     c = lambda side, name: F.col(f"{side}_{name}")
     length = (c(x, "n") * 10 >= c(y, "n") * TENTHS) & (c(y, "n") * 10 >= c(x, "n") * TENTHS)
     # shared tokens that a similarity of 0.8 needs: t / (1 + t) of both sizes
     need = F.ceil((c(x, "n") + c(y, "n")) * TENTHS / F.lit(10 + TENTHS))
     place = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) >= need
-    rest = F.greatest(c(x, "n") - _head(c(x, "n")), c(y, "n") - _head(c(y, "n")))
-    lacks = lambda p, q: F.bit_count(c(p, "bits").bitwiseAND(F.bitwise_not(c(q, "bits")))) <= _head(c(p, "n")) + rest - need
-    return length & place & lacks(x, y) & lacks(y, x)
+    flipped = sum(F.bit_count(c(x, half).bitwiseXOR(c(y, half))) for half in ("low", "high"))
+    return length & place & (flipped <= c(x, "n") + c(y, "n") - 2 * need)
 
 
 def candidates_with_first(classes: DataFrame) -> DataFrame:
@@ -117,9 +114,9 @@ def candidates_with_first(classes: DataFrame) -> DataFrame:
     meet: this round thins out groups of copies and needn't find all pairs.
     """
     short = (F.col("n") - F.ceil(F.col("n") * (2 * TENTHS) / F.lit(10 + TENTHS)) + 1).cast("int")
-    index = classes.filter("n > 3").select("id", "n", "bits", F.posexplode(F.slice("prefix", F.lit(1), short)).alias("pos", "token"))
+    index = classes.filter("n > 3").select("id", "n", "low", "high", F.posexplode(F.slice("prefix", F.lit(1), short)).alias("pos", "token"))
     by = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = ("id", "n", "pos", "bits")
+    own = ("id", "n", "pos", "low", "high")
     rows = index.withColumn("a", F.first(F.struct(*own)).over(by))
     rows = rows.select(*[F.col(c).alias(f"b_{c}") for c in own], *[F.col(f"a.{c}").alias(f"a_{c}") for c in own])
     return rows.filter((F.col("a_id") < F.col("b_id")) & _similar("a", "b")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
@@ -134,8 +131,8 @@ def candidates(classes: DataFrame, near: DataFrame) -> DataFrame:
     """
     done = near.select(F.col("b").alias("id")).distinct().withColumn("done", F.lit(True))
     number = (F.col("id") * 2 + F.when(F.col("done"), 0).otherwise(1)).alias("code")
-    index = classes.filter("n > 3").join(done, "id", "left").select(number, "n", "bits", F.posexplode("prefix").alias("pos", "token"))
-    a, b = (index.select([F.col(c).alias(f"{side}_{c}") for c in ("token", "code", "n", "pos", "bits")]) for side in "ab")
+    index = classes.filter("n > 3").join(done, "id", "left").select(number, "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
+    a, b = (index.select([F.col(c).alias(f"{side}_{c}") for c in ("token", "code", "n", "pos", "low", "high")]) for side in "ab")
     later = F.when(F.col("a_code") < F.col("b_code"), F.col("b_code") % 2 == 1).otherwise(False)
     found = a.join(b, (F.col("a_token") == F.col("b_token")) & later & _similar("a", "b"))
     return found.select(F.shiftright("a_code", 1).alias("a"), F.shiftright("b_code", 1).alias("b")).distinct()
@@ -147,24 +144,19 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str = "
     place = ["doc", "h", "line"]
     wanted = saved(classes.join(ids, "id", "left_semi").select("id", *place), "line-wanted")
     at = wanted.select("id", *[F.col(c).alias(f"at_{c}") for c in place])
-    rows = few(numbered_lines(docs, key, text), wanted, place, place)
+    # whole documents first, so that most texts aren't cut into lines
+    own = docs.select(column(key).alias("doc"), F.xxhash64(column(text)).alias("h"), column(text).alias("t"))
+    own = few(own, wanted, place[:2], place[:2]).select("doc", "h", F.posexplode(F.split("t", "\n")).alias("line", "words"))
+    rows = few(own, wanted, place, place)
     same = F.col("doc").eqNullSafe(F.col("at_doc")) & (F.col("h") == F.col("at_h")) & (F.col("line") == F.col("at_line"))
     # rows equal in key and text hold equal lines
     lines = saved(rows.join(at, same).select("id", "words").dropDuplicates(["id"]), "line-words")
     dropped(docs.sparkSession, wanted)
-    # 16 bits of each token tell most pairs apart: what one side has of them and the other lacks, it lacks of tokens too
-    short = lines.select("id", _hashes(F.col("words")).alias("t")).select("id", F.size("t").alias("n"), F.array_distinct(F.transform("t", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("smallint"))).alias("s"))
-    both = pairs.join(short.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("s").alias("x")), "a").join(short.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("s").alias("y")), "b")
-    both = both.withColumns({"shared": F.size(F.array_intersect("x", "y")), "need": F.ceil((F.col("a_n") + F.col("b_n")) * TENTHS / F.lit(10 + TENTHS))})
-    lacks = lambda side, s: F.size(s) - F.col("shared") <= F.col(f"{side}_n") - F.col("need")
-    likely = saved(both.filter(lacks("a", "x") & lacks("b", "y")).select("a", "b"), "line-likely")
-    dropped(docs.sparkSession, pairs)
-    ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    tokens = lines.join(ids, "id", "left_semi").select("id", _hashes(F.col("words")).alias("t"))
-    both = likely.join(tokens.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(tokens.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    tokens = lines.select("id", _hashes(F.col("words")).alias("t"))
+    both = pairs.join(tokens.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(tokens.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("s"), (F.size("x") + F.size("y")).alias("n"))
     out = saved(shared.filter(F.col("s") * (10 + TENTHS) >= F.col("n") * TENTHS).select("a", "b"), "line-links")
-    dropped(docs.sparkSession, lines, likely)
+    dropped(docs.sparkSession, lines, pairs)
     return out
 
 

@@ -510,3 +510,25 @@ def test_pipeline_of_odd_tables(spark, odd, empty):
             if name != "tokens":
                 assert out.columns == docs.columns, name
             docs = out
+
+
+def test_candidates_are_few_and_lose_no_match(spark):
+    # long lines that share a rare word and nothing else, and near copies with 0.75 to 0.9 of their words in common
+    rng = np.random.default_rng(8)
+    words = [[f"w{x}" for x in rng.choice(20_000, 130, replace=False)] + [f"rare{k % 5}"] for k in range(60)]
+    for k in range(40):
+        base = list(words[k % 8])
+        for at in rng.choice(len(base), 5 + k % 16, replace=False):
+            base[at] = f"n{k}-{at}"
+        words.append(base)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "doc_id long, text string")
+    classes = linededup.token_classes(docs, linededup.token_levels(docs)).cache()
+    sets = [frozenset(w) for w in words]
+    near = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) * 10 >= len(sets[a] | sets[b]) * 8}
+    of = {r["id"]: r["doc"] for r in classes.collect()}
+    found = {(of[r["a"]], of[r["b"]]) for r in linededup.candidates(classes, spark.createDataFrame([], "a long, b long")).collect()}
+    assert near and near <= found
+    assert all(len(sets[a] & sets[b]) * 10 >= len(sets[a] | sets[b]) * 4 for a, b in found)
+    gone = {r["doc_id"] for r in linededup.deduplicated(docs).collect() if r["n_near"]}
+    assert gone == {b for _, b in near}
+    classes.unpersist()

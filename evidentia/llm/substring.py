@@ -191,41 +191,85 @@ def _place() -> Column:
     return F.struct(F.col("doc").isNull().alias("none"), "doc", "th", "start")
 
 
+def stretches(at: np.ndarray, whole: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For runs by place, hash and mark: first run, number of runs, hash of each stretch, and whether a run stands in it twice.
+
+    A stretch is as many runs as follow each other and have one mark.
+    """
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (mark[1:] != mark[:-1])]))
+    n = np.diff(np.concatenate([first, [len(at)]]))
+    of = np.repeat(np.arange(len(first)), n)
+    mixed = (whole ^ (np.arange(len(at)) - first[of] + 1).astype(np.uint64) * MIX) * MIX
+    mixed ^= mixed >> np.uint64(31)
+    order = np.lexsort((whole, of))
+    twice = (np.diff(of[order]) == 0) & (whole[order][1:] == whole[order][:-1])
+    loop = np.zeros(len(first), bool)
+    loop[of[order][1:][twice]] = True
+    return first, n, np.add.reduceat(mixed * MIX, first), loop
+
+
 def repeated_runs(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, th, start, size, keeper, first for every run of RUN words that stands in docs more than once, across lines too.
+    """doc, th, start, size, keeper, first for every run of RUN words that stands in docs more than once, across lines too; runs that follow each other may be one row.
 
     found are the parts of docs. keeper is the first key with the run, and first
     marks its first place there. Only runs whose mark is that of two or more grams
-    are spelled out, which loses none: equal runs have equal marks.
+    are looked at, which loses none: equal runs have equal marks. They are told
+    apart as stretches: equal stretches are one class, and where all stretches of a mark
+    are equal their runs stand nowhere else. Only the other classes are spelled out in runs,
+    each class once, however many places it has.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     marks = found.filter("size is null").select("doc", "th", "h")
     twice = saved(marks.groupBy("h").count().filter("count > 1").select("h"), "run-twice")
     wanted = saved(few(marks, twice, ["h"], ["h"]).join(twice, "h", "left_semi").distinct(), "run-wanted")
-    dropped(docs.sparkSession, twice)
+    dropped(spark, twice)
 
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Cutter()
         for b in batches:
             for s in range(0, b.num_rows, 64):
                 part = b.slice(s, 64)
                 h, _, of = c.read(part.column(2).to_pylist())
                 at, whole, mark, _ = windows(h, of)
+                use = np.isin(mark.view(np.int64), part.column(3).flatten().to_numpy(zero_copy_only=False))
+                at, whole, mark = at[use], whole[use], mark[use]
                 if not len(at):
                     continue
-                use = np.isin(mark.view(np.int64), part.column(3).flatten().to_numpy(zero_copy_only=False))
-                at, whole = at[use], whole[use]
+                first, n, value, loop = stretches(at, whole, mark)
                 begin = np.searchsorted(of, np.arange(part.num_rows))  # each text's first word
-                t = pa.array(of[at])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(t), part.column(1).take(t), pa.array(at - begin[of[at]]), pa.array(whole.view(np.int64))], names=["doc", "th", "start", "h"])
-
-    # rows equal in key and text are one document
-    runs = saved(_texts_of(docs, wanted, key, text).mapInArrow(spelled, f"doc {kind}, th long, start long, h long").distinct(), "run-rows")
-    heads = saved(runs.groupBy("h").agg(F.min(_place()).alias("head"), F.count("*").alias("n")).filter("n > 1").select("h", "head"), "run-heads")
-    dropped(docs.sparkSession, wanted)
-    each = few(runs, heads, ["h"], ["h"]).join(heads, "h")
-    out = saved(each.select("doc", "th", "start", F.lit(RUN).cast("long").alias("size"), F.col("head.doc").alias("keeper"), _place().eqNullSafe(F.col("head")).alias("first")), "run-places")
-    dropped(docs.sparkSession, runs, heads)
+                t = of[at[first]]
+                runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(whole.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(t)), part.column(1).take(pa.array(t)), pa.array(at[first] - begin[t]), pa.array(n), pa.array(mark[first].view(np.int64)), pa.array(value.view(np.int64)), pa.array(loop), runs],
+                    names=["doc", "th", "start", "n", "mark", "value", "loop", "runs"],
+                )
+
+    rows = saved(_texts_of(docs, wanted, key, text).mapInArrow(cut, f"doc {kind}, th long, start long, n long, mark long, value long, loop boolean, runs array<long>"), "run-stretches")
+    dropped(spark, wanted)
+    # rows equal in key and text are one document, so places are held against each other, not counted
+    classes = rows.groupBy("value").agg(F.min(_place()).alias("head"), F.max(_place()).alias("last"), F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("loop").alias("loop"))
+    classes = saved(classes.select("value", "head", (~F.col("head").eqNullSafe(F.col("last"))).alias("again"), "n", "mark", "loop"), "run-classes")
+    several = classes.groupBy("mark").count().filter("count > 1").select("mark", F.lit(True).alias("several"))
+    classes, given = saved(classes.join(several, "mark", "left").withColumn("open", F.col("several").isNotNull() | F.col("loop")).drop("mark", "loop", "several"), "run-classes"), classes
+    dropped(spark, given)
+    todo = classes.filter("open").select("value", "head", "again")
+    at = ["value", "th", "start"]
+    one = few(rows, todo.select("value", "head.th", "head.start"), at, at).join(todo, "value").filter(_place().eqNullSafe(F.col("head"))).dropDuplicates(["value"])
+    one = one.select("value", "head", "again", "doc", "th", F.col("start").alias("from"), F.posexplode("runs").alias("i", "h"))
+    one = saved(one.select("value", "head", "again", "doc", "th", (F.col("from") + F.col("i")).alias("start"), "i", "h"), "run-rows")
+    heads = one.groupBy("h").agg(F.min(_place()).alias("to"), F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n"))
+    heads = saved(heads.filter("n > 1").select("h", "to"), "run-heads")
+    each = few(one, heads, ["h"], ["h"]).join(heads, "h").select("value", "head", "i", F.col("to.doc").alias("keeper"), _place().eqNullSafe(F.col("to")).alias("first"))
+    # runs of a class that follow each other and have one keeper are one row
+    nth = F.row_number().over(Window.partitionBy("value", "keeper", "first").orderBy("i"))
+    spans = each.withColumn("row", F.col("i") - nth).groupBy("value", "keeper", "first", "row").agg(F.first("head").alias("head"), F.min("i").alias("i"), (F.max("i") - F.min("i") + RUN).alias("size"))
+    names = ["value", "head", "i", "size", "keeper", "first"]
+    plain = classes.filter("again and not open").select("value", "head", F.lit(0).alias("i"), (F.col("n") - 1 + RUN).alias("size"), F.col("head.doc").alias("keeper"), F.lit(True).alias("first"))
+    spans = saved(spans.select(*names).unionByName(plain), "run-spans")
+    dropped(spark, one, heads, classes)
+    each = few(rows.select("doc", "th", "start", "value"), spans, ["value"], ["value"]).distinct().join(spans, "value")
+    out = saved(each.select("doc", "th", (F.col("start") + F.col("i")).alias("start"), F.col("size").cast("long").alias("size"), "keeper", (F.col("first") & _place().eqNullSafe(F.col("head"))).alias("first")), "run-places")
+    dropped(spark, rows, spans)
     return out
 
 

@@ -532,3 +532,20 @@ def test_candidates_are_few_and_lose_no_match(spark):
     gone = {r["doc_id"] for r in linededup.deduplicated(docs).collect() if r["n_near"]}
     assert gone == {b for _, b in near}
     classes.unpersist()
+
+
+def test_repeated_runs_are_stretches(spark):
+    rng = np.random.default_rng(9)
+    w = [f"w{x}" for x in rng.integers(0, 5_000, 900)]
+    texts = [w, w, w[100:400], [f"x{k}" for k in range(40)] + w[350:700] + w[120:260], ["z"] * 130, ["y", *["z"] * 70], w[:300] + ["q"] + w[301:], [f"v{k}" for k in range(90)]]
+    docs = spark.createDataFrame([(None if k == 6 else k, " ".join(x)) for k, x in enumerate(texts)] + [(1, " ".join(w))], "doc_id long, text string")
+    got = substring.repeated_runs(docs, common.saved(substring.parts(docs, "doc_id", "text"), "t")).collect()
+    places = {}
+    for k in sorted(range(len(texts))):
+        for i in range(len(texts[k]) - substring.RUN + 1):
+            places.setdefault(tuple(texts[k][i : i + substring.RUN]), []).append((9 if k == 6 else k, i))
+    want = {(k, i): (min(p)[0], (k, i) == min(p)) for p in places.values() if len(p) > 1 for k, i in p}
+    number = lambda k: 9 if k is None else k
+    spelled = [((number(r["doc"]), i), (number(r["keeper"]), r["first"])) for r in got for i in range(r["start"], r["start"] + r["size"] - substring.RUN + 1)]
+    assert len(spelled) == len(want) and dict(spelled) == want
+    assert len(got) * 4 < len(want)

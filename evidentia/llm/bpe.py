@@ -13,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import in_batches
+
 #: White space as the vocabulary's normaliser takes it; str.split() takes \x1c-\x1f too.
 SPACE = re.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 ODD = re.compile("[\\x1c-\\x1f]")
@@ -76,7 +78,7 @@ def merge_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
     parts, counts, order = [], [], []
     for p in np.unique(width).tolist():
         members = np.flatnonzero(width == p)
-        step = max(1, 1_000_000 // p)
+        step = max(1, 250_000 // p)
         for s in range(0, len(members), step):
             own = members[s : s + step]
             kept, n = _merge_class([words[i] for i in own.tolist()], p, v)
@@ -289,7 +291,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return in_batches(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -304,7 +306,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+    return in_batches(encoded.select(key, ids)).mapInArrow(run, f"`{key}` {kind}, text string")
 
 
 def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -327,4 +329,4 @@ def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_batches(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,6 +19,8 @@ WORD_RUN = "[^\\x20\\x09-\\x0D]+"
 #: Rows that can be skipped are known by a bit for each of 2**k hash buckets; k lies between these, by how many rows are wanted.
 FILTER_BITS = (12, 24)
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Texts go to Python in Arrow batches of at most so many rows.
+BATCH_ROWS = 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -61,6 +63,30 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     jvm.System.gc()
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most BATCH_ROWS rows.
+
+    A worker holds two batches and its JVM builds a third; with Spark's 10,000
+    rows these are some 60 MB each where a text has 6 KB.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
+def gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, with as many of them made one as it takes to have rows rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held.clear()
+    if held:
+        yield pa.concat_batches(held)
+
+
 def column(name: str) -> Column:
     """A column by its whole name, whatever is in it."""
     return F.col("`" + name.replace("`", "``") + "`")

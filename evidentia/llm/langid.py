@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, dropped, saved
+from .common import column, dropped, gathered, in_batches, saved
 
 LETTERS = regex.compile(r"\p{L}+")
 ORDER = 4
@@ -30,6 +30,10 @@ UNKNOWN = "und"
 BLOCK = 8
 #: Numbers kept of words a task has met: one for each language and word.
 KEEP = 1_600_000
+#: So many words are scored side by side.
+SCORED = 4096
+#: The words of so many texts, and the grams of so many words, are counted before they are given out.
+COUNTED = 10_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -163,6 +167,10 @@ class Model:
         """For each word its bits under each language, and its number of predicted letters."""
         if not words:
             return np.zeros((0, len(self.langs))), np.zeros(0)
+        each = [self._bits(words[i : i + SCORED]) for i in range(0, len(words), SCORED)]
+        return np.concatenate([x for x, _ in each]), np.concatenate([n for _, n in each])
+
+    def _bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         grams, word, real = _grams(words)
         starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         cost = [np.add.reduceat(np.where(real[:, None], -np.log2(np.maximum(b.probabilities(grams), 1e-12)), 0.0), starts, axis=0) for b in self.blocks]
@@ -255,7 +263,7 @@ def _checked(rows: DataFrame, model: Model) -> np.ndarray:
                 out = np.stack([letters, x.min(axis=1), other.min(axis=1), noise, *loss], axis=1)[letters > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.list_(pa.float64()))], names=["x"])
 
-    found = rows.select("l", "t").mapInArrow(run, "x array<double>").toArrow()
+    found = in_batches(rows.select("l", "t")).mapInArrow(run, "x array<double>").toArrow()
     return np.array(found["x"].to_pylist(), float).reshape(-1, 4 + len(SHARPNESS))
 
 
@@ -285,7 +293,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     learned = drawn.filter(~F.col("check") | F.col("l").isin(only))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches, COUNTED):
             counts: dict[str, Counter] = {}
             for k, t in zip(*(c.to_pylist() for c in b.columns)):
                 counts.setdefault(k, Counter()).update(LETTERS.findall(t.lower()))
@@ -293,14 +301,14 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["l", "w", "n"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches, COUNTED):
             langs, counts = np.array(b.column(0).to_pylist(), object), b.column(2).to_numpy()
             for k in np.unique(langs.astype(str)):
                 own = np.flatnonzero(langs == k)
                 for order, (g, before, shorter, begins, n) in enumerate(_rows(b.column(1).take(pa.array(own)).to_pylist(), counts[own])):
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(np.full(len(g), order, np.int32)), *(pa.array(x.view(np.int64)) for x in (g, before, shorter)), pa.array(begins), pa.array(n.astype(np.int64))], names=["l", "k", "g", "before", "shorter", "begins", "n"])
 
-    counted = learned.select("l", "t").mapInArrow(words, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    counted = in_batches(learned.select("l", "t")).mapInArrow(words, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
     rows = counted.mapInArrow(grams, "l string, k int, g long, before long, shorter long, begins boolean, n long")
     table = rows.groupBy("l", "k", "g").agg(F.min("before").alias("before"), F.min("shorter").alias("shorter"), F.max("begins").alias("begins"), F.sum("n").alias("n")).toArrow()
     langs, order = table["l"].to_numpy(), table["k"].to_numpy()
@@ -346,7 +354,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(bits), pa.array(no)], names=[key, "lang_pred", "score", "bits", "rejected"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(column(key), column(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, bits double, rejected boolean")
+    return in_batches(docs.select(column(key), column(text).alias("text"))).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, bits double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -364,4 +372,4 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
 
     # by names without dots, which would be read as fields
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return in_batches(plain).mapInArrow(run, plain.schema).toDF(*docs.columns)

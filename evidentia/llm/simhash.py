@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from .common import column, components, linked_in_cells, marked, saved
+from .common import column, components, in_batches, linked_in_cells, marked, saved
 
 SHINGLE = 3
 SEED = 42
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], names=["key", "row", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(column(key).alias("key"), row_hash(docs).alias("row"), column(text).alias("text")).mapInArrow(run, f"key {kind}, row long, fp long")
+    return in_batches(docs.select(column(key).alias("key"), row_hash(docs).alias("row"), column(text).alias("text"))).mapInArrow(run, f"key {kind}, row long, fp long")
 
 
 def group_masks() -> list[int]:

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -549,3 +550,19 @@ def test_repeated_runs_are_stretches(spark):
     spelled = [((number(r["doc"]), i), (number(r["keeper"]), r["first"])) for r in got for i in range(r["start"], r["start"] + r["size"] - substring.RUN + 1)]
     assert len(spelled) == len(want) and dict(spelled) == want
     assert len(got) * 4 < len(want)
+
+
+def test_workers_hold_small_batches_and_blocks(spark, monkeypatch):
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    seen = []
+    counts = common.in_batches(docs).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["doc_id"]) for b in batches), "doc_id long")
+    assert max(r["doc_id"] for r in counts.collect()) <= common.BATCH_ROWS
+    model = langid.Model.of_words({"a": {"abc": 3, "bcd": 1}, "b": {"xyz": 2}})
+    words = ["abc", "xyz", "ab", "q", "bcdx", "é", "abcabc"]
+    whole = model.bits(words)
+    plain = langid.Model._bits
+    monkeypatch.setattr(langid.Model, "_bits", lambda m, w: (seen.append(len(w)), plain(m, w))[1])
+    monkeypatch.setattr(langid, "SCORED", 2)
+    parts = model.bits(words)
+    assert max(seen) == 2 and all(np.array_equal(a, b) for a, b in zip(whole, parts))

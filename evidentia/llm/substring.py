@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, components, dropped, few, linked_in_cells, marked, saved
+from .common import column, components, dropped, few, in_batches, linked_in_cells, marked, saved
 
 SHINGLE = 5
 #: Jaccard similarity of shingle sets, in tenths.
@@ -131,12 +131,28 @@ def windows(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return at, whole[at], mark[at], np.stack([marked, gram[marked].view(np.int64)])
 
 
-def bands(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The MinHash bands of paragraphs that have a shingle, a row each; a band's number is mixed into its value."""
+def _shingles_of(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of paragraphs that have one, one paragraph after another; where each one's end; their numbers."""
     sh = shingles(words)
     n = size - SHINGLE + 1
     ends = np.cumsum(n)
-    flat = sh[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    return sh[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], ends, n
+
+
+def distinct_shingles(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For paragraphs that have a shingle: the number of their distinct shingles, and these, one paragraph after another."""
+    flat, _, n = _shingles_of(words, at, size)
+    of = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((flat, of))
+    flat, of = flat[order], of[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
+    return np.bincount(of[new], minlength=len(n)), flat[new]
+
+
+def bands(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The MinHash bands of paragraphs that have a shingle, a row each; a band's number is mixed into its value."""
+    flat, ends, n = _shingles_of(words, at, size)
     low = []
     for k in range(BANDS * ROWS):
         x = (flat ^ np.uint64(0xA24BAED4963EE407 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * MIX
@@ -176,7 +192,7 @@ def parts(docs: DataFrame, key: str, text: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), part.column(1).take(pa.array(t)), none, none, pa.array(marked[1]), *[none] * BANDS], names=names)
 
     rows = docs.select(column(key).alias("doc"), F.xxhash64(column(text)).alias("th"), column(text))
-    return rows.mapInArrow(run, f"doc {kind}, th long, start long, size long, h long, {', '.join(f'{v} long' for v in VALUES)}")
+    return in_batches(rows).mapInArrow(run, f"doc {kind}, th long, start long, size long, h long, {', '.join(f'{v} long' for v in VALUES)}")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -283,31 +299,37 @@ def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str, text: s
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
                 words, line, of = c.read(part.column(2).to_pylist())
-                t, _, size, h, at = c.cut(words, line, of)
-                sh = shingles(words)
-                want = [set(x) for x in part.column(3).to_pylist()]
-                hs, sets = [], []
-                for k, i, n, x in zip(t.tolist(), at.tolist(), size.tolist(), h.view(np.int64).tolist()):
-                    if x in want[k]:
-                        want[k].discard(x)
-                        hs.append(x)
-                        sets.append(np.unique(sh[i : i + n - SHINGLE + 1]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["h", "s"])
+                _, _, size, h, at = c.cut(words, line, of)
+                h = h.view(np.int64)
+                hs, first = np.unique(h, return_index=True)
+                # a paragraph that another text of the slice was read for is as good
+                use = np.isin(hs, part.column(3).flatten().to_numpy(zero_copy_only=False)) & (size[first] >= SHINGLE)
+                sizes, values = distinct_shingles(words, at[first[use]], size[first[use]])
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(hs[use]), sets], names=["h", "s"])
 
     out = saved(_texts_of(docs, wanted, key, text).mapInArrow(run, "h long, s array<long>").dropDuplicates(["h"]), "sub-sets")
     dropped(docs.sparkSession, wanted)
     return out
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) of paragraphs with a Jaccard similarity of shingles of at least 0.8."""
-    ids = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    sets = _sets(docs, classes, ids, key, text)
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of paragraphs with a Jaccard similarity of shingles (sets: h, s) of at least 0.8."""
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
     both = both.withColumn("n", F.size(F.array_intersect("x", "y")))
-    out = saved(both.filter(F.col("n") * (10 + TENTHS) >= (F.size("x") + F.size("y")) * TENTHS).select("a", "b"), "sub-links")
-    dropped(docs.sparkSession, sets)
-    return out
+    return saved(both.filter(F.col("n") * (10 + TENTHS) >= (F.size("x") + F.size("y")) * TENTHS).select("a", "b"), "sub-links")
+
+
+def left_open(met: DataFrame, near: DataFrame) -> DataFrame:
+    """value, h: what is still to be compared, of met (h, value, lead) when near has the links of leads.
+
+    A lead has been held against all others of its bucket. So it isn't compared again,
+    and a bucket is open only if one of at least two others failed.
+    """
+    others = met.filter("h <> lead")
+    linked = near.select(F.col("a").alias("lead"), F.col("b").alias("h"), F.lit(True).alias("linked"))
+    open_ = others.join(linked, ["lead", "h"], "left").groupBy("value").agg(F.count("*").alias("n"), F.count("linked").alias("linked")).filter("n > 1 and linked < n").select("value")
+    return others.join(open_, "value").select("value", "h")
 
 
 def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -336,7 +358,7 @@ def repeated_paragraphs(docs: DataFrame, found: DataFrame, key: str = "doc_id",
     same hash are one node. Band values are shuffled once, with each value's
     smallest and largest paragraph; what follows reads only values that two
     different paragraphs share. In each such bucket all are held against the
-    smallest; buckets in which some fail are compared throughout, block by block, so
+    smallest; in buckets in which some fail the others are compared throughout, block by block, so
     components are those of all colliding pairs without spelling them out.
     """
     spark = docs.sparkSession
@@ -352,11 +374,10 @@ def repeated_paragraphs(docs: DataFrame, found: DataFrame, key: str = "doc_id",
     met = saved(few(values, by, ["value"], ["value"]).join(by, "value").distinct(), "sub-bands")
     star = saved(met.filter("h <> lead").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), "sub-star")
     dropped(spark, by)
-    near = _verified(docs, classes, star, key, text)
-    open_ = met.filter("h <> lead").join(near.select(F.col("a").alias("lead"), F.col("b").alias("h")), ["lead", "h"], "left_anti").select("value").distinct()
-    cells = saved(met.join(open_, "value").select("value", "h"), "sub-open")
+    sets = _sets(docs, classes, met.select("h").distinct(), key, text)
+    near = _verified(sets, star)
+    cells = saved(left_open(met, near), "sub-open")
     dropped(spark, met, star)
-    sets = _sets(docs, classes, cells.select("h").distinct(), key, text)
     loads = cells.join(sets, "h").select(F.lit(0).cast("long").alias("cell_a"), F.col("value").alias("cell_b"), F.col("h").alias("id"), F.col("s").alias("load"))
     far = linked_in_cells(loads, alike, "sub")
     dropped(spark, cells, sets)

@@ -566,3 +566,22 @@ def test_workers_hold_small_batches_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(langid, "SCORED", 2)
     parts = model.bits(words)
     assert max(seen) == 2 and all(np.array_equal(a, b) for a, b in zip(whole, parts))
+
+
+def test_paragraph_sets_are_read_once_and_leads_are_not_compared_again(spark, monkeypatch):
+    met = spark.createDataFrame([(1, 10, 1), (2, 10, 1), (1, 11, 1), (2, 11, 1), (3, 11, 1), (4, 12, 4), (5, 12, 4), (6, 12, 4)], "h long, value long, lead long")
+    near = spark.createDataFrame([(1, 3), (4, 5), (4, 6)], "a long, b long")
+    # a bucket of two holds nothing untold, one whose others are all linked neither
+    assert {(r["value"], r["h"]) for r in substring.left_open(met, near).collect()} == {(11, 2), (11, 3)}
+    rng = np.random.default_rng(4)
+    at, size = np.array([0, 9, 40]), np.array([9, 31, 5])
+    words = rng.integers(0, 3, 60).astype(np.uint64)
+    n, flat = substring.distinct_shingles(words, at, size)
+    want = [np.unique(substring.shingles(words[a : a + s])) for a, s in zip(at, size)]
+    assert n.tolist() == [len(x) for x in want] and np.array_equal(flat, np.concatenate(want))
+    calls, plain = [], substring._sets
+    monkeypatch.setattr(substring, "_sets", lambda *a: (calls.append(1), plain(*a))[1])
+    base = [f"w{x}" for x in rng.integers(0, 10_000, 60)]
+    rows = [(k, " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(0, 60, 20)] + [(99, " ".join(f"u{x}" for x in range(60)))]
+    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(calls) == 1 and {r["doc_id"] for r in got} == {0, 20, 40}

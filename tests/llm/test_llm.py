@@ -585,3 +585,18 @@ def test_paragraph_sets_are_read_once_and_leads_are_not_compared_again(spark, mo
     rows = [(k, " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(0, 60, 20)] + [(99, " ".join(f"u{x}" for x in range(60)))]
     got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(calls) == 1 and {r["doc_id"] for r in got} == {0, 20, 40}
+
+
+def test_words_of_lines_are_found_without_regular_expressions_over_whole_texts(spark):
+    lines = ["a b", " a  b", "a\tb", "a\x0bb c", "a\x0cb", "a\rb\r", "", " ", "a\x85b\u2003c \x1cd", "é 漢 字"]
+    df = spark.createDataFrame([(x,) for x in lines], "text string")
+    assert [r[0] for r in df.select(linededup._words(F.col("text"))).collect()] == [WORDS.findall(x) for x in lines]
+    counts = linededup.token_levels(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in counts and "RLIKE" not in df.select(linededup._words(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    # both halves of the sketches' difference are told from all and the marked
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(-(1 << 62), 1 << 62, 90).tolist() for _ in range(2)]
+    rows = spark.createDataFrame([(x,) for x in sets], "t array<long>").select(linededup._sketch(F.col("t"), False), linededup._sketch(F.col("t"), True)).collect()
+    every, marked = ((rows[0][k] ^ rows[1][k]) % (1 << 64) for k in range(2))
+    bits = np.bincount([h % 128 for h in sets[0] + sets[1]], minlength=128) % 2
+    assert marked.bit_count() + (every ^ marked).bit_count() == bits.sum()

@@ -23,39 +23,77 @@ REACH = 8
 RUN = 50
 #: Runs meet by the smallest hash among their grams of so many words.
 GRAM = 26
-KEEP_WORDS = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+P1, P2, P3, P4, P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+SEED = 5
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    """The bits of x turned left by n."""
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def word_hashes(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH64 (seed SEED) of the words raw[start:end], worked out side by side; raw has at least 8 bytes behind the last word.
+
+    Words of 32 bytes and more, for which XXH64 has another form, go to the library.
+    """
+    size = end - start
+    out = np.empty(len(start), np.uint64)
+    for i in np.flatnonzero(size >= 32).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]], SEED)
+    lanes = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    # by length, so that the words that have a step are one slice
+    order = np.argsort(np.minimum(size, 32).astype(np.uint8), kind="stable")
+    at, size = start[order], size[order]
+    n = np.searchsorted(size, np.arange(33))  # the first word of each length
+    at, size = at[: n[32]], size[: n[32]].view(np.uint64)
+    h = size + (P5 + np.uint64(SEED))
+    left = lanes[at]  # the eight bytes from the first one not used yet
+    for k in range(1, 4):
+        s = slice(n[8 * k], None)
+        if n[8 * k] == len(at):
+            break
+        h[s] = _turned(h[s] ^ _turned(left[s] * P2, 31) * P1, 27) * P1 + P4
+        left[s] = lanes[at[s] + 8 * k]
+    rest = size & np.uint64(7)
+    four = np.flatnonzero(rest >= 4)
+    h[four] = _turned(h[four] ^ (left[four] & np.uint64(0xFFFFFFFF)) * P1, 23) * P2 + P3
+    left[four] >>= np.uint64(32)
+    rest &= np.uint64(3)
+    for k in range(1, 4):
+        one = np.flatnonzero(rest >= k)
+        h[one] = _turned(h[one] ^ (left[one] & np.uint64(255)) * P5, 11) * P1
+        left[one] >>= np.uint64(8)
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    out[order[: n[32]]] = h ^ (h >> np.uint64(32))
+    return out
+
+
 class Cutter:
-    """Cuts texts into paragraphs; a word's hash is worked out once while it is kept.
+    """Cuts texts into paragraphs.
 
     Lines are paragraphs; long lines are cut where a word's hash is a local
     minimum, so the same passage is cut alike wherever in a line it stands.
     """
 
-    def __init__(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.hash = np.zeros(0, np.uint64)
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @staticmethod
+    def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, line and text of every word."""
-        if len(self.number) > KEEP_WORDS:
-            self.__init__()
-        number, codes, line_of, text_of = self.number, [], [], []
-        lines = 0
-        for k, t in enumerate(texts):
-            for line in (t or "").encode("utf-8", "surrogatepass").split(b"\n"):
-                words = line.split()
-                if words:
-                    row = [number.setdefault(w, len(number)) for w in words]
-                    codes += row
-                    line_of += [lines] * len(row)
-                    text_of += [k] * len(row)
-                    lines += 1
-        new = list(number)[len(self.hash) :]
-        self.hash = np.concatenate([self.hash, np.array([xxhash.xxh64_intdigest(w, 5) for w in new], np.uint64)])
-        return self.hash[np.array(codes, np.int64)], np.array(line_of, np.int64), np.array(text_of, np.int64)
+        raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        begin = np.cumsum([1, *(len(x) + 1 for x in raws)])[:-1]
+        raw = b"\n".join([b"", *raws, b" " * 8])
+        x = np.frombuffer(raw, np.uint8)
+        space = (x == 32) | (x - np.uint8(9) < 5)
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # raw begins and ends with white space
+        start, end = edge[::2], edge[1::2]
+        line = np.searchsorted(np.flatnonzero(x == 10), start)
+        # lines without a word aren't numbered
+        line = np.cumsum(np.diff(line, prepend=line[:1]) != 0)
+        return word_hashes(raw, start, end), line, np.searchsorted(begin, start, side="right") - 1
 
     @staticmethod
     def cut(h: np.ndarray, line: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -106,6 +144,16 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def _over(pick: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
+    """The smallest or largest (pick) of each span values that follow each other, by windows of doubled length."""
+    size = 1
+    while size < span:
+        step = min(size, span - size)
+        x = pick(x[: len(x) - step], x[step:])
+        size += step
+    return x
+
+
 def windows(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For words' hashes and texts: place, hash and mark of each run of RUN words in a text, and the places of all marked grams.
 
@@ -122,11 +170,11 @@ def windows(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     whole = _joined(g[5][:n], g[5][RUN - 32 :][:n])
     gram = _joined(g[4][: len(h) - GRAM + 1], g[4][GRAM - 16 :])
     span = RUN - GRAM + 1  # grams in a run
-    mark = np.lib.stride_tricks.sliding_window_view(gram, span).min(axis=1)
+    mark = _over(np.minimum, gram, span)
     ok = text[:n] == text[RUN - 1 :]
     # a gram is marked if it is the smallest of any run it lies in, that is, of the run with the largest mark
     padded = np.concatenate([np.zeros(span - 1, np.uint64), np.where(ok, mark, np.uint64(0)), np.zeros(span - 1, np.uint64)])
-    marked = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(padded, span).max(axis=1) == gram)
+    marked = np.flatnonzero(_over(np.maximum, padded, span) == gram)
     at = np.flatnonzero(ok)
     return at, whole[at], mark[at], np.stack([marked, gram[marked].view(np.int64)])
 

@@ -600,3 +600,20 @@ def test_words_of_lines_are_found_without_regular_expressions_over_whole_texts(s
     every, marked = ((rows[0][k] ^ rows[1][k]) % (1 << 64) for k in range(2))
     bits = np.bincount([h % 128 for h in sets[0] + sets[1]], minlength=128) % 2
     assert marked.bit_count() + (every ^ marked).bit_count() == bits.sum()
+
+
+def test_words_are_hashed_side_by_side(monkeypatch):
+    texts = [None, "", " \t ", "a\x0bb  c\r\n\n \n" + " ".join("é" * k for k in range(1, 40)), "no end", "\n".join("xyz"[: k % 4] * (k // 3) + "\x85\xa0" for k in range(120)), "\udc80 x"]
+    asked = []
+    real = substring.xxhash.xxh64_intdigest
+    monkeypatch.setattr(substring.xxhash, "xxh64_intdigest", lambda w, seed: asked.append(w) or real(w, seed))
+    h, line, text = substring.Cutter().read(texts)
+    lines = [(k, x.split()) for k, t in enumerate(texts) for x in (t or "").encode("utf-8", "surrogatepass").split(b"\n") if x.split()]
+    assert h.tolist() == [real(w, 5) for _, ws in lines for w in ws]
+    assert line.tolist() == [i for i, (_, ws) in enumerate(lines) for _ in ws] and text.tolist() == [k for k, ws in lines for _ in ws]
+    # before, the library was asked for every new word
+    assert asked and min(map(len, asked)) >= 32
+    for span in (1, 2, 24, 25, 33):
+        x = np.random.default_rng(span).integers(0, 1 << 62, 100, dtype=np.uint64)
+        assert substring._over(np.minimum, x, span).tolist() == [x[i : i + span].min() for i in range(101 - span)]
+    assert not len(substring.Cutter().read([None, " "])[0])

@@ -227,11 +227,12 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     joined = docs.join(first, same, "left")
     none = F.array().cast("array<int>")
     lines = F.split(column(text), "\n")
-    gone = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD_CHAR) & ~F.array_contains(F.coalesce(F.col(f"{mark}stay"), none), i), i)), lambda i: i.isNotNull())
-    joined = joined.withColumns({f"{mark}gone": F.coalesce(gone, none), f"{mark}n": F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(WORD_CHAR))), F.lit(0))})
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(f"{mark}gone"), i)), "\n")
-    columns = [F.when(F.size(f"{mark}gone") == 0, column(text)).otherwise(kept).alias(text) if c == text else column(c) for c in docs.columns]
-    counts = {"n_lines": F.col(f"{mark}n"), "n_removed": F.size(f"{mark}gone"), "n_near": F.coalesce(F.size(f"{mark}near"), F.lit(0))}
+    # stay holds lines with a word only, so a row whose count of these is that of stay needs no look at its lines' numbers
+    stay, n = F.coalesce(F.col(f"{mark}stay"), none), F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(WORD_CHAR))), F.lit(0))
+    joined = joined.withColumn(f"{mark}n", n).withColumn(f"{mark}gone", F.col(f"{mark}n") - F.size(stay))
+    kept = F.array_join(F.filter(lines, lambda x, i: F.array_contains(stay, i) | ~x.rlike(WORD_CHAR)), "\n")
+    columns = [F.when(F.col(f"{mark}gone") == 0, column(text)).otherwise(kept).alias(text) if c == text else column(c) for c in docs.columns]
+    counts = {"n_lines": F.col(f"{mark}n"), "n_removed": F.col(f"{mark}gone"), "n_near": F.coalesce(F.size(f"{mark}near"), F.lit(0))}
     return joined.select(*columns, *[x.cast("long").alias(free_name(name, docs.columns)) for name, x in counts.items()])
 
 

@@ -617,3 +617,12 @@ def test_words_are_hashed_side_by_side(monkeypatch):
         x = np.random.default_rng(span).integers(0, 1 << 62, 100, dtype=np.uint64)
         assert substring._over(np.minimum, x, span).tolist() == [x[i : i + span].min() for i in range(101 - span)]
     assert not len(substring.Cutter().read([None, " "])[0])
+
+
+def test_lines_are_numbered_only_where_some_go(spark):
+    docs = spark.createDataFrame([(1, "one two three\n\n \nfour five"), (2, "one two three\n\nown line here\n \n"), (3, "four five"), (4, None), (5, " \n")], "doc_id long, text string")
+    out = linededup.deduplicated(docs)
+    rows = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()}
+    assert rows == {1: ("one two three\n\n \nfour five", 2, 0), 2: ("\nown line here\n \n", 2, 1), 3: ("", 1, 1), 4: (None, 0, 0), 5: (" \n", 0, 0)}
+    # before, each line of every text was given its number by a transform
+    assert "transform(split(" not in out._jdf.queryExecution().optimizedPlan().toString()
